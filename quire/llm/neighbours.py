@@ -7,7 +7,7 @@ in a heap of k per row. The heaps of all tiles are merged by rank. Pairs of bloc
 copied once per block of the collection and nothing is broadcast. The work is quadratic by nature; memory isn't.
 
 Defined results: null, empty, all-zero vectors, those of another length or with NaN or infinite values take no part; of
-a key's copies the earliest counts (then the smallest vector); ties go to the smaller key, so a collection of nothing but copies has
+a key's copies the earliest counts (then the smallest vector); similarities are compared at 7 decimals and ties go to the smaller key, so a collection of nothing but copies has
 defined neighbours; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -34,9 +34,8 @@ def usable(df: DataFrame, key: str, vec: str, ts: str | None, dims: int) -> Data
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = np.asarray(b.column(1).flatten(), dtype=np.float64).reshape(-1, dims)
-            unit = (flat / np.linalg.norm(flat, axis=1, keepdims=True)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in unit], pa.binary())], ["id", "vec"])
+            flat = np.asarray(b.column(1).flatten(), dtype=np.float32).reshape(-1, dims)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in flat], pa.binary())], ["id", "vec"])
 
     first = one.groupBy("id").agg(F.min_by("v", F.struct("ts", "v")).alias("v"))
     return first.mapInArrow(pack, "id bigint, vec binary")
@@ -61,10 +60,10 @@ def _best(row: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> np.nda
 
 def tile(li: np.ndarray, lv: np.ndarray, ri: np.ndarray, rv: np.ndarray, k: int, min_sim: float | None, both: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, other, sim): the k best in `ri` of each of `li` and, with both, the k best in `li` of each of `ri`."""
-    ql, sl, el = _codes(lv)
-    qr, sr, er = _codes(rv)
+    lv64, rv64 = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (lv.astype(np.float64), rv.astype(np.float64)))
+    ql, sl, el = _codes(lv64.astype(np.float32))
+    qr, sr, er = _codes(rv64.astype(np.float32))
     kept: list[tuple[np.ndarray, ...]] = []
-    lv64, rv64 = lv.astype(np.float64), rv.astype(np.float64)
     kth_l = np.full(len(li), -2.0 if min_sim is None else min_sim, dtype=np.float32)
     kth_r = np.full(len(ri), -2.0 if min_sim is None else min_sim, dtype=np.float32)
 
@@ -102,7 +101,7 @@ def tile(li: np.ndarray, lv: np.ndarray, ri: np.ndarray, rv: np.ndarray, k: int,
             r, c = r + a, c + b
             for p in range(0, len(r), _PAIRS):
                 x, y = r[p : p + _PAIRS], c[p : p + _PAIRS]
-                sim = np.einsum("ij,ij->i", lv64[x], rv64[y])
+                sim = np.round(np.einsum("ij,ij->i", lv64[x], rv64[y]), 7)
                 go = li[x] != ri[y]
                 if min_sim is not None:
                     go &= sim >= min_sim

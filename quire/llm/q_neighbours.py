@@ -17,7 +17,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 most similar of all rows for every row whose id is divisible by 50."""
     near = knn(table(spark, sf_dir, "documents_book_chunk_vec"), "chunk_id", "embedding", k=10, dims=64, ts="indexed_at", queries=F.col("id") % 50 == 0)
-    return near.select(F.col("id").alias("chunk_id"), F.col("neighbour_id").alias("neighbour_chunk_id"), F.round("cosine", 6).alias("cosine"), "rank")
+    return near.select(F.col("id").alias("chunk_id"), F.col("neighbour_id").alias("neighbour_chunk_id"), "cosine", "rank")
 
 
 QUERIES = {"p6_found": p6_found, "p6_neighbours": p6_neighbours}
@@ -31,7 +31,7 @@ SQL = {
   SELECT a.chunk_id, b.chunk_id AS neighbour_chunk_id, list_cosine_similarity(a.v, b.v) AS c FROM v a, v b
   WHERE a.chunk_id % 50 = 0 AND a.chunk_id <> b.chunk_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY round(c, 7) DESC, neighbour_chunk_id) AS rank FROM s)
-SELECT chunk_id, neighbour_chunk_id, round(c, 6) AS cosine, rank::INT AS rank FROM r WHERE rank <= 10""",
+SELECT chunk_id, neighbour_chunk_id, round(c, 7) AS cosine, rank::INT AS rank FROM r WHERE rank <= 10""",
     "p6_found": _V + """, s AS (
   SELECT a.chunk_id AS x, b.chunk_id AS y, list_cosine_similarity(a.v, b.v) AS c FROM v a, v b WHERE a.chunk_id <> b.chunk_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(c, 7) DESC, y) AS rank FROM s),
