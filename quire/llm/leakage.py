@@ -81,7 +81,8 @@ class Index:
             e = int(m * rate)
             worst = np.sort(lens)[::-1][:e]
             self.pairs.append(set(zip(ws, ws[1:])))
-            self.keep.append(m - 1 - 2 * e)
+            grid = list(zip(ws, ws[1:]))
+            self.keep.append(min((len(set(grid[i : i + m - 1])) for i in range(len(ws) - m + 1)), default=0) - 2 * e)
             letters = np.concatenate(([0], np.cumsum(lens)))
             least = int((letters[m:] - letters[:-m]).min())
             need.append(max(1, least - (q - 1) - int((worst + q - 1).sum())))
@@ -114,8 +115,9 @@ class Index:
         item, diag = self.item[post], pos - self.place[post]
         band = (diag + self.length[item]) // self.width[item]
         key = item * (1 << 40) + band
-        order = np.argsort(key, kind="stable")
-        k, start, hits = np.unique(key[order], return_index=True, return_counts=True)
+        key.sort()
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        k, hits = key[edge[:-1]], np.diff(edge)
         both = hits + np.where(np.concatenate((k[1:] == k[:-1] + 1, [False])), np.concatenate((hits[1:], [0])), 0)
         out = []
         for j in np.flatnonzero(both >= self.need[k >> 40]):
@@ -132,12 +134,18 @@ def repeats(item: list[int], doc: list[int], share: float, rate: float) -> float
     n, m = len(a), len(b)
     if not n or not m:
         return 0.0
-    H = np.zeros((n + 1, m + 1), np.int32)
-    cols = np.arange(m + 1, dtype=np.int32)
+    kind = np.int16 if 2 * (n + m) < 30_000 else np.int32
+    H = np.zeros((n + 1, m + 1), kind)
+    cols = np.arange(m + 1, dtype=kind)
+    same = (b[None, :] == a[:, None]).astype(kind) * 3 - 1
     for i in range(1, n + 1):
-        t = np.maximum(H[i - 1, :-1] + np.where(b == a[i - 1], 2, -1), H[i - 1, 1:] - 1)
-        row = np.concatenate(([0], np.maximum(t, 0)))
-        H[i] = np.maximum.accumulate(row + cols) - cols
+        row = H[i]
+        np.add(H[i - 1, :-1], same[i - 1], out=row[1:])
+        np.maximum(row[1:], H[i - 1, 1:] - 1, out=row[1:])
+        np.maximum(row, 0, out=row)
+        row += cols
+        np.maximum.accumulate(row, out=row)
+        row -= cols
     i, j = np.unravel_index(int(H.argmax()), H.shape)
     bad, own = [], []  # altered?, words of the item
     while i and j and H[i, j] > 0:
@@ -194,7 +202,7 @@ def _find(part, indexes: list[Index], ids: list[list[int]], share: float, rate:
                 if seen.get((x, it, d), 0.0) >= share or hi_w - lo_w < share * (1 - rate) * len(ix.items[it][1]) * 0.9:
                     continue
                 region, pairs = flat[lo_w:hi_w], ix.pairs[it]
-                if sum(x in pairs for x in zip(region, region[1:])) < ix.keep[it]:
+                if len(pairs.intersection(zip(region, region[1:]))) < ix.keep[it]:
                     continue
                 number: dict[str, int] = {}
                 a = [number.setdefault(w, len(number)) for w in ix.items[it][1]]
