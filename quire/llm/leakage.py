@@ -211,6 +211,19 @@ def _find(part, indexes: list[Index], ids: list[list[int]], share: float, rate:
     return [(part[d][0], iid, s) for (x, it, d), s in seen.items() if s >= share for iid in ids[x][it]]
 
 
+@lru_cache(maxsize=2)
+def _build(rows: tuple, share: float, rate: float) -> tuple[list[Index], list[list[list]]]:
+    """Indexes of the Han and the other items, with the ids of each distinct text; once per worker."""
+    kinds: dict[bool, dict[tuple[str, ...], list]] = {True: {}, False: {}}
+    for i, t in rows:
+        w = words(t)
+        if w:
+            han = sum(len(x) == 1 and x > "⺀" for x in w) > len(w) / 2
+            kinds[han].setdefault(tuple(w), []).append(i)
+    indexes = [Index([(n, list(w)) for n, w in enumerate(kinds[h])], Q_HAN if h else Q, share, rate) for h in (True, False)]
+    return indexes, [list(kinds[h].values()) for h in (True, False)]
+
+
 def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, share: float = 0.4, rate: float = 1 / 8) -> DataFrame:
     """doc_key, item_key, covered (share of the item's words in the passage)."""
     one = items.select(item_key, item_text).where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).distinct()
@@ -224,21 +237,11 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
 
 
 def _leaks(docs, doc_key, doc_text, rows, item_key, item_kind, share, rate) -> DataFrame:
-    @lru_cache(maxsize=1)
-    def built():
-        kinds: dict[bool, dict[tuple[str, ...], list]] = {True: {}, False: {}}
-        for i, t in rows:
-            w = words(t)
-            if w:
-                han = sum(len(x) == 1 and x > "⺀" for x in w) > len(w) / 2
-                kinds[han].setdefault(tuple(w), []).append(i)
-        indexes = [Index([(n, list(w)) for n, w in enumerate(kinds[h])], Q_HAN if h else Q, share, rate) for h in (True, False)]
-        return indexes, [list(kinds[h].values()) for h in (True, False)]
-
+    given = tuple(rows)
     schema = f"`{doc_key}` {dict(docs.dtypes)[doc_key]}, `{item_key}` {item_kind}, covered double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes, ids = built()
+        indexes, ids = _build(given, share, rate)
         for b in batches:
             pairs = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
             found = [x for part in _texts([(k, t) for k, t in pairs if t]) for x in _find(part, indexes, ids, share, rate)]
