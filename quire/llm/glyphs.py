@@ -33,9 +33,9 @@ def ignorable(o: int) -> bool:
 class Forms(dict):
     """A table for str.translate that is filled by rule on demand, once per distinct character."""
 
-    def __init__(self, letters: bool = True, hyphens: bool = True):
+    def __init__(self, letters: bool = True, hyphens: bool = True, fold: bool = False):
         super().__init__()
-        self.letters, self.hyphens = letters, hyphens
+        self.letters, self.hyphens, self.fold = letters, hyphens, fold
 
     def __missing__(self, o: int):
         if ignorable(o):
@@ -53,6 +53,8 @@ class Forms(dict):
                 got = "".join(self._one(x) for x in unicodedata.normalize("NFD", got))
             else:
                 got = "".join(self._one(x) for x in unicodedata.normalize("NFD", c))
+            if self.fold:
+                got = "".join(self._one(x) for x in unicodedata.normalize("NFD", got.casefold()))
             got = o if got == c else got
         self[o] = got
         return got
@@ -64,19 +66,16 @@ class Forms(dict):
 
 
 _LOOKS = Forms()
+_FOLDED = Forms(fold=True)
 _COMPATIBLE = Forms(letters=False, hyphens=False)
 
 
 def looks(text: str, fold_case: bool = False) -> str:
     """The form in which texts that read the same are equal. Letter case, accents, other digits, superscripts, circled
     digits and line breaks stay different; fold_case also folds case fully (for comparisons that ignore it)."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text.translate(_LOOKS))
-    if fold_case:
-        text = text.casefold()
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text.translate(_LOOKS))
-    return text
+    if text.isascii():
+        return text.lower() if fold_case else text
+    return unicodedata.normalize("NFC", text.translate(_FOLDED if fold_case else _LOOKS))
 
 
 def clean(text: str) -> str:

@@ -69,8 +69,8 @@ class Index:
     def __init__(self, items: list[tuple[int, list[str]]], q: int, share: float, rate: float):
         self.q, self.items = q, items
         grams, item, place, need, width, length = [], [], [], [], [], []
-        #: word pairs of each item, and how many of them its least passage keeps: an altered word breaks two at most
-        self.pairs, self.keep = [], []
+        #: word pairs of each item, and how many of them its least passage keeps: an altered word breaks two at most (of triples three)
+        self.pairs, self.keep, self.triples, self.keep3 = [], [], [], []
         for n, (_, ws) in enumerate(items):
             g = _grams(_codes(ws), q)
             grams.append(g)
@@ -83,6 +83,9 @@ class Index:
             self.pairs.append(set(zip(ws, ws[1:])))
             grid = list(zip(ws, ws[1:]))
             self.keep.append(min((len(set(grid[i : i + m - 1])) for i in range(len(ws) - m + 1)), default=0) - 2 * e)
+            grid3 = list(zip(ws, ws[1:], ws[2:]))
+            self.triples.append(set(grid3))
+            self.keep3.append(min((len(set(grid3[i : i + m - 2])) for i in range(len(ws) - m + 1)), default=0) - 3 * e)
             letters = np.concatenate(([0], np.cumsum(lens)))
             least = int((letters[m:] - letters[:-m]).min())
             need.append(max(1, least - (q - 1) - int((worst + q - 1).sum())))
@@ -119,11 +122,17 @@ class Index:
         edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         k, hits = key[edge[:-1]], np.diff(edge)
         both = hits + np.where(np.concatenate((k[1:] == k[:-1] + 1, [False])), np.concatenate((hits[1:], [0])), 0)
-        out = []
-        for j in np.flatnonzero(both >= self.need[k >> 40]):
-            it, b = int(k[j] >> 40), int(k[j] & ((1 << 40) - 1))
-            lo = b * int(self.width[it]) - int(self.length[it])
-            out.append((it, lo - int(self.width[it]), lo + 3 * int(self.width[it]) + int(self.length[it])))
+        out: list[tuple[int, int, int]] = []
+        last = -2
+        for key_ in k[both >= self.need[k >> 40]].tolist():
+            it, b = key_ >> 40, key_ & ((1 << 40) - 1)
+            w, n = int(self.width[it]), int(self.length[it])
+            lo, hi = (b - 1) * w - n, (b + 3) * w
+            # neighbouring bands are one region
+            if key_ == last + 1:
+                lo = out.pop()[1]
+            out.append((it, lo, hi))
+            last = key_
         return out
 
 
@@ -204,6 +213,8 @@ def _find(part, indexes: list[Index], ids: list[list[int]], share: float, rate:
                 region, pairs = flat[lo_w:hi_w], ix.pairs[it]
                 if len(pairs.intersection(zip(region, region[1:]))) < ix.keep[it]:
                     continue
+                if len(ix.triples[it].intersection(zip(region, region[1:], region[2:]))) < ix.keep3[it]:
+                    continue
                 number: dict[str, int] = {}
                 a = [number.setdefault(w, len(number)) for w in ix.items[it][1]]
                 b = [number.get(w, -1) for w in region]
