@@ -34,7 +34,7 @@ def all_like(c: Column, parts: list[str]) -> Column:
 
 def reserved_words(spark: SparkSession) -> frozenset[str]:
     """SQL's own keywords, as the engine lists them."""
-    return frozenset(r[0].lower() for r in spark.sql("SELECT keyword FROM sql_keywords() WHERE reserved").collect())
+    return frozenset(r[0].lower() for r in spark.sql("SELECT keyword FROM sql_keywords()").collect())
 
 
 def defect(element: str, reserved: frozenset[str] = frozenset()) -> str | None:

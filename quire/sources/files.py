@@ -11,6 +11,7 @@ from pathlib import PurePosixPath
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 IMPORTABLE = r"\.(?:md|txt|zip)$"
 #: an archive that unpacks to more is refused
@@ -60,7 +61,7 @@ def _decode(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decoded(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else _decode(bytes(b)))
 
