@@ -27,7 +27,7 @@ _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _TAG = re.compile(r"</?[a-zA-Z][a-zA-Z0-9:]*(?:\s+[^<>]*)?\s*/?>")
 _ENTITY = re.compile(r"&(?:[a-zA-Z][a-zA-Z0-9]{1,30}|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});")
 _WIKI_TABLE = re.compile(r"(?m)^\s*\{\|.*?(?:^\s*\|\}[^\n]*|\Z)", re.S)
-_WIKI_ROW = re.compile(r"(?m)^\s*\|[-}]|^\s*\|[^|\n]+\|\|")
+_WIKI_ROW = re.compile(r"(?m)^\s*\|(?:-[-\s]*$|\})|^\s*\|[^|\n]+\|\|")
 _WIKI_LINK = re.compile(r"\[\[[^\[\]\n]+(?:\n[^\[\]\n]+)?\]\]")
 _WIKI_TEMPLATE = re.compile(r"\{\{[^{}]+\}\}")
 _WIKI_HEAD = re.compile(r"(?m)^[ \t>]*(={2,6})[ \t]*([^=\s][^\n]*?)[ \t]*\1[ \t]*$")
