@@ -38,9 +38,21 @@ def fired(e: Column) -> Column:
     return F.filter(F.array(*[F.when((e[s] > 0) & ~F.array_contains(e["not_applicable"], s), s) for s in SIGNALS]), lambda x: x.isNotNull())
 
 
-def merge(old: Column, new: Column) -> Column:
-    """Maps of counts: new values overwrite."""
-    return F.map_zip_with(F.coalesce(old, F.create_map().cast("map<string,int>")), F.coalesce(new, F.create_map().cast("map<string,int>")), lambda k, a, b: F.coalesce(b, a))
+def merge_stats(old: dict | None, new: dict | None, source: str, text: str | None = None, glossary: dict[str, str] | None = None) -> dict:
+    """Statistics of a book with an annotation: counts and versions overwrite, notes add up (each source and text once),
+    explanations join, and a key nobody explains is kept aside as unregistered."""
+    out, own = dict(old or {}), {"criteria_version", "not_applicable", "chars", "words", *SIGNALS}
+    if glossary:
+        out["glossary"] = {**out.get("glossary", {}), **glossary}
+    known = own | set(out.get("glossary", {}))
+    odd = [{"key": k, "value": v, "source": source} for k, v in sorted((new or {}).items()) if k not in known]
+    out |= {k: sorted(set(v or [])) if k == "not_applicable" else v for k, v in (new or {}).items() if k in known}
+    if odd:
+        out["unregistered"] = [*out.get("unregistered", []), *odd]
+    remark = {"source": source, "text": text}
+    if text and remark not in out.get("notes", []):
+        out["notes"] = [*out.get("notes", []), remark]
+    return out
 
 
 def note(stats_json: Column) -> Column:
