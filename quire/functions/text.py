@@ -105,21 +105,16 @@ def path_key(c: Column) -> Column:
 
 def collapse_whitespace(c: Column) -> Column:
     """Indentation stays, whitespace within a line becomes one space (not in fenced code), at its end none; three and
-    more line ends become two. A fold over the lines carries whether a fence is open."""
-    lines = F.split(c, "\n")
-    fence = r"^[\p{IsWhite_Space}\x{1c}-\x{1f}]*(?:`{3,}|~{3,})"
-    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        is_fence = line.rlike(fence)
-        bare = F.regexp_replace(line, f"{SPACE}+$", "")
-        lead = F.regexp_extract(bare, f"^({SPACE}*)", 1)
-        body = F.concat(lead, F.regexp_replace(F.substring(bare, F.length(lead) + 1, F.length(bare)), f"{SPACE}+", " "))
-        kept = F.when(is_fence, line).when(acc["open"], bare).otherwise(body)
-        return F.struct((acc["open"] != is_fence).alias("open"), F.concat(acc["out"], F.array(kept)).alias("out"))
-
-    folded = F.aggregate(lines, start, step, lambda acc: F.array_join(acc["out"], "\n"))
-    return F.regexp_replace(folded, "\n{3,}", "\n\n")
+    more line ends become two. Fenced blocks and what lies between them are treated apart, each as a whole."""
+    ws, bar = r"[\p{IsWhite_Space}\x{1c}-\x{1f}]", r"(?:`{3,}|~{3,})"
+    blank = r"[\p{IsWhite_Space}\x{1c}-\x{1f}&&[^\n]]"
+    fenced = rf"(?dms)^{blank}*{bar}.*?(?:^{blank}*{bar}[^\n]*$|\z)"
+    between, blocks = F.split(c, fenced), F.regexp_extract_all(c, F.lit(fenced), 0)
+    trimmed = lambda t: F.regexp_replace(t, rf"(?dm){blank}+$", "")
+    outside = F.transform(between, lambda t: F.regexp_replace(trimmed(t), rf"(?<=[^\p{{IsWhite_Space}}\x{{1c}}-\x{{1f}}]){blank}+(?={ws[:1]}^{ws[1:]})", " "))
+    inside = F.transform(blocks, lambda t: F.regexp_replace(t, rf"(?dm)^(?!{blank}*{bar})([^\n]*?){blank}+$", "$1"))
+    both = F.array_join(F.flatten(F.zip_with(outside, inside, lambda o, i: F.array(o, F.coalesce(i, F.lit(""))))), "")
+    return F.regexp_replace(both, "\n{3,}", "\n\n")
 
 
 def strip_tags(c: Column) -> Column:

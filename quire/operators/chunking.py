@@ -29,13 +29,28 @@ _SENTENCE = re.compile(r"[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]
 _PUA = re.compile("[-\U000f0000-\U000ffffd\U00100000-\U0010fffd]")
 
 
-def seen(c: str) -> bool:
-    k = unicodedata.category(c)
-    return not (k[0] == "Z" or k in ("Cc", "Cf", "Cs"))
+class _Seen(dict):
+    """1 for visible characters, 0 for separators, controls, formats and surrogates; looked up once per character."""
+
+    def __missing__(self, c: str) -> int:
+        k = unicodedata.category(c)
+        self[c] = got = int(not (k[0] == "Z" or k in ("Cc", "Cf", "Cs")))
+        return got
+
+
+class _Bytes(dict):
+    def __missing__(self, c: str) -> int:
+        self[c] = got = len(c.encode("utf-8", "surrogatepass"))
+        return got
+
+
+_SEEN, _BYTES = _Seen(), _Bytes()
+#: characters that may share a grapheme with a neighbour
+_JOINING = regex.compile(r"[\p{M}\r\u200d\u1100-\u11ff\ua960-\ua97f\uac00-\ud7ff\U0001f1e6-\U0001f1ff\U0001f3fb-\U0001f3ff\U000e0020-\U000e007f\u0600-\u0605\u06dd\u070f\u0e33\u0eb3\u200c]")
 
 
 def seen_len(s: str) -> int:
-    return sum(map(seen, s))
+    return sum(map(_SEEN.__getitem__, s))
 
 
 class Text:
@@ -43,9 +58,9 @@ class Text:
 
     def __init__(self, text: str):
         self.text = text
-        self.visible = [0, *accumulate(map(seen, text))]
-        self.bytes = [0, *accumulate(len(c.encode("utf-8", "surrogatepass")) for c in text)]
-        self.cells = [m.start() for m in regex.finditer(r"\X", text)] + [len(text)]
+        self.visible = [0, *accumulate(map(_SEEN.__getitem__, text))]
+        self.bytes = [0, *accumulate(map(_BYTES.__getitem__, text))]
+        self.cells = [m.start() for m in regex.finditer(r"\X", text)] + [len(text)] if _JOINING.search(text) else range(len(text) + 1)
 
     def floor(self, at: int) -> int:
         """The grapheme boundary at or before `at`."""
@@ -111,7 +126,10 @@ class Chunker:
         self.target, self.most, self.least, self.overlap, self.across = target, most, least, overlap, merge_across_chapters
 
     def pieces(self, text: str) -> list[Piece]:
-        t, out, held, chapter = Text(text), [], [], ""
+        return self._pieces(Text(text))
+
+    def _pieces(self, t: Text) -> list[Piece]:
+        text, out, held, chapter = t.text, [], [], ""
 
         def path(s: Section) -> str:
             if s.chapter or not s.heading:
@@ -219,7 +237,7 @@ class Chunker:
 
     def chunks(self, text: str) -> list[dict]:
         t, out = Text(text), []
-        for i, p in enumerate(self.pieces(text), 1):
+        for i, p in enumerate(self._pieces(t), 1):
             content = _PUA.sub("�", p.content)
             if seen_len(content) > self.most or len(content) > MODEL_POINTS or not 0 <= p.start <= p.end <= len(text):
                 raise ValueError(f"chunk {i} breaks its limits at {p.path!r}")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.drift import Shape, canonical_blocks, drift, fused_schema, shapes
-from quire.session import table
+from quire.session import spread_table
 
 INT, STR, BOOL = {"int"}, {"str"}, {"bool"}
 INTS = {"list<int>", "list<>"}
@@ -40,7 +40,7 @@ PAGES = {"book_middle": "pdf_info", "middle_json": "pages"}
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, shape in FILES.items():
-        got, _ = drift(table(spark, sf_dir, name).select("file_id", "raw"), "file_id", "raw", shape)
+        got, _ = drift(spread_table(spark, sf_dir, name).select("file_id", "raw"), "file_id", "raw", shape)
         got = got.select(F.lit(name).alias("table_name"), "file_id", "field_path", "change_kind")
         out = got if out is None else out.unionByName(got)
     return out
@@ -50,7 +50,7 @@ def p1_fused_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every path and field of either kind of file with its alternative types."""
     out = None
     for name in FILES:
-        got = fused_schema(shapes(table(spark, sf_dir, name), "file_id", "raw")).select(F.lit(name).alias("table_name"), "*")
+        got = fused_schema(shapes(spread_table(spark, sf_dir, name), "file_id", "raw")).select(F.lit(name).alias("table_name"), "*")
         out = got if out is None else out.unionByName(got)
     return out.withColumn("alternatives", F.to_json("alternatives"))
 
@@ -59,7 +59,7 @@ def p1_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The consistent table of page-level blocks of both kinds of file."""
     out = None
     for name, shape in FILES.items():
-        df = table(spark, sf_dir, name)
+        df = spread_table(spark, sf_dir, name)
         _, aliases = drift(df.select("file_id", "raw"), "file_id", "raw", shape)
         got = canonical_blocks(df, shape, aliases, PAGES[name]).select(F.lit(name).alias("table_name"), "*")
         out = got if out is None else out.unionByName(got)

@@ -9,11 +9,11 @@ from quire.functions.text import collapse_whitespace, visible_len
 from quire.operators.chat import chat_format, clean, rounds, summaries, topic_switches
 from quire.operators.chunking import Chunker, book_card, chunk_books
 from quire.operators.parsed import FOOTNOTES, FURNITURE, KNOWN, ALIASES, append_footnotes, box01, footnotes, image_types, product_form, skips_ocr, type_census
-from quire.session import table
+from quire.session import spread_table, table
 
 
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text is not null and category = 'book'").select("doc_id", "source", collapse_whitespace(F.col("text")).alias("content"))
+    return spread_table(spark, sf_dir, "documents").where("text is not null and category = 'book'").select("doc_id", "source", collapse_whitespace(F.col("text")).alias("content"))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def book_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text is not null and category = 'chat'").select("doc_id", "text")
+    return spread_table(spark, sf_dir, "documents").where("text is not null and category = 'chat'").select("doc_id", "text")
 
 
 def chat_formats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.operators.drift import drift
 from quire.operators.nested import child_table, flatten
 from quire.queries.drift import FILES
-from quire.session import table
+from quire.session import spread_table
 
 _BLANK = r"^[\p{IsWhite_Space}\x1c-\x1f]*$"
 
@@ -23,7 +23,7 @@ def _either(field: str, alias: dict[str, str]) -> str:
 
 
 def _middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "book_middle").select("file_id", "raw")
+    df = spread_table(spark, sf_dir, "book_middle").select("file_id", "raw")
     names = _new_names(df, "book_middle")
     page = names.get("pdf_info[]", {})
     flat = flatten(df, "file_id", "raw", fields="type", collapse=False)
@@ -40,7 +40,7 @@ def _middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _v4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "middle_json").select("file_id", "raw")
+    df = spread_table(spark, sf_dir, "middle_json").select("file_id", "raw")
     names = _new_names(df, "middle_json")
     body = _either("content", names.get("pages[].blocks[]", {}))
     flat = flatten(df, "file_id", "raw", fields=rf"|{body}(?:\.content)*", collapse=False)
@@ -62,7 +62,7 @@ def p5_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All elements of all array levels of both kinds of file with their parents."""
     out = None
     for name in FILES:
-        got = flatten(table(spark, sf_dir, name), "file_id", "raw").select(
+        got = flatten(spread_table(spark, sf_dir, name), "file_id", "raw").select(
             F.lit(name).alias("table_name"), "doc_key", "level_path", "node_key", "parent_key", "ordinal", F.to_json("fields").alias("fields"))
         out = got if out is None else out.unionByName(got)
     return out
@@ -70,7 +70,7 @@ def p5_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_span_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The typed child table of the spans of lines that lie directly in page-level blocks."""
-    return child_table(flatten(table(spark, sf_dir, "book_middle"), "file_id", "raw"), "$.pdf_info[].preproc_blocks[].lines[].spans[]")
+    return child_table(flatten(spread_table(spark, sf_dir, "book_middle"), "file_id", "raw"), "$.pdf_info[].preproc_blocks[].lines[].spans[]")
 
 
 QUERIES = {"p5_found": p5_found, "p5_nodes": p5_nodes, "p5_span_table": p5_span_table}
