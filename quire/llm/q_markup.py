@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from quire.llm.markup import convert, elements
 from quire.operators.references import guid_key
-from quire.session import table
+from quire.session import spread_table
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of both tables; a book is the host of its pages."""
-    a = table(spark, sf_dir, "documents_book_chunk").select(
+    a = spread_table(spark, sf_dir, "documents_book_chunk").select(
         F.lit("documents_book_chunk").alias("table_name"), F.col("chunk_id").alias("row_id"), guid_key(F.col("book_guid")).alias("host"), F.col("content").alias("text"))
-    b = table(spark, sf_dir, "book_content_list_v2").select(
+    b = spread_table(spark, sf_dir, "book_content_list_v2").select(
         F.lit("book_content_list_v2").alias("table_name"), F.col("entry_id").alias("row_id"), guid_key(F.col("book_guid")).alias("host"), F.col("content.content").alias("text"))
     return a.unionByName(b)
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.mixing import mix
 from quire.llm.tokens import count_tokens
-from quire.session import table
+from quire.session import spread_table, table
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").where("source is not null and text is not null")
+    docs = spread_table(spark, sf_dir, "documents").where("source is not null and text is not null")
     return mix(count_tokens(docs, "text", ["doc_id", "source"]), "doc_id", "source", "n_tokens", table(spark, sf_dir, "mix_targets"))
 
 

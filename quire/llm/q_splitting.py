@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.splitting import split_long
-from quire.session import table
+from quire.session import spread_table
 
 
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces, in order by doc_id and piece."""
-    return split_long(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return split_long(spread_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.visual import consistent, same_looking_pairs, variants
-from quire.session import table
+from quire.session import spread_table
 
 FIELDS = {"documents_book_chunk": "content", "documents_book_chunk_fts": "content_tokenized"}
 
@@ -14,7 +14,7 @@ FIELDS = {"documents_book_chunk": "content", "documents_book_chunk_fts": "conten
 def _each(spark: SparkSession, sf_dir: str, op) -> DataFrame:
     out = None
     for name, field in FIELDS.items():
-        got = op(table(spark, sf_dir, name), field)
+        got = op(spread_table(spark, sf_dir, name), field)
         got = got.select(F.lit(name).alias("table_name"), *got.columns)
         out = got if out is None else out.unionByName(got)
     return out
