@@ -140,10 +140,18 @@ def without_front_matter(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\A---[ \t]*\n.*?\n---[ \t]*(?:\n|\z)", "")
 
 
+_FOLDED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+_TO = "".join(unicodedata.normalize("NFD", x)[0] for x in _FOLDED)
+
+
 def fold_term(c: Column) -> Column:
     """Equality of terms: no letter case, no Latin accents."""
-    src = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-    return F.translate(F.lower(c), src, "".join(unicodedata.normalize("NFD", x)[0] for x in src))
+    return F.translate(F.lower(c), _FOLDED, _TO)
+
+
+def fold_word(t: str) -> str:
+    """The same on the driver."""
+    return t.lower().translate(str.maketrans(_FOLDED, _TO))
 
 
 def any_of(conditions: list[Column]) -> Column:

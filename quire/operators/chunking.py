@@ -22,6 +22,7 @@ MOST_HEADING, MOST_PATH = 200, 512
 MOST_POINTS, MODEL_POINTS = 8000, 8192
 CARD_CHARS = 2000
 SKIPPED = "目录"
+# What counts as a heading, a fence and a chapter.
 _HEADING = re.compile(r"^(#{1,6})\s*(.*?)\s*$")
 _FENCE = re.compile(r"^\s*(?:`{3,}|~{3,})")
 _CHAPTER = re.compile(r"^(?:第\s*[0-9一二三四五六七八九十百千零两]+\s*[篇部章]|part\s*\d+|chapter\s*\d+)", re.I)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import fold_term
+from quire.functions.text import fold_term, fold_word
 
 
 def postings(fts: DataFrame, key: str = "chunk_id", tokens: str = "content_tokenized", ts: str = "indexed_at") -> DataFrame:
@@ -20,12 +20,14 @@ def rank(fts: DataFrame, terms: list[str], k: int | None, key: str = "chunk_id",
     """key, score: records with any of the terms by the sum of tf * idf^2 with idf = log10(N / n) (mode nl), or BM25.
     Records are scanned once; only counts of the few asked terms leave the scan. `only` (keys) restricts the result, not
     the statistics."""
-    asked = sorted({t for t in terms if t})
-    first = fts.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(tokens, F.struct(ts, tokens)).alias("_t"))
-    words = F.filter(F.split(fold_term(F.col("_t")), r"[ \n\t]+"), lambda x: x != "")
-    want = F.transform(F.array(*[F.lit(t) for t in asked]), fold_term)
-    doc = first.select(key, words.alias("_w")).select(
-        key, F.size("_w").alias("len"), F.filter("_w", lambda x: F.array_contains(want, x)).alias("_h"))
+    asked = sorted({fold_word(t) for t in terms if t})
+    if not asked:
+        return fts.sparkSession.createDataFrame([], f"`{key}` {dict(fts.dtypes)[key]}, score double")
+    words = F.filter(F.split(fold_term(F.col(tokens)), r"[ \n\t]+"), lambda x: x != "")
+    # texts stay where they are: only lengths and the few asked terms of each copy are moved
+    each = fts.where(F.col(key).isNotNull() & F.col(tokens).isNotNull()).select(key, F.struct(ts, F.md5(tokens)).alias("_o"), words.alias("_w")).select(
+        key, "_o", F.struct(F.size("_w").alias("len"), F.filter("_w", lambda x: x.isin(asked)).alias("h")).alias("_d"))
+    doc = each.groupBy(key).agg(F.min_by("_d", "_o").alias("_d")).select(key, F.col("_d.len").alias("len"), F.col("_d.h").alias("_h"))
     stats = doc.agg(F.count("*").alias("total"), F.avg("len").alias("avg_len"))
     hits = doc.where(F.size("_h") > 0).select(key, "len", F.explode("_h").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
     # one row per asked term: its size is that of the query

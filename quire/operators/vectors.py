@@ -40,8 +40,10 @@ def nearest(vectors: DataFrame, query: list[float] | DataFrame, k: int | None, k
 
 
 def weighted_mean(vectors: DataFrame, group: list[str], vec: str, weight: str) -> DataFrame:
-    """The mean of each group's vectors weighted by `weight`, scaled to length 1; partial sums by position."""
-    e = vectors.select(*group, F.col(weight).cast("double").alias("_w"), F.posexplode(vec).alias("_i", "_x"))
-    m = e.groupBy(*group, "_i").agg((F.sum(F.col("_w") * F.col("_x").cast("double")) / F.sum("_w")).alias("_m"))
-    a = m.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("_v"))
-    return a.withColumn("_n", norm(F.col("_v"))).select(*group, F.when(F.col("_n") > 0, F.transform("_v", lambda x: x / F.col("_n"))).otherwise(F.col("_v")).alias("mean"))
+    """The mean of each group's vectors weighted by `weight`, scaled to length 1; partial sums are whole vectors."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    v = vectors.where(F.col(vec).isNotNull()).select(*group, array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("_v"), F.col(weight).cast("double").alias("_w"))
+    a = v.groupBy(*group).agg(vector_to_array(Summarizer.mean(F.col("_v"), F.col("_w"))).alias("_v")).withColumn("_n", norm(F.col("_v")))
+    return a.select(*group, F.when(F.col("_n") > 0, F.transform("_v", lambda x: x / F.col("_n"))).otherwise(F.col("_v")).alias("mean"))

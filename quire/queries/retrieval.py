@@ -141,7 +141,7 @@ _BOOK = f"""book AS (SELECT guid, arg_min(r, r) AS r FROM (SELECT {_GUID.format(
 _CHUNK = f"""chunk AS (SELECT chunk_id, {_GUID.format(c='r.b')} AS guid, r.c AS chunk_seq, r.e AS content FROM (
   SELECT chunk_id, min({{'a': created_at, 'b': book_guid, 'c': chunk_seq, 'd': heading_path, 'e': content, 'f': has_pua}}) AS r FROM documents_book_chunk WHERE chunk_id IS NOT NULL GROUP BY 1))"""
 _DOC = f"""doc AS (SELECT chunk_id, list_filter(string_split_regex({_FOLD.format(c='t')}, '[ \\n\\t]+'), lambda x: x <> '') AS w FROM (
-  SELECT chunk_id, arg_min(content_tokenized, (indexed_at, content_tokenized)) AS t FROM documents_book_chunk_fts WHERE chunk_id IS NOT NULL GROUP BY 1) WHERE t IS NOT NULL)"""
+  SELECT chunk_id, arg_min(content_tokenized, (indexed_at, md5(content_tokenized))) AS t FROM documents_book_chunk_fts WHERE chunk_id IS NOT NULL AND content_tokenized IS NOT NULL GROUP BY 1))"""
 _HIT = f"""n AS (SELECT count(*) AS big, avg(len(w)) AS al FROM doc),
 hit AS (SELECT chunk_id, len(w) AS l, term, count(*) AS tf FROM (SELECT chunk_id, w, unnest(w) AS term FROM doc) WHERE term IN (SELECT {_FOLD.format(c='x')} FROM unnest([{_KEPT}]) u(x)) GROUP BY ALL),
 idf AS (SELECT term, count(*) AS n FROM hit GROUP BY 1),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import (collapse_whitespace, display_width, fold_kangxi, front_matter, has_cjk, has_pua, image_refs, kangxi_count, pua_count, sanitize_pua, snippet,
@@ -12,7 +12,8 @@ from quire.operators.errata import SIGNALS, errata, fired, note
 from quire.queries.retrieval import _BOOK, _CHUNK, store
 from quire.session import table
 
-C = F.col("content")
+def _c() -> Column:
+    return F.col("content")
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +22,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the index would hold of each chunk."""
-    return _chunks(spark, sf_dir).select("chunk_id", F.md5(index_text(C)).alias("tokens_md5"), F.size(index_terms(C)).alias("n_tokens"))
+    return _chunks(spark, sf_dir).select("chunk_id", F.md5(index_text(_c())).alias("tokens_md5"), F.size(index_terms(_c())).alias("n_tokens"))
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,16 +33,16 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that break a rule of segmentation; there are none."""
-    terms = index_terms(C)
-    bad = (F.array_join(segments(C), "") != C) | (F.size(F.array_except(query_terms_col(C), terms)) > 0) | F.exists(
+    terms = index_terms(_c())
+    bad = (F.array_join(segments(_c()), "") != _c()) | (F.size(F.array_except(query_terms_col(_c()), terms)) > 0) | F.exists(
         terms, lambda t: t.rlike(r"[\x{4E00}-\x{9FFF}]") & t.rlike(r"[^\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"))
-    return _chunks(spark, sf_dir).where((C != "") & bad).select("chunk_id")
+    return _chunks(spark, sf_dir).where((_c() != "") & bad).select("chunk_id")
 
 
 def unicode_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).select(
-        "chunk_id", F.length(C).alias("points"), F.octet_length(C).alias("bytes"), visible_len(C).alias("visible"), kangxi_count(C).alias("kangxi"), pua_count(C).alias("pua"),
-        has_cjk(C).alias("cjk"), has_pua(C).alias("pua_any"), F.md5(sanitize_pua(C)).alias("sanitized_md5"), F.md5(fold_kangxi(C)).alias("folded_md5"), token_estimate(C).alias("tokens_about"))
+        "chunk_id", F.length(_c()).alias("points"), F.octet_length(_c()).alias("bytes"), visible_len(_c()).alias("visible"), kangxi_count(_c()).alias("kangxi"), pua_count(_c()).alias("pua"),
+        has_cjk(_c()).alias("cjk"), has_pua(_c()).alias("pua_any"), F.md5(sanitize_pua(_c())).alias("sanitized_md5"), F.md5(fold_kangxi(_c())).alias("folded_md5"), token_estimate(_c()).alias("tokens_about"))
 
 
 def widths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,20 +50,20 @@ def widths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunks(spark, sf_dir).select("chunk_id", snippet(C).alias("snippet"))
+    return _chunks(spark, sf_dir).select("chunk_id", snippet(_c()).alias("snippet"))
 
 
 def collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = collapse_whitespace(C)
+    once = collapse_whitespace(_c())
     return _chunks(spark, sf_dir).select("chunk_id", F.md5(once).alias("collapsed_md5"), (collapse_whitespace(once) == once).alias("idempotent"))
 
 
 def errata_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunks(spark, sf_dir).select("chunk_id", errata(C).alias("e")).select("chunk_id", "e.chars", "e.words", *[f"e.{s}" for s in SIGNALS])
+    return _chunks(spark, sf_dir).select("chunk_id", errata(_c()).alias("e")).select("chunk_id", "e.chars", "e.words", *[f"e.{s}" for s in SIGNALS])
 
 
 def errata_fired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _chunks(spark, sf_dir).select("chunk_id", errata(C).alias("e"))
+    e = _chunks(spark, sf_dir).select("chunk_id", errata(_c()).alias("e"))
     return e.select(F.explode(fired(F.col("e"))).alias("signal")).groupBy("signal").agg(F.count("*").alias("chunks"))
 
 
@@ -72,11 +73,11 @@ def errata_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tags_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunks(spark, sf_dir).where(C.contains("<")).select("chunk_id", F.md5(strip_tags(C)).alias("text_md5"))
+    return _chunks(spark, sf_dir).where(_c().contains("<")).select("chunk_id", F.md5(strip_tags(_c())).alias("text_md5"))
 
 
 def images_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunks(spark, sf_dir).select("chunk_id", F.array_join(image_refs(C), " ").alias("refs")).where("refs <> ''")
+    return _chunks(spark, sf_dir).select("chunk_id", F.array_join(image_refs(_c()), " ").alias("refs")).where("refs <> ''")
 
 
 def note_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
