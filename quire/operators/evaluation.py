@@ -73,3 +73,10 @@ def health_states(log: DataFrame, who: str, order: list[str], failed: Column, do
 def errors(rows: DataFrame, kind: str, message: str, example: str) -> DataFrame:
     """Histogram of 'kind: message' with the first example."""
     return rows.groupBy(F.concat_ws(": ", kind, message).alias("error")).agg(F.count("*").alias("n"), F.min(example).alias("example"))
+
+
+def within_vocabulary(rows: DataFrame, tags: str, library: DataFrame) -> DataFrame:
+    """Rows with whether all their tags are among the library's (one column tag)."""
+    each = rows.select("id", F.explode(tags).alias("tag")).join(library.select("tag").distinct().withColumn("_known", F.lit(True)), "tag", "left")
+    known = each.groupBy("id").agg(F.bool_and(F.coalesce("_known", F.lit(False))).alias("all_known"))
+    return rows.select("id").join(known, "id", "left").withColumn("all_known", F.coalesce("all_known", F.lit(True)))

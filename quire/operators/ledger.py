@@ -121,3 +121,14 @@ def cache_stats(cache: DataFrame, now: Column) -> DataFrame:
 def image_registry(refs: DataFrame) -> DataFrame:
     """md5, refs, ocr_text: counted from the references, so nothing has to be kept up to date."""
     return refs.groupBy("md5").agg(F.count("*").alias("refs"), F.min("ocr_text").alias("ocr_text"))
+
+
+def orphan_images(images: DataFrame, refs: DataFrame) -> DataFrame:
+    """Stored images that no document refers to."""
+    return images.join(refs.select("md5").distinct(), "md5", "left_anti")
+
+
+def orphan_footnotes(footnotes: DataFrame, books: DataFrame) -> DataFrame:
+    """Footnotes of books that aren't stored."""
+    b = books.select(F.lower("guid").alias("_g")).distinct()
+    return footnotes.join(b, F.lower("book_guid") == F.col("_g"), "left_anti")

@@ -147,6 +147,12 @@ class Store:
     def search(self, query: str, **kw) -> SearchResult:
         return self.engine().search(query, **kw)
 
+    def sql(self, query: str, args: dict | list | None = None) -> DataFrame:
+        """Any query over the store's tables, with its parameters apart from its text."""
+        for name in SCHEMAS:
+            self.table(name).createOrReplaceTempView(name)
+        return self.spark.sql(query, args)
+
     def list_buckets(self) -> DataFrame:
         out = None
         for n in ("book", "chat", "note"):

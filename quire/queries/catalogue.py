@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.tags import add_col, all_like, any_tag, remove_col
+from quire.functions.tags import add_col, all_like, any_tag, remove_col, split_col
 from quire.functions.text import path_key, windows_path
-from quire.operators.ledger import (alive, cache_misses, cache_stats, deletion, duplicates, image_registry, match_manifest, mismatches, missing_guids, reconcile,
+from quire.operators.evaluation import within_vocabulary
+from quire.operators.ledger import (cache_misses, cache_stats, deletion, duplicates, image_registry, match_manifest, mismatches, missing_guids, orphan_footnotes, reconcile,
                                     tag_audit, tag_cloud, untagged, with_counts, is_complete)
 from quire.queries.retrieval import _BOOK, _CHUNK, store
 from quire.session import table
@@ -132,7 +133,19 @@ def images_referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image_registry(e.select(F.md5("path").alias("md5"), F.lit(None).cast("string").alias("ocr_text"))).select("md5", "refs")
 
 
-QUERIES = {f.__name__: f for f in (bucket_counts, tags_used, books_by_tag, tags_edited, tag_audit_counts, tag_audit_samples, ledger_status, ledger_unfinished, ledger_mismatch,
+def footnotes_orphaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footnote blocks of books that aren't stored, by book."""
+    f = table(spark, sf_dir, "normalized_block").where("block_type in ('page_footnote', 'footnote') and book_guid is not null").select("book_guid", "block_id").distinct()
+    return orphan_footnotes(f, store(spark, sf_dir)["book"]).groupBy("book_guid").agg(F.count("*").alias("blocks"))
+
+
+def tags_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books whose tags all occur in the first bucket's books."""
+    b = store(spark, sf_dir)["book"].select(F.col("guid").alias("id"), "bucket", split_col(F.coalesce("tags", F.lit(""))).alias("t"))
+    return within_vocabulary(b, "t", b.where("bucket = '馆藏'").select(F.explode("t").alias("tag")))
+
+
+QUERIES = {f.__name__: f for f in (footnotes_orphaned, tags_known, bucket_counts, tags_used, books_by_tag, tags_edited, tag_audit_counts, tag_audit_samples, ledger_status, ledger_unfinished, ledger_mismatch,
                                    ledger_complete, ledger_dupes, ledger_untagged, ledger_reconcile, paths, delete_counts, asked_missing, manifest_match, embed_cache_miss,
                                    cache_expired, images_referenced)}
 _B = f"WITH {_BOOK}, b AS (SELECT guid, r.c AS title, r.d AS bucket, r.e AS tags, r.f AS source_path, r.g AS status, r.h AS expected_chunks FROM book)"
@@ -146,6 +159,10 @@ _AUDIT = f""", e AS (SELECT DISTINCT guid, trim(x) AS element, CASE WHEN trim(co
   WHEN lower(trim(x)) IN ({', '.join(repr(k) for k in sorted(KEYWORDS))}) THEN 'keyword' END AS defect
   FROM (SELECT guid, tags, unnest(string_split(coalesce(tags, ''), ',')) AS x FROM b))"""
 SQL = {
+    "footnotes_orphaned": _B + """ SELECT book_guid, count(DISTINCT block_id) AS blocks FROM normalized_block WHERE block_type IN ('page_footnote', 'footnote') AND book_guid IS NOT NULL
+      AND lower(book_guid) NOT IN (SELECT guid FROM b) GROUP BY 1""",
+    "tags_known": _B + f""", v AS (SELECT DISTINCT unnest({_TAGS}) AS tag FROM b WHERE bucket = '馆藏'), e AS (SELECT guid, unnest({_TAGS}) AS tag FROM b)
+      SELECT b.guid AS id, b.guid NOT IN (SELECT guid FROM e WHERE tag NOT IN (SELECT tag FROM v)) AS all_known FROM b""",
     "bucket_counts": _B + """ SELECT table_name, bucket, count(*) AS documents FROM (SELECT 'documents_book' AS table_name, bucket FROM b
       UNION ALL SELECT 'documents_' || category, source FROM documents WHERE category <> 'book') GROUP BY ALL""",
     "tags_used": _B + f" SELECT tag, count(*) AS n FROM (SELECT unnest({_TAGS}) AS tag FROM b WHERE tags IS NOT NULL) GROUP BY 1",
