@@ -68,6 +68,10 @@ def tile(li: np.ndarray, lv: np.ndarray, ri: np.ndarray, rv: np.ndarray, k: int,
     kept: list[tuple[np.ndarray, ...]] = []
     kth_l = np.full(len(li), -2.0 if min_sim is None else min_sim, dtype=np.float32)
     kth_r = np.full(len(ri), -2.0 if min_sim is None else min_sim, dtype=np.float32)
+    # where each of `li` stands in `ri` (or -1): no row is its own neighbour, so its own product must not raise a bound either
+    order = np.argsort(ri)
+    at = order[np.minimum(np.searchsorted(ri, li, sorter=order), len(ri) - 1)] if len(ri) else np.zeros(len(li), np.int64)
+    self_at = np.where(ri[at] == li, at, -1) if len(ri) else at - 1
 
     def raise_(kth: np.ndarray, at: slice, low: np.ndarray, axis: int, mask: np.ndarray) -> None:
         """The k-th best lower bound within this part is a bound for the whole."""
@@ -87,6 +91,8 @@ def tile(li: np.ndarray, lv: np.ndarray, ri: np.ndarray, rv: np.ndarray, k: int,
             s = ql[sa] @ qr[sb].T
             s *= sl[sa, None]
             s *= sr[None, sb]
+            own = np.flatnonzero((self_at[sa] >= b) & (self_at[sa] < sb.stop))
+            s[own, self_at[sa][own] - b] = -np.inf
             bound = el[sa].max() + er[sb].max() + el[sa].max() * er[sb].max()
             base = min(kth_l[sa].min(), kth_r[sb].min()) if both else kth_l[sa].min()
             if s.max() + bound < base:
@@ -104,9 +110,7 @@ def tile(li: np.ndarray, lv: np.ndarray, ri: np.ndarray, rv: np.ndarray, k: int,
             for p in range(0, len(r), _PAIRS):
                 x, y = r[p : p + _PAIRS], c[p : p + _PAIRS]
                 sim = np.round(np.einsum("ij,ij->i", lv64[x], rv64[y]), 7)
-                go = li[x] != ri[y]
-                if min_sim is not None:
-                    go &= sim >= min_sim
+                go = sim >= (-np.inf if min_sim is None else min_sim)
                 x, y, sim = li[x[go]], ri[y[go]], sim[go]
                 i = _best(x, y, sim, k)
                 kept.append((x[i], y[i], sim[i]))

@@ -158,6 +158,19 @@ def test_knn_equals_brute_force(spark, least):
     assert {i: [n for _, n in sorted(v)] for i, v in got.items()} == {i: v for i, v in brute(ids, x, 5, least).items() if v}
 
 
+@pytest.mark.parametrize("least", [None, 0.9])
+def test_own_product_takes_no_place(least):
+    """k-1 near copies, a k-th neighbour further below them than the products' error, and enough others to prune."""
+    rng = np.random.default_rng(4)
+    off = rng.normal(size=(60, 63))
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    sim = np.array([1.0] + [0.99] * 9 + [0.92] + [0.905] * 49)
+    x = np.hstack([sim[:, None], np.sqrt(1 - sim**2)[:, None] * off]).astype(np.float32)
+    ids = np.arange(60)
+    row, other, _ = neighbours.tile(ids, x, ids, x, 10, least, False)
+    assert set(other[row == 0].tolist()) == set(range(1, 11))
+
+
 def test_knn_of_queries_and_nothing(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 41)], "id bigint, e array<float>")
     got = neighbours.knn(df, "id", "e", 3, 2, queries=F.col("id") % 20 == 0).collect()
