@@ -63,13 +63,46 @@ def _codes(ws: list[str]) -> np.ndarray:
     return np.frombuffer("".join(ws).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+def _least_sum(x: np.ndarray, n: int) -> int:
+    """The least sum of any n in a row."""
+    c = np.concatenate(([0], np.cumsum(x)))
+    return int((c[n:] - c[:-n]).min()) if n > 0 else 0
+
+
+def _least_distinct(x: list, n: int) -> int:
+    """The fewest distinct ones of any n in a row."""
+    if n <= 0:
+        return 0
+    again, last = np.zeros(len(x) + 2, np.int64), {}
+    for i, v in enumerate(x):
+        j = last.get(v, -n)
+        if i - j < n:  # counts once only where both lie in the window
+            again[max(0, i - n + 1)] += 1
+            again[j + 1] -= 1
+        last[v] = i
+    return n - int(np.cumsum(again)[: len(x) - n + 1].max())
+
+
+def _budgets(n: int, share: float, rate: float) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(length, [(altered or dropped, added)]): lengths of passages of an item of n words, each with the most alterations that
+    `repeats` accepts; added words count towards the length they are measured by. A passage of twice the least length or
+    more has a part that is accepted too; of lengths with the same alterations the shortest is enough."""
+    m = max(1, math.ceil(share * n - 1e-9))
+    before = None
+    for length in range(m, min(n, 2 * m - 1) + 1):
+        most = [(int(rate * (length + i) + 1e-9) - i, i) for i in range(int(rate * length / (1 - rate) + 1e-9) + 1)] if rate < 1 else [(length, 0)]
+        if most != before:
+            yield length, most
+        before = most
+
+
 class Index:
     """q-grams of the items of one kind (Han or not), with each item's bound and band width."""
 
     def __init__(self, items: list[tuple[int, list[str]]], q: int, share: float, rate: float):
         self.q, self.items = q, items
         grams, item, place, need, width, length = [], [], [], [], [], []
-        #: word pairs of each item, and how many of them its least passage keeps: an altered word breaks two at most (of triples three)
+        #: word pairs of each item, and how many of them any of its passages keeps: an altered word breaks two at most, an added one one (of triples three and two)
         self.pairs, self.keep, self.triples, self.keep3 = [], [], [], []
         for n, (_, ws) in enumerate(items):
             g = _grams(_codes(ws), q)
@@ -77,18 +110,18 @@ class Index:
             item.append(np.full(len(g), n))
             place.append(np.arange(len(g)))
             lens = np.array([len(w) for w in ws])
-            m = max(1, math.ceil(share * len(ws)))
-            e = int(m * rate)
-            worst = np.sort(lens)[::-1][:e]
-            self.pairs.append(set(zip(ws, ws[1:])))
-            grid = list(zip(ws, ws[1:]))
-            self.keep.append(min((len(set(grid[i : i + m - 1])) for i in range(len(ws) - m + 1)), default=0) - 2 * e)
-            grid3 = list(zip(ws, ws[1:], ws[2:]))
+            worst = np.concatenate(([0], np.cumsum(np.sort(lens)[::-1] + q - 1)))
+            grid, grid3 = list(zip(ws, ws[1:])), list(zip(ws, ws[1:], ws[2:]))
+            self.pairs.append(set(grid))
             self.triples.append(set(grid3))
-            self.keep3.append(min((len(set(grid3[i : i + m - 2])) for i in range(len(ws) - m + 1)), default=0) - 3 * e)
-            letters = np.concatenate(([0], np.cumsum(lens)))
-            least = int((letters[m:] - letters[:-m]).min())
-            need.append(max(1, least - (q - 1) - int((worst + q - 1).sum())))
+            keep, keep3, least = [], [], []
+            for m, most in _budgets(len(ws), share, rate):
+                keep.append(_least_distinct(grid, m - 1) - max(2 * e + i for e, i in most))
+                keep3.append(_least_distinct(grid3, m - 2) - max(3 * e + 2 * i for e, i in most))
+                least.append(_least_sum(lens, m) - (q - 1) - max(int(worst[e]) + i * (q - 1) for e, i in most))
+            self.keep.append(min(keep))
+            self.keep3.append(min(keep3))
+            need.append(max(1, min(least)))
             width.append(max(8, 2 * int(np.sort(lens)[::-1][: max(1, int(len(ws) * rate))].sum())))
             length.append(int(lens.sum()))
         self.need, self.width, self.length = np.array(need), np.array(width), np.array(length)

@@ -223,6 +223,33 @@ def test_filter_loses_no_passage(seed):
     assert [x[:2] for x in leakage._find([(7, text)], indexes, ids, 0.4, 1 / 8)] == [(7, 1)]
 
 
+@pytest.mark.parametrize("n", [33, 35, 37, 53, 57])
+@pytest.mark.parametrize("more", [0, 1, 2, 9])
+@pytest.mark.parametrize("added", [0, 1, 2])
+def test_filter_keeps_the_full_budget(n, more, added):
+    """Passages somewhat longer than the least, with every alteration that plain alignment accepts."""
+    ws = [f"{a}{b}" for a in ("molat", "terib", "finul", "garem") for b in ("aten", "ibor", "ulas", "emit", "orax", "ynde", "ikol", "usab", "ofin", "eras", "apum", "ogin", "ulet", "imas", "edor")][:n]
+    length = -(-2 * n // 5) + more
+    part = list(ws[:length])
+    altered = int((length + added) / 8) - added
+    if altered < 0:
+        pytest.skip("more than the budget")
+    for i in range(altered + added):
+        at = (i + 1) * length // (altered + added + 1)
+        part[at] = f"qqqqqqq{i}" if i < altered else f"qqqqqqq{i} " + part[at]
+    text = " ".join(["before"] * 30 + part + ["after"] * 30)
+    item, doc = ({w: i for i, w in enumerate(ws)}[w] for w in ws), ({w: i for i, w in enumerate(ws)}.get(w, -1) for w in text.split())
+    accepted = leakage.repeats(list(item), list(doc), 0.4, 1 / 8) >= 0.4
+    indexes, ids = leakage._build(((1, " ".join(ws)),), 0.4, 1 / 8)
+    assert [x[:2] for x in leakage._find([(7, text)], indexes, ids, 0.4, 1 / 8)] == [(7, 1)] * accepted
+
+
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=20), st.data())
+def test_least_distinct(xs, data):
+    n = data.draw(st.integers(1, len(xs)))
+    assert leakage._least_distinct(xs, n) == min(len(set(xs[i : i + n])) for i in range(len(xs) - n + 1))
+
+
 # ---- mixing
 
 
