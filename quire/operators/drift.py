@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -244,15 +245,21 @@ def numbers(v) -> list[float] | None:
         elif isinstance(v, str):
             v = v.split(",")
         return [float(x) for x in v] if isinstance(v, list) else None
-    except (KeyError, TypeError, ValueError):
+    except (KeyError, TypeError, ValueError, OverflowError):
         return None
 
 
 def whole(v) -> int | None:
     try:
-        return None if v is None else int(v)
-    except (TypeError, ValueError):
+        n = None if v is None else int(v)
+    except (TypeError, ValueError, OverflowError):
         return None
+    return n if n is not None and -(2**63) <= n < 2**63 else None
+
+
+def flag(v) -> bool | None:
+    """Canonical conversion of a truth value: itself, 0 or 1, or their names."""
+    return {"true": True, "1": True, "1.0": True, "false": False, "0": False, "0.0": False}.get(str(v).strip().lower())
 
 
 def label(v) -> str | None:
@@ -264,34 +271,161 @@ def label(v) -> str | None:
     return v if v is None or isinstance(v, str) else json.dumps(v)
 
 
-def canonical_blocks(df: DataFrame, shape: Shape, aliases: dict[str, dict[str, str]], pages: str) -> DataFrame:
-    """One consistent row per block that lies directly in a page, whatever its file calls the fields. Values are
-    converted to the canonical type; one of another type also stays as it was, as the branch `field__type` in
-    typed_branches; unknown fields are in extra."""
+def names(v) -> list[str | None] | None:
+    """Canonical conversion of a list of names; one alone is a list of one."""
+    return None if v is None else [label(x) for x in (v if isinstance(v, list) else [v])]
+
+
+def text(v) -> str:
+    """JSON; with escapes where it has halves of surrogate pairs."""
+    s = json.dumps(v, ensure_ascii=False, sort_keys=True)
+    return s if s.isascii() or not any("\ud800" <= c <= "\udfff" for c in s) else json.dumps(v, sort_keys=True)
+
+
+def kind(want: set[str]):
+    """(column type, conversion) of a declared field; None as conversion: nested, held as JSON."""
+    if want <= {"str"}:
+        return pa.string(), label
+    if want <= {"int"}:
+        return pa.int64(), whole
+    if want <= {"bool"}:
+        return pa.bool_(), flag
+    if want <= {"list<int>", "list<float>", "list<float,int>", "list<>"} and want != {"list<>"}:
+        return pa.list_(pa.float64()), numbers
+    if want <= {"list<str>", "list<>"} and want != {"list<>"}:
+        return pa.list_(pa.string()), names
+    return pa.string(), None
+
+
+def tidy(v, shape: Shape | None, where: str, aliases: dict[str, dict[str, str]]):
+    """A nested value with the declared names and types; what was of another type also stays, as `field__type`."""
+    if shape is None:
+        return v
+    if isinstance(v, list):
+        return [tidy(x, shape, where, aliases) if isinstance(x, dict) else x for x in v]
+    if not isinstance(v, dict):
+        return v
+    out, meant = {}, {k: m for m in shape.known if (k := value(v, m, aliases.get(where, {}))[0])}
+    for k, x in v.items():
+        m = meant.get(k)
+        if m is None:
+            out[k] = x
+            continue
+        to = kind(shape.known[m])[1]
+        got = to(x) if to else tidy(x, shape.sub.get(m), below(where, m, shape), aliases)
+        out[m] = x if got is None else got
+        if tag(x) not in shape.known[m]:
+            out[f"{m}__{tag(x).split('<')[0]}"] = x
+    return out
+
+
+def below(where: str, name: str, shape: Shape) -> str:
+    """The path of the objects in a declared field."""
+    return (f"{where}.{name}" if where else name) + ("[]" if any(t.startswith("list") for t in shape.known[name]) else "")
+
+
+def declared(shape: Shape, skip: set[str], at: str = "") -> dict[str, set[str]]:
+    """Dotted names of the fields that become columns: those of declared objects each for itself."""
+    out: dict[str, set[str]] = {}
+    for m, want in shape.known.items():
+        if m in shape.sub and want == {"obj"}:
+            out |= declared(shape.sub[m], set(), f"{at}{m}.")
+        elif m not in skip:
+            out[at + m] = want
+    return out
+
+
+def read(obj: dict, shape: Shape, where: str, aliases: dict[str, dict[str, str]], skip: set[str], at: str = "") -> tuple[dict, dict, dict]:
+    """(converted values, values of another type, unknown fields) of an object, by dotted name. `skip`: fields whose
+    objects have rows of their own."""
+    out, odd, used = {}, {}, set()
+    extra: dict = {}
+    for m, want in shape.known.items():
+        k, v = value(obj, m, aliases.get(where, {}))
+        if not k:
+            continue
+        used.add(k)
+        if tag(v) not in want:
+            odd[f"{at}{m}__{tag(v).split('<')[0]}"] = v
+        if m in shape.sub and want == {"obj"}:
+            if isinstance(v, dict):
+                for to, x in zip((out, odd, extra), read(v, shape.sub[m], below(where, m, shape), aliases, set(), f"{at}{m}.")):
+                    to.update(x)
+        elif m not in skip:
+            to = kind(want)[1]
+            out[at + m] = to(v) if to else text(tidy(v, shape.sub.get(m), below(where, m, shape), aliases))
+            if out[at + m] is None and v is not None:
+                odd[f"{at}{m}__{tag(v).split('<')[0]}"] = v
+    extra |= {at + k: v for k, v in obj.items() if k not in used}
+    return out, odd, extra
+
+
+#: names of columns that say more than the field's
+_RENAMED = {"type": "block_type", "index": "block_index"}
+
+
+def canonical_table(df: DataFrame, shape: Shape, aliases: dict[str, dict[str, str]], pages: str) -> DataFrame:
+    """One consistent table of all that a kind of file holds: a row for each file, page and block that lies directly in a
+    page (`part`), whatever its file calls the fields, and a column for each declared field. Values are converted to the
+    canonical type, nested ones are JSON under the declared names; a value of another type also stays as it was, as the
+    branch `field__type` in typed_branches; unknown fields are in extra."""
     page = shape.sub[pages]
     where = f"{pages}[]"
-    schema = ("file_id bigint, page_pos int, branch string, block_pos int, block_type string, bbox array<double>, block_index bigint, "
-              "level bigint, typed_branches string, extra string")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    blocks = {m: want for s in page.sub.values() for m, want in declared(s, set()).items()}
+    wants = {("file", m): w for m, w in declared(shape, {pages}).items()} | {("page", m): w for m, w in declared(page, set(page.sub)).items()} | {
+        ("block", m): w for m, w in blocks.items()}
+    taken = Counter(m for _, m in wants)
+    name = {(p, m): (f"{p}_{m}" if taken[m] > 1 else _RENAMED.get(m, m) if p == "block" else m).replace(".", "_") for p, m in wants}
+    schema = pa.schema([("file_id", pa.int64()), ("part", pa.string()), ("page_pos", pa.int32()), ("branch", pa.string()), ("block_pos", pa.int32()),
+                        *((name[x], kind(w)[0]) for x, w in wants.items()), ("typed_branches", pa.string()), ("extra", pa.string())])
+    ddl = ", ".join(f"`{f.name}` {_DDL[f.type]}" for f in schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for fid, raw in zip(b["file_id"], b["raw"]):
+            rows: list[dict] = []
+
+            def put(fid, part, pp, branch, i, obj, s, at, skip):
+                got, odd, extra = read(obj, s, at, aliases, skip)
+                rows.append({"file_id": fid, "part": part, "page_pos": pp, "branch": branch, "block_pos": i, "typed_branches": text(odd), "extra": text(extra)}
+                            | {name[part, m]: valid(v) for m, v in got.items()})
+
+            for fid, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 d = load(raw)
-                listed = value(d, pages, aliases.get("", {}))[1] if d else None
+                if d is None:
+                    continue
+                put(fid, "file", None, None, None, d, shape, "", {pages})
+                listed = value(d, pages, aliases.get("", {}))[1]
                 for pp, pg in enumerate(listed if isinstance(listed, list) else []):
-                    for branch, s in page.sub.items() if isinstance(pg, dict) else ():
-                        blocks = value(pg, branch, aliases.get(where, {}))[1]
-                        alias = aliases.get(f"{where}.{branch}[]", {})
-                        for i, blk in enumerate(blocks if isinstance(blocks, list) else []):
-                            if not isinstance(blk, dict):
-                                continue
-                            got = {m: value(blk, m, alias) for m in s.known}
-                            used = {k for k, _ in got.values()}
-                            odd = {f"{m}__{tag(v).split('<')[0]}": v for m, (k, v) in got.items() if k and tag(v) not in s.known[m]}
-                            extra = {k: v for k, v in blk.items() if k not in used}
-                            rows.append((fid, pp, branch, i, label(got["type"][1]), numbers(got["bbox"][1]), whole(got["index"][1]), whole(got["level"][1]),
-                                         json.dumps(odd, ensure_ascii=False, sort_keys=True), json.dumps(extra, ensure_ascii=False, sort_keys=True)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return df.select("file_id", "raw").where("raw is not null").mapInPandas(run, schema).dropDuplicates(["file_id", "page_pos", "branch", "block_pos"])
+                    if not isinstance(pg, dict):
+                        continue
+                    put(fid, "page", pp, None, None, pg, page, where, set(page.sub))
+                    for branch, s in page.sub.items():
+                        found = value(pg, branch, aliases.get(where, {}))[1]
+                        for i, blk in enumerate(found if isinstance(found, list) else []):
+                            if isinstance(blk, dict):
+                                put(fid, "block", pp, branch, i, blk, s, f"{where}.{branch}[]", set())
+                if len(rows) > 20_000:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows.clear()
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    one = df.select(F.col("file_id").cast("bigint"), "raw").where("raw is not null")
+    return one.mapInArrow(run, ddl).dropDuplicates(["file_id", "part", "page_pos", "branch", "block_pos"])
+
+
+_DDL = {pa.string(): "string", pa.int32(): "int", pa.int64(): "bigint", pa.bool_(): "boolean", pa.list_(pa.float64()): "array<double>", pa.list_(pa.string()): "array<string>"}
+
+
+def valid(v):
+    """Text without halves of surrogate pairs, which no column can hold."""
+    if isinstance(v, str):
+        return v if v.isascii() else v.encode("utf-8", "replace").decode()
+    return [valid(x) for x in v] if isinstance(v, list) else v
+
+
+def canonical_blocks(df: DataFrame, shape: Shape, aliases: dict[str, dict[str, str]], pages: str) -> DataFrame:
+    """The blocks of `canonical_table` with the columns that blocks have."""
+    own = {m for s in shape.sub[pages].sub.values() for m in declared(s, set())}
+    all_ = canonical_table(df, shape, aliases, pages).where("part = 'block'")
+    ways = {c for m in own for c in (_RENAMED.get(m, m), f"block_{m}") for c in (c.replace(".", "_"),)}
+    return all_.select("file_id", "page_pos", "branch", "block_pos", *(c for c in all_.columns if c in ways), "typed_branches", "extra")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators.drift import Shape, canonical_blocks, drift, fused_schema, shapes
+from quire.operators.drift import Shape, canonical_blocks, canonical_table, drift, fused_schema, shapes
 from quire.session import spread_table
 
 INT, STR, BOOL = {"int"}, {"str"}, {"bool"}
@@ -62,9 +62,25 @@ def p1_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = spread_table(spark, sf_dir, name)
         _, aliases = drift(df.select("file_id", "raw"), "file_id", "raw", shape)
         got = canonical_blocks(df, shape, aliases, PAGES[name]).select(F.lit(name).alias("table_name"), "*")
-        out = got if out is None else out.unionByName(got)
+        out = got if out is None else out.unionByName(got, allowMissingColumns=True)
     return out
 
 
-QUERIES = {"p1_found": p1_found, "p1_blocks": p1_blocks, "p1_fused_schema": p1_fused_schema}
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = spread_table(spark, sf_dir, name)
+    _, aliases = drift(df.select("file_id", "raw"), "file_id", "raw", FILES[name])
+    return canonical_table(df, FILES[name], aliases, PAGES[name])
+
+
+def p1_book_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent table of one kind of file: its files, pages and page-level blocks."""
+    return _table(spark, sf_dir, "book_middle")
+
+
+def p1_middle_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the other kind."""
+    return _table(spark, sf_dir, "middle_json")
+
+
+QUERIES = {"p1_found": p1_found, "p1_blocks": p1_blocks, "p1_book_middle": p1_book_middle, "p1_middle_json": p1_middle_json, "p1_fused_schema": p1_fused_schema}
 SQL: dict[str, str] = {}

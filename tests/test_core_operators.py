@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators.drift import Shape, canonical_blocks, drift, fused_schema, shapes
+from quire.operators.drift import Shape, canonical_blocks, canonical_table, drift, fused_schema, shapes
 from quire.operators.nested import child_table, flatten, merged_schema
 from quire.operators.references import Entity, ForeignKey, guid_key, orphan_cascade, orphan_report
 
@@ -85,6 +85,31 @@ class TestDrift:
             (1, "a", [1, 2, 3, 4], 0, "{}"), (2, "b", [1, 2, 3, 4], 7, '{"zz": 1}'), (3, "c", [1], 1, "{}")]
         assert json.loads(got.where("file_id = 2").first()["typed_branches"]) == {"bbox__obj": {"x0": 1, "y0": 2, "x1": 3, "y1": 4}, "index__str": "7", "type__list": ["b"]}
 
+    def test_consistent_table_keeps_everything(self, spark):
+        from quire.queries.drift import V3, V4
+
+        line = {"box": "1,2,3,4", "spans": [{"content": "words"}], "zz": 1}
+        blk = {"type": "text", "bbox": [1, 2, 3, 4], "angle": "90", "index": 1, "lines": [line], "blocks": [{"type": "x"}], "merge_prev": 1, "odd": 2}
+        v3 = json.dumps({"pdf_info": [{"page_idx": 0, "page_size": [10, 20], "preproc_blocks": [blk], "discarded_blocks": [], "dpi": 72}], "_backend": "b", "_new": 3, "_ocr_enable": True})
+        v4 = json.dumps({"schema": "s", "metadata": {"file_suffix": "pdf", "producer": {"name": "p", "more": 1}, "document": {"languages": "en", "page_count": 10**30}},
+                         "pages": [{"page_idx": 0, "blocks": [{"type": "text", "index": 0, "bbox": [0.5, 1], "content": "the \ud800 text"}]}, 7]})
+        df = spark.createDataFrame([(1, v3), (2, "{")], "file_id bigint, raw string")
+        got = {r["part"]: r.asDict() for r in canonical_table(df, V3, {"pdf_info[].preproc_blocks[].lines[]": {"box": "bbox"}}, "pdf_info").collect()}
+        file, page, b = got["file"], got["page"], got["block"]
+        assert (file["_backend"], file["_ocr_enable"], json.loads(file["extra"])) == ("b", True, {"_new": 3})
+        assert (page["page_idx"], page["page_size"], json.loads(page["extra"])) == (0, [10, 20], {"dpi": 72})
+        assert (b["angle"], b["merge_prev"], json.loads(b["blocks"]), json.loads(b["extra"])) == (90, True, [{"type": "x"}], {"odd": 2})
+        assert json.loads(b["lines"]) == [{"bbox": [1, 2, 3, 4], "bbox__str": "1,2,3,4", "spans": [{"content": "words"}], "zz": 1}]
+        assert json.loads(b["typed_branches"]) == {"angle__str": "90", "merge_prev__int": 1}
+        df = spark.createDataFrame([(1, v4)], "file_id bigint, raw string")
+        got = {r["part"]: r.asDict() for r in canonical_table(df, V4, {}, "pages").collect()}
+        file, b = got["file"], got["block"]
+        assert (file["metadata_file_suffix"], file["metadata_producer_name"], file["metadata_document_languages"], file["metadata_document_page_count"]) == ("pdf", "p", ["en"], None)
+        assert json.loads(file["extra"]) == {"metadata.producer.more": 1} and json.loads(file["typed_branches"])["pages__list"][1] == 7
+        assert json.loads(file["typed_branches"])["metadata.document.page_count__int"] == 10**30
+        assert json.loads(b["content"]) == "the \ud800 text"
+        assert "content" in canonical_blocks(df, V4, {}, "pages").columns
+
     def test_fused_schema_splits_conflicts(self, spark):
         df = spark.createDataFrame([(1, '{"a": 1, "b": 1}'), (2, '{"a": "x", "b": 1.5}')], "id int, raw string")
         got = {r["field"]: r["branches"] for r in fused_schema(shapes(df, "id", "raw")).collect()}
