@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -274,14 +274,19 @@ def misread_rows(rows: DataFrame, wrong: DataFrame) -> DataFrame:
 
         return rows.select("table_name", "row_id", "text").mapInArrow(mark, "table_name string, row_id bigint")
 
+    return row_words(rows, "text").join(wrong.select("word"), "word", "left_semi").select("table_name", "row_id")
+
+
+def row_words(rows: DataFrame, text: str, split: Callable[[str], list[str]] = _tokens) -> DataFrame:
+    """table_name, row_id, word: the words of each text once."""
+
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(t, i, w) for t, i, x in zip(*(c.to_pylist() for c in b.columns)) if x for w in set(_tokens(x))]
+            out = [(t, i, w) for t, i, x in zip(*(c.to_pylist() for c in b.columns)) if x for w in set(split(x))]
             cols = list(zip(*out)) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["table_name", "row_id", "word"])
 
-    long = rows.select("table_name", "row_id", "text").mapInArrow(words, "table_name string, row_id bigint, word string")
-    return long.join(wrong.select("word"), "word", "left_semi").select("table_name", "row_id")
+    return rows.select("table_name", "row_id", text).mapInArrow(words, "table_name string, row_id bigint, word string")
 
 
 def noise(rows: DataFrame, titles: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -331,27 +336,43 @@ def _mend(text: str, drop: set[int], join: set[int], meant: dict[str, str]) -> s
     if now:
         paragraphs.append(now)
 
+    return _reword("\n\n".join(paragraphs), meant)
+
+
+def _reword(text: str, meant: dict[str, str]) -> str:
     def word(m: re.Match) -> str:
         w = m[0]
         r = meant.get(looks(w, True))
         return w if r is None else r.upper() if w.isupper() else r[:1].upper() + r[1:] if w[:1].isupper() else r
 
-    return "\n\n".join(_PART.sub(word, p) if meant else p for p in paragraphs)
+    return _PART.sub(word, text) if meant else text
 
 
 def repair(rows: DataFrame, titles: DataFrame) -> DataFrame:
     """table_name, row_id, text (as it was), repaired: continuous paragraphs without running lines and page numbers. Misread words
-    get the meaning of the corpus' word while that list is small enough to be sent, else they stay."""
+    get the meaning of the corpus' word. That list goes to every task if it is small, else the words of the mended texts are joined
+    with it."""
     _, parts = noise(rows, titles)
     drop = parts["page_number"].unionByName(parts["running"]).groupBy("table_name", "row_id").agg(F.collect_set("line").alias("drop"))
     join = parts["hyphen"].groupBy("table_name", "row_id").agg(F.collect_set("line").alias("join"))
     listed = parts["words"].limit(MOST_SENT + 1).collect()
     meant = {r[0]: r[1] for r in listed} if len(listed) <= MOST_SENT else {}
+    schema, names = "table_name string, row_id bigint, text string, repaired string", ["table_name", "row_id", "text", "repaired"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = [None if t is None else _mend(t, set(d or ()), set(j or ()), meant) for t, d, j in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 1, 2)), pa.array(done, pa.string())], ["table_name", "row_id", "text", "repaired"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 1, 2)), pa.array(done, pa.string())], names)
+
+    def reword(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = [t and _reword(t, dict(m or ())) for t, m in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 1, 2)), pa.array(done, pa.string())], names)
 
     on = ["table_name", "row_id"]
-    return rows.select(*on, "text").join(drop, on, "left").join(join, on, "left").mapInArrow(run, "table_name string, row_id bigint, text string, repaired string")
+    mended = rows.select(*on, "text").join(drop, on, "left").join(join, on, "left").mapInArrow(run, schema)
+    if len(listed) <= MOST_SENT:
+        return mended
+    found = row_words(mended, "repaired", lambda t: [looks(w, True) for w in _PART.findall(t)]).join(parts["words"].select("word", "meant"), "word")
+    own = found.groupBy(*on).agg(F.map_from_entries(F.collect_set(F.struct("word", "meant"))).alias("own"))
+    return mended.join(own, on, "left").mapInArrow(reword, schema)

@@ -11,6 +11,16 @@ def test_misread_words_by_a_join(spark, monkeypatch):
     assert {(r["row_id"], r["kind"]) for r in scans.noise(df, titles)[0].collect()} == usual
 
 
+def test_repair_by_a_join(spark, monkeypatch):
+    df, titles = scan_case(spark)
+    more = df.limit(1).selectExpr("table_name", "200L AS row_id", "book", "heading", "is_heading", "'the bot-\nan1st and MONASTCRY <i>b0tanist</i>' AS text")
+    df = df.unionByName(more)
+    usual = sorted(tuple(r) for r in scans.repair(df, titles).select("row_id", "repaired").where("text is not null").collect())
+    monkeypatch.setattr(scans, "MOST_SENT", 0)
+    assert sorted(tuple(r) for r in scans.repair(df, titles).select("row_id", "repaired").where("text is not null").collect()) == usual
+    assert (102, "by another botanist and the monastery") in usual
+
+
 def test_items_in_several_passes(spark, monkeypatch):
     words = ["alpha", "bravo", "cedar", "delta", "ember", "frost", "grove", "haven", "inlet", "joker", "knoll", "lunar", "maple", "noble", "ocean", "prism", "quill", "raven", "stone", "tulip"]
     texts = [" ".join(words[i:] + words[:i]) + f" marker{i}" for i in range(0, 20, 4)]
