@@ -90,8 +90,14 @@ def merged_schema(flat: DataFrame) -> DataFrame:
 def child_table(flat: DataFrame, level_path: str) -> DataFrame:
     """The typed table of one array level: node_key, parent_key, ordinal and a column per scalar field. Names that differ
     only in case or clash with the keys get a number."""
-    rows = bounded_rows(merged_schema(flat.where(F.col("level_path") == level_path)).select("field", "spark_type"), MOST_FIELDS, f"fields of {level_path}")
-    taken, cols = {"node_key", "parent_key", "ordinal", "doc_key"}, []
+    return typed(flat.where(F.col("level_path") == level_path), level_path)
+
+
+def typed(part: DataFrame, what: str, *more: str) -> DataFrame:
+    """The typed table of some levels' elements, with the columns `more`; a field has one type in all of them."""
+    one = part.withColumn("level_path", F.lit(what))
+    rows = bounded_rows(merged_schema(one).select("field", "spark_type"), MOST_FIELDS, f"fields of {what}")
+    taken, cols = {"node_key", "parent_key", "ordinal", "doc_key", *more}, []
     for f, t in sorted(map(tuple, rows)):
         name, n = f.replace(".", "_"), 1
         while name.lower() in taken:
@@ -100,6 +106,4 @@ def child_table(flat: DataFrame, level_path: str) -> DataFrame:
         taken.add(name.lower())
         v = F.try_element_at("fields", F.lit(f))
         cols.append((v if t == "string" else v.try_cast(t)).alias(name))
-    return flat.where(F.col("level_path") == level_path).select("doc_key", "node_key", "parent_key", "ordinal", *cols)
-
-
+    return part.select("doc_key", "node_key", "parent_key", "ordinal", *more, *cols)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.drift import drift
-from quire.operators.nested import child_table, flatten
+from quire.operators.nested import flatten, typed
 from quire.queries.drift import FILES
 from quire.session import spread_table
 
@@ -68,10 +71,53 @@ def p5_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def p5_span_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The typed child table of the spans of lines that lie directly in page-level blocks."""
-    return child_table(flatten(spread_table(spark, sf_dir, "book_middle"), "file_id", "raw"), "$.pdf_info[].preproc_blocks[].lines[].spans[]")
-
-
-QUERIES = {"p5_found": p5_found, "p5_nodes": p5_nodes, "p5_span_table": p5_span_table}
+def _any(fields: list[str], *aliases: dict[str, str]) -> str:
+    return "(?:" + "|".join(re.escape(x) for x in sorted({*fields, *(k for a in aliases for k, m in a.items() if m in fields)})) + ")"
+
+
+def levels(name: str, names: dict[str, dict[str, str]]) -> tuple[dict[str, str], dict[str, str]]:
+    """(patterns of the level paths of each child table; of each branch of a page), under all names that files use."""
+    if name == "book_middle":
+        page = rf"\$\.{_any(['pdf_info'], names.get('', {}))}\[\]"
+        inner = [names.get(f"pdf_info[].{b}[]", {}) for b in BRANCHES]
+        way = lambda b: rf"{page}\.{_any(b, names.get('pdf_info[]', {}))}\[\]"
+        block = rf"{way(BRANCHES)}(?:\.{_any(['blocks'], *inner)}\[\])*"
+        line = rf"{block}\.{_any(['lines'], *inner)}\[\]"
+        span = rf"{line}\.{_any(['spans'], names.get('pdf_info[].preproc_blocks[].lines[]', {}))}\[\]"
+        return {"file": r"\$", "page": page, "block": block, "line": line, "span": span}, {b: way([b]) for b in BRANCHES}
+    page = rf"\$\.{_any(['pages'], names.get('', {}))}\[\]"
+    block = rf"{page}\.{_any(['blocks'], names.get('pages[]', {}))}\[\]"
+    content = rf"{block}(?:(?:\.{_any(['content'], names.get('pages[].blocks[]', {}))}(?:\.content)*)?\[\])+"
+    return {"file": r"\$", "page": page, "block": block, "content": content}, {}
+
+
+def level_table(df: DataFrame, name: str, table: str) -> DataFrame:
+    """A typed child table of one kind of file with the path of each row's level and, below a page, its branch; `rest`
+    are the levels that are in no other table (boxes, unknown lists)."""
+    paths, branches = levels(name, _new_names(df, name))
+    path = F.col("level_path")
+    # level paths that hold line feeds are no declared ones, so `$` before one doesn't matter
+    at = {t: path.rlike(f"^{p}$") for t, p in paths.items()}
+    want = ~reduce(lambda a, b: a | b, at.values()) if table == "rest" else at[table]
+    branch = F.lit(None).cast("string")
+    for b, p in branches.items():
+        branch = F.when(path.rlike(f"^{p}"), F.lit(b)).otherwise(branch)
+    rows = flatten(df, "file_id", "raw", collapse=False).where(want).dropDuplicates(["node_key"])
+    return typed(rows.withColumn("branch", branch), f"{name} {table}", "level_path", "branch")
+
+
+def _level_query(name: str, table: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return level_table(spread_table(spark, sf_dir, name).select("file_id", "raw"), name, table)
+
+    return run
+
+
+BRANCHES = ["preproc_blocks", "discarded_blocks"]
+QUERIES = {
+    "p5_found": p5_found, "p5_nodes": p5_nodes,
+    # the typed child tables of all levels: blocks, lines and spans of both branches at any depth
+    **{f"p5_{t}_table": _level_query("book_middle", t) for t in ("file", "page", "block", "line", "span", "rest")},
+    **{f"p5_json_{t}_table": _level_query("middle_json", t) for t in ("file", "page", "block", "content", "rest")},
+}
 SQL: dict[str, str] = {}

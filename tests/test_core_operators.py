@@ -134,6 +134,26 @@ class TestNested:
         t = child_table(flat, "$.a[]")
         assert "node_key_2" in t.columns and rows(t.select("ordinal", "x").where("x is not null")) == [(0, 1.0), (1, 2.5)]
 
+    def test_child_tables_of_all_levels(self, spark):
+        from quire.queries.nested import level_table
+
+        lines = [{"bbox": [1], "spans": [{"content": "x", "score": 1}]}]
+        blk = {"type": "t", "bbox": [0], "angle": 0, "index": 0, "lines": lines}
+        usual = {"page_idx": 0, "page_size": [1], "preproc_blocks": [blk | {"blocks": [blk]}], "discarded_blocks": [blk]}
+        other = {"page_idx": 0, "page_size": [1], "layout_blocks": [blk], "discarded_blocks": []}
+        top = {"_version_name": "v", "_backend": "b", "_effort": "e", "_ocr_enable": True}
+        data = [(i, json.dumps({"pdf_info": [usual]} | top)) for i in range(3)] + [(9, json.dumps({"pdf_info": [other]} | top))]
+        df = spark.createDataFrame(data, "file_id bigint, raw string")
+        got = rows(level_table(df, "book_middle", "span").select("doc_key", "branch", "level_path", "score"))
+        assert [r for r in got if r[0] == "0"] == [("0", "discarded_blocks", "$.pdf_info[].discarded_blocks[].lines[].spans[]", 1), (
+            "0", "preproc_blocks", "$.pdf_info[].preproc_blocks[].blocks[].lines[].spans[]", 1), ("0", "preproc_blocks", "$.pdf_info[].preproc_blocks[].lines[].spans[]", 1)]
+        assert [r for r in got if r[0] == "9"] == [("9", "preproc_blocks", "$.pdf_info[].layout_blocks[].lines[].spans[]", 1)] and len(got) == 10
+        n = sum(level_table(df, "book_middle", t).count() for t in ("file", "page", "block", "line", "span", "rest"))
+        assert n == flatten(df, "file_id", "raw").count()
+        v4 = spark.createDataFrame([(1, json.dumps({"pages": [{"page_idx": 0, "blocks": [{"type": "t", "content": [{"content": [{"content": "x"}]}]}]}]}))], "file_id bigint, raw string")
+        assert rows(level_table(v4, "middle_json", "content").select("level_path", "content")) == [
+            ("$.pages[].blocks[].content[]", None), ("$.pages[].blocks[].content[].content[]", "x")]
+
     def test_depth_and_empty(self, spark):
         deep = "[" * 400 + "1" + "]" * 400
         flat = flatten(spark.createDataFrame([("d", '{"a": ' + deep + "}")], "k string, raw string"), "k", "raw")
