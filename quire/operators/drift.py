@@ -69,23 +69,29 @@ class Shape:
         return self.required | self.optional
 
 
-def _walk(v, path: str, depth: int, out: Counter) -> None:
-    if isinstance(v, dict):
+def _walk(v, path: str, depth: int | None, out: Counter) -> None:
+    """An explicit stack, so depth costs no recursion; without a limit lists within lists are entered too."""
+    stack = [(v, path, depth)]
+    while stack:
+        v, path, left = stack.pop()
+        if isinstance(v, list):
+            stack += [(e, path + "[]", left) for e in v if isinstance(e, (dict, list))]
+            continue
         out[path, json.dumps([[k, tag(x)] for k, x in v.items()], ensure_ascii=False)] += 1
-        if depth:
-            for k, x in v.items():
-                if isinstance(x, dict):
-                    _walk(x, f"{path}.{k}" if path else k, depth - 1, out)
-                elif isinstance(x, list):
-                    p = f"{path}.{k}[]" if path else f"{k}[]"
-                    for e in x:
-                        if isinstance(e, dict):
-                            _walk(e, p, depth - 1, out)
-
-
-def shapes(df: DataFrame, key: str, raw: str, depth: int = 3) -> DataFrame:
+        if left == 0:
+            continue
+        below = None if left is None else left - 1
+        for k, x in v.items():
+            p = f"{path}.{k}" if path else k
+            if isinstance(x, dict):
+                stack.append((x, p, below))
+            elif isinstance(x, list):
+                stack += [(e, p + "[]", below) for e in x if isinstance(e, dict) or (left is None and isinstance(e, list))]
+
+
+def shapes(df: DataFrame, key: str, raw: str, depth: int | None = 3) -> DataFrame:
     """key, path, signature, objects: the signatures of each readable file's objects, down to `depth` levels below the
-    root."""
+    root, or all of them (None)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

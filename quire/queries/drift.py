@@ -50,7 +50,7 @@ def p1_fused_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every path and field of either kind of file with its alternative types."""
     out = None
     for name in FILES:
-        got = fused_schema(shapes(spread_table(spark, sf_dir, name), "file_id", "raw")).select(F.lit(name).alias("table_name"), "*")
+        got = fused_schema(shapes(spread_table(spark, sf_dir, name), "file_id", "raw", depth=None)).select(F.lit(name).alias("table_name"), "*")
         out = got if out is None else out.unionByName(got)
     return out.withColumn("alternatives", F.to_json("alternatives"))
 

@@ -116,6 +116,16 @@ class TestDrift:
         assert sorted(got["a"]) == ["a__int", "a__str"] and got["b"] == ["b"]
 
 
+    def test_fused_schema_of_any_depth(self, spark, monkeypatch):
+        from quire.queries import drift as queries
+
+        deep = '{"a": [' * 5 + '[{"x": 1}, {"x": "s"}]' + "]}" * 5
+        df = spark.createDataFrame([(1, deep)], "file_id bigint, raw string")
+        monkeypatch.setattr(queries, "spread_table", lambda *_: df)
+        got = {r["path"]: sorted(r["branches"]) for r in queries.p1_fused_schema(spark, "").where("field = 'x'").collect()}
+        assert got == {".".join(["a[]"] * 5) + "[]": ["x__int", "x__str"]}
+
+
 class TestNested:
     DOC = {"t": 1, "a": [{"x": 1, "node_key": "q", "b": ["p", "", {"y": None}]}, {"x": 2.5, "o": {"z": True}}, [7]]}
 
