@@ -352,12 +352,16 @@ def elements(rows: DataFrame) -> DataFrame:
     return full.select("table_name", "row_id", "host", "text").mapInArrow(run, _FACTS)
 
 
+#: a subtree on so many pages recurs, however many pages its host has
+MANY_PAGES = 100
+
+
 def templates(facts: DataFrame, rows: DataFrame, least: int = 5, share: float = 0.1) -> DataFrame:
-    """host, hash of subtrees on at least `least` pages and `share` of all pages of their host."""
+    """host, hash of subtrees on at least `least` pages and on `share` of all pages of their host or MANY_PAGES."""
     seen = facts.where("fact = 'subtree'").select("host", "hash", "table_name", "row_id").distinct()
     per = seen.groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
     hosts = rows.where("host is not null").groupBy("host").agg(F.count_distinct("table_name", "row_id").alias("of"))
-    return per.join(hosts, "host").where(F.col("pages") >= share * F.col("of")).select("host", "hash")
+    return per.join(hosts, "host").where(F.col("pages") >= F.least(share * F.col("of"), F.lit(MANY_PAGES))).select("host", "hash")
 
 
 def convert(rows: DataFrame, least: int = 5, share: float = 0.1) -> DataFrame:

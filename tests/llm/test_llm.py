@@ -93,6 +93,13 @@ def test_templates_are_removed(spark):
     assert markup.convert(df.limit(0)).count() == 0
 
 
+def test_templates_of_large_hosts(spark):
+    nav = "<nav><ul><li>Home<li>About</ul></nav>"
+    data = [("t", i, "h", (nav if i < 100 else "<nav><ul><li>Few</ul></nav>" if i < 150 else "") + f"<p>page {i}</p>") for i in range(1200)]
+    got = {r["row_id"]: r["clean"] for r in markup.convert(spark.createDataFrame(data, "table_name string, row_id bigint, host string, text string")).collect()}
+    assert got[3] == "page 3" and got[120].startswith("- Few")
+
+
 # ---- scans
 
 
