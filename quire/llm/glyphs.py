@@ -19,6 +19,9 @@ HYPHENS = "‐‑﹣－"
 KEPT = ("<super>", "<sub>", "<circle>", "<fraction>", "<square>")
 
 _LATIN = {ord(c): latin for latin, others in LOOKALIKES.items() for c in others}
+# Where case doesn't count, the small letter of a capital look-alike is the same letter too: В, в, B and b are one, or a
+# word in capitals would differ from itself in small letters.
+SMALL = {ord(c.lower()): latin.lower() for latin, others in LOOKALIKES.items() for c in others if ord(c.lower()) not in _LATIN and len(c.lower()) == 1}
 
 
 def ignorable(o: int) -> bool:
@@ -33,9 +36,9 @@ def ignorable(o: int) -> bool:
 class Forms(dict):
     """A table for str.translate that is filled by rule on demand, once per distinct character."""
 
-    def __init__(self, letters: bool = True, hyphens: bool = True, fold: bool = False):
+    def __init__(self, letters: bool = True, hyphens: bool = True, fold: bool = False, merge: bool = False):
         super().__init__()
-        self.letters, self.hyphens, self.fold = letters, hyphens, fold
+        self.letters, self.hyphens, self.fold, self.small = letters, hyphens, fold, SMALL if merge else {}
 
     def __missing__(self, o: int):
         if ignorable(o):
@@ -54,7 +57,7 @@ class Forms(dict):
             else:
                 got = "".join(self._one(x) for x in unicodedata.normalize("NFD", c))
             if self.fold:
-                got = "".join(self._one(x) for x in unicodedata.normalize("NFD", got.casefold()))
+                got = "".join(self.small.get(ord(y), y) for x in unicodedata.normalize("NFD", got.casefold()) for y in self._one(x))
             got = o if got == c else got
         self[o] = got
         return got
@@ -67,15 +70,17 @@ class Forms(dict):
 
 _LOOKS = Forms()
 _FOLDED = Forms(fold=True)
+_MERGED = Forms(fold=True, merge=True)
 _COMPATIBLE = Forms(letters=False, hyphens=False)
 
 
-def looks(text: str, fold_case: bool = False) -> str:
+def looks(text: str, fold_case: bool = False, merge: bool = False) -> str:
     """The form in which texts that read the same are equal. Letter case, accents, other digits, superscripts, circled
-    digits and line breaks stay different; fold_case also folds case fully (for comparisons that ignore it)."""
+    digits and line breaks stay different; fold_case also folds case fully (for comparisons that ignore it), and merge
+    then takes small letters for one whose capitals look alike."""
     if text.isascii():
         return text.lower() if fold_case else text
-    return unicodedata.normalize("NFC", text.translate(_FOLDED if fold_case else _LOOKS))
+    return unicodedata.normalize("NFC", text.translate(_MERGED if fold_case and merge else _FOLDED if fold_case else _LOOKS))
 
 
 def clean(text: str) -> str:

@@ -3,7 +3,7 @@
 Filter by the q-gram lemma: a passage of n words with e of them altered shares at least as many character q-grams with
 its item as it has, less those that e words touch, and all of them lie in a narrow band of diagonals. Shared q-grams are
 counted in overlapping bands for every document at once; what reaches the item's bound is verified by an alignment of
-the words of that region. Letters alone form the q-grams, so punctuation, markup, spaces and line breaks don't matter;
+the words within that band. Letters alone form the q-grams, so punctuation, markup, spaces and line breaks don't matter;
 Han items use shorter ones.
 
 Defined results: null and blank documents or items leak nothing; repeated documents are reported each; an item text that
@@ -31,14 +31,16 @@ Q, Q_HAN = 8, 4
 _HAN = "㐀-䶿一-鿿豈-﫿\U00020000-\U0003134f"
 _WORD = re.compile(rf"[{_HAN}]|[^\W_{_HAN}]+")
 _MARKUP = re.compile(
-    r"<!--.*?-->|</?[a-zA-Z][^<>]{0,400}>|&(?:[a-zA-Z]{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,6});|\]\([^()\s]{1,300}\)|\[\[[^\[\]|]{0,200}\||\\[a-zA-Z]+\*?", re.S)
+    r"<!--.*?-->|</?[a-zA-Z][^<>]*>|&(?:[a-zA-Z]{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,6});|\]\([^()\s]+\)|\[\[[^\[\]|]*\||\\[a-zA-Z]+\*?", re.S)
 _CUT = re.compile(r"(?<=[^\W\d_])[-¬]\s*\n\s*(?=[^\W\d_])")
 _SIZE = 22
+#: places of shared q-grams that are held at once
+MOST_PLACES = 4_000_000
 
 
 def words(text: str) -> list[str]:
     """Words in the form in which they are compared; each Han character is one."""
-    text = looks(text, fold_case=True)
+    text = looks(text, fold_case=True, merge=True)
     if "<" in text or "&" in text or "\\" in text or "[" in text:
         text = _MARKUP.sub(lambda m: "" if m[0][0] == "<" and m[0][1:2] in "!/bisueacBISUEACf" else " ", text)
     if "\n" in text:
@@ -104,12 +106,15 @@ class Index:
         grams, item, place, need, width, length = [], [], [], [], [], []
         #: word pairs of each item, and how many of them any of its passages keeps: an altered word breaks two at most, an added one one (of triples three and two)
         self.pairs, self.keep, self.triples, self.keep3 = [], [], [], []
+        #: where each word of an item begins
+        self.begin: list[np.ndarray] = []
         for n, (_, ws) in enumerate(items):
             g = _grams(_codes(ws), q)
             grams.append(g)
             item.append(np.full(len(g), n))
             place.append(np.arange(len(g)))
             lens = np.array([len(w) for w in ws])
+            self.begin.append(np.cumsum(lens) - lens)
             worst = np.concatenate(([0], np.cumsum(np.sort(lens)[::-1] + q - 1)))
             grid, grid3 = list(zip(ws, ws[1:])), list(zip(ws, ws[1:], ws[2:]))
             self.pairs.append(set(grid))
@@ -132,6 +137,24 @@ class Index:
         self.bits = np.zeros(1 << _SIZE, bool)
         self.bits[(self.grams >> np.uint64(64 - _SIZE)).astype(np.int64)] = True
 
+    def _bands(self, at: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item and band as one number, q-grams shared in it), sorted. Frequent q-grams have many places: so many at a time
+        that memory stays bounded, and the counts of all parts are added."""
+        upto = np.cumsum(self.count[i])
+        parts = []
+        a = 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + MOST_PLACES, side="right")))
+            n = self.count[i[a:b]]
+            post = np.repeat(self.first[i[a:b]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            item, diag = self.item[post], np.repeat(at[a:b], n) - self.place[post]
+            parts.append(np.unique(item * (1 << 40) + (diag + self.length[item]) // self.width[item], return_counts=True))
+            a = b
+        if len(parts) == 1:
+            return parts[0]
+        key, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return key, np.bincount(back, np.concatenate([n for _, n in parts])).astype(np.int64)
+
     def regions(self, code: np.ndarray, valid: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, from, to): letter ranges that share enough q-grams with an item."""
         if not len(self.grams):
@@ -143,17 +166,9 @@ class Index:
         i = np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)
         ok = self.grams[i] == g[at]
         at, i = at[ok], i[ok]
-        n = self.count[i]
         if not len(at):
             return []
-        pos = np.repeat(at, n)
-        post = np.repeat(self.first[i] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        item, diag = self.item[post], pos - self.place[post]
-        band = (diag + self.length[item]) // self.width[item]
-        key = item * (1 << 40) + band
-        key.sort()
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        k, hits = key[edge[:-1]], np.diff(edge)
+        k, hits = self._bands(at, i)
         both = hits + np.where(np.concatenate((k[1:] == k[:-1] + 1, [False])), np.concatenate((hits[1:], [0])), 0)
         out: list[tuple[int, int, int]] = []
         last = -2
@@ -169,48 +184,57 @@ class Index:
         return out
 
 
-def repeats(item: list[int], doc: list[int], share: float, rate: float) -> float:
+def repeats(item: list[int], doc: list[int], share: float, rate: float, first: np.ndarray | None = None, last: np.ndarray | None = None) -> float:
     """The share of the item's words covered by its longest passage in `doc` in which at most `rate` of the words are
-    changed, dropped or added; local alignment of the region."""
+    changed, dropped or added; banded local alignment: the item's word i meets the words first[i] to last[i] (exclusive) of
+    `doc` alone, both of which never fall. Without a band it meets all."""
     a, b = np.asarray(item), np.asarray(doc)
     n, m = len(a), len(b)
     if not n or not m:
         return 0.0
-    kind = np.int16 if 2 * (n + m) < 30_000 else np.int32
-    H = np.zeros((n + 1, m + 1), kind)
-    cols = np.arange(m + 1, dtype=kind)
-    same = (b[None, :] == a[:, None]).astype(kind) * 3 - 1
-    for i in range(1, n + 1):
-        row = H[i]
-        np.add(H[i - 1, :-1], same[i - 1], out=row[1:])
-        np.maximum(row[1:], H[i - 1, 1:] - 1, out=row[1:])
+    first = np.zeros(n, np.int64) if first is None else first
+    last = np.full(n, m) if last is None else last
+    wide = max(1, int((last - first).max()))
+    # row i + 1 holds cells (i, first[i] + x - 1); cells outside the band are 0, as if the alignment began behind them
+    step = np.diff(first, prepend=first[0])
+    H = np.zeros((n + 1, wide + 2 + int(step.max())), np.int16 if 2 * (n + m) < 30_000 else np.int32)
+    cols = np.arange(wide + 1, dtype=H.dtype)
+    for i in range(n):
+        w, d = int(last[i] - first[i]), int(step[i])
+        if w <= 0:
+            continue
+        same = (b[first[i] : last[i]] == a[i]).astype(H.dtype) * 3 - 1
+        row = H[i + 1, 1 : w + 1]
+        np.add(H[i, d : d + w], same, out=row)
+        np.maximum(row, H[i, d + 1 : d + 1 + w] - 1, out=row)
         np.maximum(row, 0, out=row)
-        row += cols
+        row += cols[:w]
         np.maximum.accumulate(row, out=row)
-        row -= cols
-    i, j = np.unravel_index(int(H.argmax()), H.shape)
+        row -= cols[:w]
+    i, x = np.unravel_index(int(H.argmax()), H.shape)
     bad, own = [], []  # altered?, words of the item
-    while i and j and H[i, j] > 0:
-        h = H[i, j]
-        if a[i - 1] == b[j - 1] and h == H[i - 1, j - 1] + 2:
+    while i and x and H[i, x] > 0:
+        h, d, j = H[i, x], int(step[i - 1]), first[i - 1] + x - 1
+        # (i - 1, j - 1) and (i - 1, j) stand at x + d - 1 and x + d of the row before
+        if a[i - 1] == b[j] and h == H[i - 1, x + d - 1] + 2:
             bad.append(0), own.append(1)
-            i, j = i - 1, j - 1
-        elif h == H[i - 1, j - 1] - 1:
+            i, x = i - 1, x + d - 1
+        elif h == H[i - 1, x + d - 1] - 1:
             bad.append(1), own.append(1)
-            i, j = i - 1, j - 1
-        elif h == H[i - 1, j] - 1:
+            i, x = i - 1, x + d - 1
+        elif h == H[i - 1, x + d] - 1:
             bad.append(1), own.append(1)
-            i -= 1
+            i, x = i - 1, x + d
         else:
             bad.append(1), own.append(0)
-            j -= 1
+            x -= 1
     if not bad:
         return 0.0
     p = np.concatenate(([0], np.cumsum(np.asarray(bad) - rate)))
     w = np.concatenate(([0], np.cumsum(own)))
-    ok = p[None, :] <= p[:, None] + 1e-9
-    span = np.where(ok, w[None, :] - w[:, None], 0)
-    return float(span.max()) / n
+    # the earliest start of each end whose words between them are altered by no more than the rate
+    start = np.searchsorted(np.maximum.accumulate(p), p - 1e-9)
+    return float((w - w[start]).max()) / n
 
 
 def _texts(batch: list[tuple[object, str]], most: int = 3_000_000) -> Iterator[list[tuple[object, str]]]:
@@ -251,7 +275,10 @@ def _find(part, indexes: list[Index], ids: list[list[int]], share: float, rate:
                 number: dict[str, int] = {}
                 a = [number.setdefault(w, len(number)) for w in ix.items[it][1]]
                 b = [number.get(w, -1) for w in region]
-                seen[x, it, d] = max(seen.get((x, it, d), 0.0), repeats(a, b, share, rate))
+                # the band of diagonals in which the q-grams lie, in words
+                begin, own = ends[lo_w:hi_w] - lens[lo_w:hi_w], ix.begin[it]
+                first, last = np.searchsorted(begin, own + lo), np.searchsorted(begin, own + (hi - int(ix.length[it])), side="right")
+                seen[x, it, d] = max(seen.get((x, it, d), 0.0), repeats(a, b, share, rate, first, last))
     return [(part[d][0], iid, s) for (x, it, d), s in seen.items() if s >= share for iid in ids[x][it]]
 
 
