@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.markup import convert, elements
+from quire.llm.markup import convert, elements, written_in
 from quire.operators.references import guid_key
 from quire.session import spread_table
 
@@ -20,7 +20,7 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return elements(marked(spark, sf_dir)).where("fact = 'kind'").select("table_name", "row_id", "kind").distinct()
+    return written_in(elements(marked(spark, sf_dir)))
 
 
 def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,17 @@
 
 `facts` reads each text once and emits what the corpus has to decide: word counts, words cut at a line end (with their
 joined and hyphenated forms), lines that may be running lines (as a fuzzy key that forgives case, numbers and misread
-characters) and page-number lines. Running lines are those whose key is the title or a chapter's heading of the same
-book, or that recur with numbers over its pages. A cut word is joined if the corpus knows the joined form better than
-the hyphenated one. A word is misread if undoing usual confusions of characters gives a word the corpus has far more
-often. `repair` then rewrites each text into continuous paragraphs.
+characters, and whether they stand at a page's edge) and page-number lines with their values. Running lines are those
+whose key repeats: at the edges of several pages of its book, or at an edge and as the book's title or a chapter's
+heading. Page numbers form sequences that run with the pages of their book; a line outside of one must have the form of
+a page number and stand alone. A cut word is joined if the corpus knows the joined form better than the hyphenated one. A
+word is misread if undoing usual confusions of characters gives a word the corpus has far more often. `repair` then
+rewrites each text into continuous paragraphs.
 
 Defined results: null and blank texts have no noise and stay as they are; headings as given by the caller are no running
-lines; repeated rows are one case; a column of figures is no page number; an empty table gives no rows; texts are
-processed whole; columns beyond those named are ignored.
+lines; a misread word in a running line is part of that line's noise; repeated rows are one case; a column of figures is no page number unless it runs with the pages; where the place of
+a text on its page is unknown, its edges are its ends and both sides of a page number; an empty table gives no rows;
+texts are processed whole; columns beyond those named are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.glyphs import looks
+from quire.llm.glyphs import SMALL, looks
 from quire.session import cut
 
 # Usual confusions of character recognition, as (seen, meant).
@@ -49,10 +53,10 @@ _BEGIN = re.compile(rf"^[ \t]*([^\W\d_{_HAN}]+)")
 _SOFT = re.compile("\xad(?=[ \t]*\n)")
 _SIGNS = re.compile(r"[<&\\$`{]|\]\(|~~~")
 _BROKEN = re.compile(rf"[^\W_{_HAN}]+[-‐‑¬­][ \t]*\n\s*[^\W_{_HAN}]+")
-_DECOR = r"[\s\-–—−‐~·•|*_<>\[\]()（）【】]*"
+_SIGN = "-–—−‐~·•|*_<>[]()（）【】"
 _PAGE = re.compile(
-    rf"^{_DECOR}(?:(?:page|pages|pg|p|pp|s|seite|стр|с|страница|pag|página|第)\.?\s*)?{_DECOR}(?:((?=[\dOol]*\d)[\dOol]{{1,4}})|([ivxlIVXL]{{1,9}}))\s*(?:页|頁)?"
-    rf"(?:\s*(?:of|/|von|из|sur|de|共)\s*\d{{1,4}}\s*(?:页|頁)?)?{_DECOR}$", re.I)
+    rf"(?:(?:page|pages|pg|p|pp|s|seite|стр|с|страница|pag|página|第)\.?[{re.escape(_SIGN)} ]*)?(?:((?=[Ool]*\d)[\dOol]+)|([ivxlIVXL]+)) ?(?:页|頁)?"
+    r"(?: ?(?:of|/|von|из|sur|de|共) ?\d+ ?(?:页|頁)?)?", re.I)
 _ROMAN = re.compile(r"^(?:x{1,3}|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$", re.I)
 _CHAPTER = re.compile(r"^\W*(?:(?:chapter|chapitre|kapitel|глава|part|partie|teil|часть)\s+(?:\d+|[ivxl]+)\b|第\s*[\d一二三四五六七八九十百]+\s*[章部篇节])[\s.:：—-]*", re.I)
 _LEAD = re.compile(r"^\W*(?:\d{1,4})(?=\s*[|·•—–\-:]|\s)[\s|·•—–\-:]*")
@@ -61,28 +65,42 @@ _MARKED = re.compile(r"^\s*(?:#|<|\\|==|\||>|\*|\{|```|!\[|\[\[)")
 _STOP = ".。!?！？;；,，、:：…"
 
 
-def page_number(line: str) -> bool:
-    m = _PAGE.match(line)
-    return bool(m and (m[1] or (m[2] and _ROMAN.match(m[2]))) and not line.strip()[-1:] in ".,:;")
+_FIGURES = str.maketrans("Ool", "001")
+_VALUES = {"i": 1, "v": 5, "x": 10, "l": 50}
 
 
-def page_lines(lines: list[str]) -> set[int]:
-    """Lines that are nothing but a page number; bare figures one below the other are a column of figures."""
-    bare = [bool(x) and x.strip().isdigit() for x in lines]
-    out = set()
-    for i, x in enumerate(lines):
-        if not x.strip() or len(x) > 40 or not page_number(x):
-            continue
-        if bare[i] and ((i and bare[i - 1]) or (i + 1 < len(lines) and bare[i + 1])):
-            continue
-        out.add(i)
-    return out
+def page_number(line: str) -> tuple[int, bool] | None:
+    """(value, short) of a line that is nothing but a page number in whatever form. Numbers of more than four figures are
+    page numbers only in a sequence."""
+    x = line.strip()
+    if x[-1:] in ".,:;":
+        return None
+    m = _PAGE.fullmatch(" ".join(x.strip(_SIGN + " \t\r\f\v\xa0\u3000").split()))
+    if not m:
+        return None
+    if m[1]:
+        return (int(m[1].translate(_FIGURES)), True) if len(m[1]) <= 4 else (int(m[1].translate(_FIGURES)[:18]), False)
+    if not _ROMAN.match(m[2]):
+        return None
+    v = [_VALUES[c] for c in m[2].lower()]
+    return sum(-a if a < b else a for a, b in zip(v, [*v[1:], 0])), True
+
+
+def page_lines(lines: list[str]) -> dict[int, tuple[int, bool]]:
+    """(value, sure) of the lines that are nothing but a page number; bare figures one below the other may be a column of
+    figures, and only the pages' sequence can tell."""
+    got = {i: v for i, x in enumerate(lines) if x and not x.isspace() and (v := page_number(x))}
+    bare = {i for i in got if lines[i].strip().isdigit()}
+    figures = bare | {i + d for i in bare for d in (-1, 1) if 0 <= i + d < len(lines) and lines[i + d].strip().isdigit()}
+    return {i: (v, short and not (i in bare and (i - 1 in figures or i + 1 in figures))) for i, (v, short) in got.items()}
 
 
 _NO_WORD = re.compile(r"[\W_]+")
 _FOLDS = (("ii", "u"), ("ri", "n"), ("rn", "m"), ("cl", "d"), ("vv", "w"))
 _FOLD = str.maketrans({"e": "c", "é": "c", "6": "c", "t": "f", "1": "i", "l": "i", "0": "o", "5": "s", "h": "b", "8": "b", "9": "g", "п": "н", "л": "н", "и": "й",
                        "ó": "o", "á": "a", "3": "з", "б": "c"})
+#: keys beyond this length are told apart by their hash
+LONG_KEY = 40
 
 
 def folded(text: str) -> str:
@@ -98,15 +116,16 @@ def line_key(line: str) -> tuple[str, bool]:
     core = _CHAPTER.sub("", t)
     less = _TAIL.sub("", _LEAD.sub("", core))
     numbered = less != core
-    k = _NO_WORD.sub("", less)
+    k = _NO_WORD.sub("", less).translate(SMALL)
     for a, b in _FOLDS:
         k = k.replace(a, b)
-    return k.translate(_FOLD), numbered
+    k = k.translate(_FOLD)
+    return k if len(k) <= LONG_KEY else xxhash.xxh3_128_hexdigest(k.encode("utf-8", "surrogatepass")), numbered
 
 
 def may_run(line: str) -> bool:
     s = line.strip()
-    return 2 <= len(s) <= 120 and s[-1] not in _STOP and not _MARKED.match(s)
+    return len(s) >= 2 and s[-1] not in _STOP and not _MARKED.match(s)
 
 
 def broken_words(lines: list[str], skip: set[int]) -> list[tuple[int, str, str, bool]]:
@@ -148,12 +167,15 @@ def word_counts(text: str) -> Counter:
     return out
 
 
-_FACTS = "fact string, table_name string, row_id bigint, line int, book string, key string, other string, n bigint"
+_FACTS = "fact string, table_name string, row_id bigint, line int, book string, key string, other string, n bigint, page int"
+#: bits of a line's n: it has a number, it stands at the edge of a text, its place on the page is the margin
+NUMBERED, END, MARGIN = 1, 2, 4
 
 
 def facts(rows: DataFrame) -> DataFrame:
-    """rows: table_name, row_id, book, heading (of the text, may be null), is_heading, text."""
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64()]
+    """rows: table_name, row_id, book, heading (of the text, may be null), is_heading, text and, where known, page (its place in
+    the book), margin (does the text lie in the page's margin?)."""
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32()]
     names = [c.split()[0] for c in _FACTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,31 +183,36 @@ def facts(rows: DataFrame) -> DataFrame:
             out: list[tuple] = []
             counts: Counter = Counter()
             heads: set[tuple[str, str]] = set()
-            for table, row, book, heading, is_heading, text in zip(*(c.to_pylist() for c in b.columns)):
+            for table, row, book, heading, is_heading, text, page, margin in zip(*(c.to_pylist() for c in b.columns)):
                 if heading:
                     heads.add((book, line_key(folded(heading.split(" > ")[0]))[0]))
                 if not text or text.isspace():
                     continue
                 low = folded(text)
                 counts.update(word_counts(low))
+                lines, lows = text.split("\n"), low.split("\n")
+                pages = page_lines(lines)
+                out += [("page", table, row, i, book, None, None if sure else "?" if margin else "-", v, page) for i, (v, sure) in pages.items()]
+                out += [("cut", table, row, i, None, a, c, int(sure), None) for i, a, c, sure in broken_words(lines, {i for i, (_, sure) in pages.items() if sure})]
                 if is_heading:
                     heads.add((book, line_key(low)[0]))
                     continue
-                lines, lows = text.split("\n"), low.split("\n")
-                pages = page_lines(lines)
-                out += [("page", table, row, i, None, None, None, None) for i in pages]
-                for i, x in enumerate(lines):
-                    if i not in pages and may_run(x):
-                        k, numbered = line_key(lows[i] if len(lows) == len(lines) else folded(x))
+                full = [i for i, x in enumerate(lines) if x and not x.isspace()]
+                for at, i in enumerate(full):
+                    if i not in pages and may_run(lines[i]):
+                        k, numbered = line_key(lows[i] if len(lows) == len(lines) else folded(lines[i]))
                         if len(k) >= 2:
-                            out.append(("line", table, row, i, book, k, None, int(numbered)))
-                out += [("cut", table, row, i, None, a, c, int(sure)) for i, a, c, sure in broken_words(lines, pages)]
-            out += [("word", None, None, None, None, w, None, n) for w, n in counts.items()]
-            out += [("head", None, None, None, bk, k, None, None) for bk, k in heads if k]
+                            end = margin is None and (at in (0, len(full) - 1) or full[at - 1] in pages or full[at + 1] in pages)
+                            out.append(("line", table, row, i, book, k, None, NUMBERED * numbered + END * end + MARGIN * bool(margin), page))
+            out += [("word", None, None, None, None, w, None, n, None) for w, n in counts.items()]
+            out += [("head", None, None, None, bk, k, None, None, None) for bk, k in heads if k]
             cols = list(zip(*out)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
-    return rows.select("table_name", "row_id", "book", "heading", "is_heading", "text").mapInArrow(run, _FACTS)
+    for c, kind in (("page", "int"), ("margin", "boolean")):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(kind))
+    return rows.select("table_name", "row_id", "book", "heading", "is_heading", "text", "page", "margin").mapInArrow(run, _FACTS)
 
 
 def vocabulary(got: DataFrame) -> DataFrame:
@@ -193,20 +220,34 @@ def vocabulary(got: DataFrame) -> DataFrame:
 
 
 def running_lines(got: DataFrame, titles: DataFrame, least: int = 3) -> DataFrame:
-    """table_name, row_id, line. titles: book, title."""
+    """table_name, row_id, line: lines whose fuzzy key repeats in its book. titles: book, title. A title or a chapter's heading is
+    one occurrence, and any line with its key another; without one the key must stand in the margins of two pages, or at the
+    edges of `least` texts with page numbers."""
 
     @F.udf("string", useArrow=True)
     def key(t):
         return line_key(folded(t))[0] if t else None
 
-    lines = got.where("fact = 'line'").select("table_name", "row_id", "line", "book", "key", "n")
+    lines = got.where("fact = 'line'").select("table_name", "row_id", "line", "book", "key", "n", "page")
     heads = got.where("fact = 'head'").select("book", "key").unionByName(titles.select("book", key("title").alias("key"))).where("key <> ''").distinct()
-    # a line that recurs with page numbers on several pages of a book is a running line, whatever the book is called
-    again = lines.where("n = 1").groupBy("book", "key").agg(F.count_distinct("table_name", "row_id").alias("rows"), F.max(F.length("key")).alias("len")).where(
-        (F.col("rows") >= least) & (F.col("len") >= 4)).select("book", "key")
+    flag = lambda bit: F.col("n").bitwiseAND(F.lit(bit)) != 0
+    place = F.coalesce(F.concat(F.lit("p"), F.col("page")), F.concat_ws("/", "table_name", "row_id"))
+    edges = lines.where(flag(MARGIN | END)).select("book", "key", place.alias("place"), flag(MARGIN).alias("margin"), (flag(NUMBERED) & (F.length("key") >= 4)).alias("numbered")).distinct()
+    # counts of distinct places, each of which is at most two rows of each kind here
+    again = edges.groupBy("book", "key", "place").agg(F.max("margin").alias("margin"), F.max("numbered").alias("numbered")).groupBy("book", "key").agg(
+        F.count_if("margin").alias("margins"), F.count_if("numbered").alias("numbers")).where((F.col("margins") >= 2) | (F.col("numbers") >= least)).select("book", "key")
     return lines.join(heads.unionByName(again).distinct(), ["book", "key"], "left_semi").select("table_name", "row_id", "line")
 
 
+def page_numbers(got: DataFrame) -> DataFrame:
+    """table_name, row_id, line. A sequence: on at least two pages of a book the number is as far from the page's place in the
+    book. What is in none, or in the middle of a page, must have the form of a page number for sure."""
+    p = got.where("fact = 'page' and (other is null or other = '?')").select("table_name", "row_id", "line", "book", "page", "n", F.col("other").isNull().alias("sure"))
+    off = p.where("page is not null").withColumn("off", F.col("n") - F.col("page"))
+    seq = off.select("book", "off", "page").distinct().groupBy("book", "off").agg(F.count("*").alias("pages")).where("pages >= 2").select("book", "off")
+    return p.where("sure").unionByName(off.join(seq, ["book", "off"], "left_semi").select(*p.columns)).select("table_name", "row_id", "line").distinct()
+
+
 def cut_words(got: DataFrame, vocab: DataFrame) -> DataFrame:
     """table_name, row_id, line: cut words whose joined form the corpus prefers."""
     c = got.where("fact = 'cut'").select("table_name", "row_id", "line", "key", "other", (F.col("n") == 1).alias("sure"))
@@ -231,9 +272,12 @@ def undone(w: str) -> set[str]:
                 i = x.find(a, i + 1)
         return out
 
+    figures = sum(c.isdigit() for c in w)
     one = once(w)
-    if any(c.isdigit() for c in w) and len(w) <= 24:
-        one |= {z for y in one for z in once(y)}
+    if figures:
+        # no known word has figures: each must be undone, so one of two confusions is always a figure's
+        first = [x for x in one if sum(c.isdigit() for c in x) < figures] if figures <= 2 else []
+        one = {z for y in first for z in (y, *once(y)) if not any(c.isdigit() for c in z)}
     return one - {w}
 
 
@@ -260,24 +304,36 @@ def _tokens(text: str) -> list[str]:
     return _PART.findall(plain(folded(text)))
 
 
-def misread_rows(rows: DataFrame, wrong: DataFrame) -> DataFrame:
-    """table_name, row_id of texts with misread words. The list goes to every task if it is small, else the texts' words
-    are joined with it."""
-    listed = wrong.select("word", "meant").limit(MOST_SENT + 1).collect()
-    if len(listed) <= MOST_SENT:
-        bad = frozenset(r[0] for r in listed)
+def _line_words(text: str, bad=None) -> set[tuple[int, str]]:
+    """(line, word) of a text's words, or of those in `bad`; a word that only the whole text shows has line -1."""
+    every = _tokens(text)
+    if bad is not None and bad.isdisjoint(every):
+        return set()
+    whole = {w for w in every if bad is None or w in bad}
+    out = {(i, w) for i, x in enumerate(text.split("\n")) for w in _tokens(x) if w in whole}
+    return out | {(-1, w) for w in whole - {w for _, w in out}}
+
 
-        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = [bool(t) and not bad.isdisjoint(_tokens(t)) for t in b.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["table_name", "row_id"]).filter(pa.array(keep))
+def misread_rows(rows: DataFrame, wrong: DataFrame, running: DataFrame) -> DataFrame:
+    """table_name, row_id of texts with misread words outside of running lines, which are noise as a whole. The list goes to
+    every task if it is small, else the texts' words are joined with it."""
+    listed = wrong.select("word").limit(MOST_SENT + 1).collect()
+    bad = frozenset(r[0] for r in listed) if len(listed) <= MOST_SENT else None
+    names = ["table_name", "row_id", "line", "word"]
 
-        return rows.select("table_name", "row_id", "text").mapInArrow(mark, "table_name string, row_id bigint")
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(t, i, n, w) for t, i, x in zip(*(c.to_pylist() for c in b.columns)) if x for n, w in _line_words(x, bad)]
+            cols = list(zip(*out)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.string()))], names)
 
-    return row_words(rows, "text").join(wrong.select("word"), "word", "left_semi").select("table_name", "row_id")
+    found = rows.select("table_name", "row_id", "text").mapInArrow(mark, "table_name string, row_id bigint, line int, word string")
+    if bad is None:
+        found = found.join(wrong.select("word"), "word", "left_semi")
+    return found.join(running, ["table_name", "row_id", "line"], "left_anti").select("table_name", "row_id")
 
 
-def row_words(rows: DataFrame, text: str, split: Callable[[str], list[str]] = _tokens) -> DataFrame:
+def row_words(rows: DataFrame, text: str, split: Callable[[str], list[str]]) -> DataFrame:
     """table_name, row_id, word: the words of each text once."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,11 +350,12 @@ def noise(rows: DataFrame, titles: DataFrame) -> tuple[DataFrame, dict[str, Data
     got = cut(facts(rows))
     vocab = cut(vocabulary(got))
     wrong = cut(misread_words(vocab))
+    running = running_lines(got, titles)
     parts = {
-        "page_number": got.where("fact = 'page'").select("table_name", "row_id", "line"),
-        "running": running_lines(got, titles),
+        "page_number": page_numbers(got),
+        "running": running,
         "hyphen": cut_words(got, vocab),
-        "misread": misread_rows(rows, wrong),
+        "misread": misread_rows(rows, wrong, running),
         "words": wrong,
     }
     out = None

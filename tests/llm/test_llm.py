@@ -103,13 +103,17 @@ def test_templates_of_large_hosts(spark):
 # ---- scans
 
 
+def sure(lines):
+    return {i for i, (_, s) in scans.page_lines(lines).items() if s}
+
+
 @pytest.mark.parametrize("line", ["12", "- 3 -", "— 14 —", "[7]", "Page 3 of 9", "p. 4", "S. 8", "Стр. 2", "第 3 页", "第3页", "xiv", "•40•", "~ 9 ~"])
 def test_page_numbers(line):
-    assert scans.page_lines(["text of the page", line, "more"]) == {1}
+    assert sure(["text of the page", line, "more"]) == {1}
 
 
 def test_columns_of_figures_are_no_page_numbers():
-    assert scans.page_lines(["sum:", "12", "14", "900"]) == set() and not scans.page_number("1933.") and not scans.page_number("mild")
+    assert sure(["sum:", "12", "14", "900"]) == set() and not scans.page_number("1933.") and not scans.page_number("mild")
 
 
 def scan_case(spark):
