@@ -222,7 +222,7 @@ def vocabulary(got: DataFrame) -> DataFrame:
 def running_lines(got: DataFrame, titles: DataFrame, least: int = 3) -> DataFrame:
     """table_name, row_id, line: lines whose fuzzy key repeats in its book. titles: book, title. A title or a chapter's heading is
     one occurrence, and any line with its key another; without one the key must stand in the margins of two pages, or at the
-    edges of `least` texts with page numbers."""
+    edges of `least` texts with page numbers, or alone in a margin that holds running lines on the book's other pages."""
 
     @F.udf("string", useArrow=True)
     def key(t):
@@ -236,7 +236,10 @@ def running_lines(got: DataFrame, titles: DataFrame, least: int = 3) -> DataFram
     # counts of distinct places, each of which is at most two rows of each kind here
     again = edges.groupBy("book", "key", "place").agg(F.max("margin").alias("margin"), F.max("numbered").alias("numbered")).groupBy("book", "key").agg(
         F.count_if("margin").alias("margins"), F.count_if("numbered").alias("numbers")).where((F.col("margins") >= 2) | (F.col("numbers") >= least)).select("book", "key")
-    return lines.join(heads.unionByName(again).distinct(), ["book", "key"], "left_semi").select("table_name", "row_id", "line")
+    first = cut(lines.join(heads.unionByName(again).distinct(), ["book", "key"], "left_semi").select("table_name", "row_id", "line", "book", flag(MARGIN).alias("margin")))
+    # the margin itself repeats: where it holds running lines on some pages, its lines on the others are such too
+    there = lines.where(flag(MARGIN)).join(first.where("margin").select("book").distinct(), "book", "left_semi")
+    return cut(first.select("table_name", "row_id", "line").unionByName(there.select("table_name", "row_id", "line")).distinct())
 
 
 def page_numbers(got: DataFrame) -> DataFrame:

@@ -339,3 +339,69 @@ def test_no_other_part_imports_this_one():
     for p in root.rglob("*.py"):
         if p.parent.name != "llm":
             assert not re.search(r"quire\.llm|from \.+llm", p.read_text()), p
+
+
+# ---- scans: edges and sequences
+
+
+def blocks(spark, data):
+    return spark.createDataFrame([("b", *r) for r in data], "table_name string, row_id bigint, book string, heading string, is_heading boolean, text string, page int, margin boolean"), spark.createDataFrame(
+        [], "book string, title string")
+
+
+def test_lines_that_repeat_in_margins_run(spark):
+    data = [(1, "k", None, False, "OF STONES AND RIVERS", 0, True), (2, "k", None, False, "Of Stones and Rivers  14", 1, True), (3, "k", None, False, "a lone line at the top", 2, True),
+            (4, "k", None, False, "words before\nof stones and rivers\nwords after", 3, False), (5, "k", None, False, "an inner line", 4, False), (6, "k", None, False, "an inner line", 5, False),
+            (7, "other", None, False, "Of stones and rivers", 0, True), (8, "k", None, True, "Of stones and rivers", 6, True), (9, "k", None, False, "x" * 300, 7, True), (9, "k", None, False, "x" * 300, 7, True),
+            (10, None, None, False, None, None, None), (11, "k", None, False, "", None, None)]
+    assert rows(scans.noise(*blocks(spark, data))[0]) == [("b", i, "running") for i in (1, 2, 3, 4, 9)]
+
+
+def test_page_numbers_run_with_the_pages(spark):
+    data = [(i, "k", None, False, f"{i + 13}", i, True) for i in range(3)]
+    # two figures in the margin, of which one is in the sequence; figures in the middle of a page that happen to be
+    data += [(20, "k", None, False, "20\n33", 20, True), (21, "k", None, False, "40\n34", 21, False), (22, "k", None, False, "123456", 22, True), (23, "k", None, False, "- 7 -", None, None)]
+    got = scans.noise(*blocks(spark, data))[0]
+    assert [r[1] for r in rows(got)] == [0, 1, 2, 20, 23]
+
+
+def test_misread_words_of_running_lines_are_theirs(spark):
+    many = [(i, "k", None, False, "the monastery stood there", i, False) for i in range(20)]
+    data = many + [(50, "k", None, False, "The M0nastery", 30, True), (51, "k", None, False, "The Monastery", 31, True), (52, "k", None, False, "The m0nastery\nhad a m0nastery.", 32, True)]
+    assert rows(scans.noise(*blocks(spark, data))[0]) == [("b", 50, "running"), ("b", 51, "running"), ("b", 52, "misread"), ("b", 52, "running")]
+
+
+@pytest.mark.parametrize("line,value", [("xiv", 14), ("XL", 40), ("l2", 12), ("page 7 of 9", 7), ("[- 3 -]", 3), ("Page — 12", 12)])
+def test_values_of_page_numbers(line, value):
+    assert scans.page_number(line)[0] == value
+
+
+def test_long_decoration_is_no_page_number():
+    assert scans.page_number("-" * 200_000 + "x") is None and scans.page_number("12" + " " * 200_000 + "x") is None
+
+
+def test_two_confusions_in_long_words():
+    w = "donaudampfschifffahrtsgesellschaft"
+    assert w in scans.undone(w.replace("o", "0").replace("u", "ii")) and w in scans.undone("d0naudampfschifffahrtsgesel1schaft") and not scans.undone("a1b2c3")
+
+
+# ---- markup: elements
+
+
+def test_sorts_are_those_of_elements():
+    top = markup.parse("# Head\n\nplain\n\n<div>a $x_1$ `<b>` b</div>\n\n- one\n- two [[l]]")
+    assert [(n.kind, n.marks) for n in top] == [("h1", markup.MARKDOWN), ("paragraph", 0), ("div", markup.HTML), ("list", markup.MARKDOWN | markup.WIKI)]
+    assert [c.marks for c in top[2].children] == [markup.LATEX | markup.MARKDOWN]
+    assert markup.kinds("<table><tr><td>so $x^2$</td><td>328</td></tr></table>") == {"html", "latex"} and markup.kinds("a </div> b") == {"html"} and markup.kinds("`<div>`") == {"markdown"}
+
+
+def test_nesting_is_no_limit_to_text():
+    n = 3000
+    assert "core" in markup.render(markup.parse("<div>" * n + "core" + "</div>" * n)) and "core" in markup.render(markup.parse(">" * n + " core"))
+    assert markup.inline("\\a{" * 50 + "core" + "}" * 50) == "core" and markup.inline("\\a{b {c} d} \\e{open") == "b {c} d \\e{open"
+
+
+def test_facts_of_elements(spark):
+    df = spark.createDataFrame([("t", 1, "h", "<p>x</p>"), ("t", 1, "h", "<p>x</p>"), ("t", 2, None, "# y"), ("t", 3, "h", None), ("t", 4, "h", ""), ("t", 5, "h", "plain")], "table_name string, row_id bigint, host string, text string")
+    assert rows(markup.written_in(markup.elements(df))) == [("t", 1, "html"), ("t", 2, "markdown")]
+    assert markup.written_in(markup.elements(df.limit(0))).count() == 0
