@@ -1,21 +1,25 @@
 """Schemas that drift between JSON files: tagged-union inference, alias resolution and change reports.
 
 `shapes` parses every file once and writes, per object path, the signature (field names in order with tagged types) of
-its objects. `fuse` unions all parallel signatures; their number depends on the sorts of files, not on how many there
-are, and it is checked. `resolve` compares each signature with a declared shape on the driver and finds which unknown
-names are new names of declared fields. Joining that back to the files' signatures gives each file's changes.
+its objects; `fuse` unions all parallel signatures. `new_names` goes down a declared shape level by level and counts, over
+the fused signatures, which unknown names stand for a declared field; `drift` compares each file's signatures with the
+shape under those names. Signatures stay in Spark, however many there are; the driver holds the new names alone.
 
 Defined results: null and unreadable texts are no files (a file counts if one of its copies can be read; of several
-readable copies every departure counts once); an empty table gives no rows; a file of `{}` lacks each required top
-field; null as a value is another type; extra columns are ignored.
+readable copies every departure counts once, while tables take the earliest, then the one of the smallest hash); depth
+has no limit; an empty table gives no rows; a file of `{}` lacks each required top field; null as a value is another
+type; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
-from collections import Counter, defaultdict
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from json.decoder import scanstring
 
 import pandas as pd
 import pyarrow as pa
@@ -24,8 +28,8 @@ from pyspark.sql import functions as F
 
 from quire.session import bounded_rows, cut
 
-#: more distinct signatures than any family of files has; beyond it the fused schema isn't a schema
-MOST_SHAPES = 200_000
+#: more new names of declared fields than any family of files has
+MOST_NAMES = 200_000
 
 
 def tag(v) -> str:
@@ -51,11 +55,94 @@ def load(raw: str | None):
         return None
     try:
         d = json.loads(raw)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        d = deep(raw)
+    except ValueError:
         return None
     return d if isinstance(d, dict) else None
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_ATOM = re.compile(r"-?(?:0|[1-9]\d*)(\.\d+)?([eE][-+]?\d+)?|true|false|null|NaN|-?Infinity", re.A)
+_NAMED = {"true": True, "false": False, "null": None, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
+
+
+def deep(raw: str):
+    """JSON nested too deep for the recursive parser; None where it isn't JSON."""
+    top: list = []
+    stack: list = [top]
+    key, at, want = None, 0, "value"
+    try:
+        while True:
+            at = _SPACE.match(raw, at).end()
+            here, c = stack[-1], raw[at : at + 1]
+            if want == "next":
+                if here is top:
+                    return top[0] if at == len(raw) else None
+                if c == ",":
+                    want = "key" if isinstance(here, dict) else "value"
+                elif c == ("}" if isinstance(here, dict) else "]"):
+                    stack.pop()
+                else:
+                    return None
+                at += 1
+            elif want in ("key", "key or end"):
+                if c == "}" and want == "key or end":
+                    stack.pop()
+                    at, want = at + 1, "next"
+                    continue
+                if c != '"':
+                    return None
+                key, at = scanstring(raw, at + 1)
+                at = _SPACE.match(raw, at).end()
+                if raw[at : at + 1] != ":":
+                    return None
+                at, want = at + 1, "value"
+            elif c == "]" and want == "value or end":
+                stack.pop()
+                at, want = at + 1, "next"
+            else:
+                if c == '"':
+                    v, at = scanstring(raw, at + 1)
+                    then = "next"
+                elif c in ("{", "[") and c:
+                    v, at, then = ({} if c == "{" else []), at + 1, "key or end" if c == "{" else "value or end"
+                else:
+                    m = _ATOM.match(raw, at)
+                    if not m:
+                        return None
+                    v = _NAMED[m[0]] if m[0] in _NAMED else float(m[0]) if m[1] or m[2] else int(m[0])
+                    at, then = m.end(), "next"
+                if isinstance(here, dict):
+                    here[key] = v
+                else:
+                    here.append(v)
+                if then != "next":
+                    stack.append(v)
+                want = then
+    except ValueError:
+        return None
+
+
+def one_copy(df: DataFrame, key: str, raw: str, order: str | None = None) -> DataFrame:
+    """_key, _raw for `first_readable`: exact copies of a document are one, what is left of it stands together, the earliest by
+    `order` first. Copies are told by their hash before they are moved, so a file copied often is one row."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
+    one = df.select(F.col(key).alias("_key"), (F.col(order) if order else F.lit(0)).alias("_at"), F.col(raw).alias("_raw")).where("_key is not null and _raw is not null")
+    own = one.groupBy("_key", F.xxhash64("_raw").alias("_hash"), F.length("_raw").alias("_len")).agg(F.min("_at").alias("_at"), F.first("_raw").alias("_raw"))
+    return own.repartition(n, "_key").sortWithinPartitions("_key", "_at", "_hash").select("_key", "_raw")
+
+
+def first_readable(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, dict]]:
+    """(key, parsed) of the first readable copy of each document, as `one_copy` orders them."""
+    last = None
+    for b in batches:
+        for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if k != last and (d := load(raw)) is not None:
+                last = k
+                yield k, d
+
+
 @dataclass
 class Shape:
     """A declared object: accepted tags per field; `sub` are shapes of object fields or of the objects in a list."""
@@ -136,101 +223,102 @@ def _class(t: str) -> str:
     return "list" if t.startswith("list") else "num" if t in ("int", "float") else t
 
 
-def _aliases(sigs: list[tuple[list, int]], shape: Shape) -> dict[str, str]:
-    """Unknown names that stand for a declared field: they never occur beside it, are of its type, and it is absent
-    wherever they occur. Where several fields qualify, the one at the same place in the order of keys is meant."""
-    has: Counter = Counter()
-    both: Counter = Counter()
-    tags: dict[str, Counter] = defaultdict(Counter)
-    place: dict[str, Counter] = defaultdict(Counter)
-    known = shape.known
-    for sig, n in sigs:
-        names = [k for k, _ in sig]
-        lacking = [m for m in known if m not in names]
-        for i, (k, t) in enumerate(sig):
-            if k in known:
-                continue
-            has[k] += n
-            tags[k][t] += n
-            for m in names:
-                if m in known:
-                    both[k, m] += n
-            before = [x for x in names[:i] if x in known]
-            for m in lacking:
-                order = list(known)
-                prev = [x for x in order[: order.index(m)] if x in names]
-                place[k][m] += n * ((before[-1] if before else None) == (prev[-1] if prev else None))
-    out: dict[str, str] = {}
-    options = []
-    for k, n in has.items():
-        for m, want in known.items():
-            if both[k, m]:
-                continue
-            ok = sum(c for t, c in tags[k].items() if _fits(t, want))
-            if ok < 0.9 * n:
-                continue
-            options.append((place[k][m] / n, m in shape.required, n, k, m))
-    for p, _, _, k, m in sorted(options, key=lambda o: (-o[0], not o[1], -o[2], o[3], o[4])):
-        if k not in out and p >= 0.5:
-            out[k] = m
-    return out
+@lru_cache(maxsize=100_000)
+def _fields(signature: str) -> list:
+    return json.loads(signature)
 
 
-def resolve(rows: list, shape: Shape) -> tuple[dict[str, dict[str, str]], dict[tuple[str, str], list[tuple[str, str]]]]:
-    """rows: (path, signature, objects) of the fused schema. Returns the new names of declared fields by canonical
-    object path and, for each (path, signature), its changes as (field_path, change_kind)."""
-    raw: dict[str, list] = defaultdict(list)
-    for path, sig, n in rows:
-        raw[path].append((sig, json.loads(sig), n))
-    aliases: dict[str, dict[str, str]] = {}
-    changes: dict[tuple[str, str], list[tuple[str, str]]] = {}
-
-    def join(p: str, f: str) -> str:
-        return f"{p}.{f}" if p else f
-
-    def level(paths: list[str], where: str, s: Shape) -> None:
-        alias = aliases[where] = _aliases([(sig, n) for p in paths for _, sig, n in raw[p]], s)
-        known, below = s.known, defaultdict(set)
-        for p in paths:
-            for text, sig, _ in raw[p]:
-                out, have = [], set()
-                names = {k for k, _ in sig}
-                for k, t in sig:
-                    m = k if k in known else alias.get(k)
-                    if m is None or (m != k and m in names):
-                        out.append((join(where, k), "added"))
+def _join(p: str, f: str) -> str:
+    return f"{p}.{f}" if p else f
+
+
+_CANDIDATE = "at string, name string, field string, required boolean, objects bigint, beside bigint, fits bigint, placed bigint"
+
+
+def candidates(fused: DataFrame, nodes: dict[str, tuple[str, Shape]]) -> DataFrame:
+    """Unknown names of the objects on the paths `nodes` that stand for a declared field: they never occur beside it, are of
+    its type and at its place in the order of keys. at, name, field: the best of each name."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, text, n in zip(b["path"], b["signature"], b["objects"]):
+                if path not in nodes:
+                    continue
+                at, shape = nodes[path]
+                sig, known = _fields(text), shape.known
+                names, order = [k for k, _ in sig], list(known)
+                for i, (k, t) in enumerate(sig):
+                    if k in known:
                         continue
-                    have.add(m)
-                    if m != k:
-                        out.append((join(where, m), "renamed"))
-                    if not _fits(t, known[m]):
-                        out.append((join(where, m), "retyped"))
-                    if m in s.sub and (t == "obj" or t.startswith("list")):
-                        below[m].add((join(p, k) + ("" if t == "obj" else "[]"), t == "obj"))
-                out += [(join(where, m), "missing") for m in s.required if m not in have]
-                changes[p, text] = out
-        for m, ps in below.items():
-            is_list = any(x.startswith("list") for x in known[m])
-            to = join(where, m) + ("[]" if is_list else "")
-            mine = sorted(q for q, obj in ps if obj != is_list and q in raw)
-            if mine:
-                level(mine, to, s.sub[m])
-
-    if "" in raw:
-        level([""], "", shape)
-    return aliases, changes
+                    before = next((x for x in reversed(names[:i]) if x in known), None)
+                    for j, m in enumerate(order):
+                        beside = m in names
+                        placed = not beside and before == next((x for x in reversed(order[:j]) if x in names), None)
+                        rows.append((at, k, m, m in shape.required, n, n * beside, n * _fits(t, known[m]), n * placed))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CANDIDATE.split(", ")])
+
+    got = fused.select("path", "signature", "objects").mapInPandas(run, _CANDIDATE).groupBy("at", "name", "field", "required").agg(
+        *[F.sum(c).alias(c) for c in ("objects", "beside", "fits", "placed")])
+    ok = got.where("beside = 0 and fits >= 0.9 * objects and placed >= 0.5 * objects")
+    return ok.groupBy("at", "name").agg(F.min_by("field", F.struct(-F.col("placed") / F.col("objects"), ~F.col("required"), "field")).alias("field"))
+
+
+def new_names(fused: DataFrame, shape: Shape) -> tuple[dict[str, dict[str, str]], dict[str, tuple[str, Shape]]]:
+    """(new names of declared fields by canonical object path; canonical path and shape of each path that files use)."""
+    aliases: dict[str, dict[str, str]] = {}
+    nodes: dict[str, tuple[str, Shape]] = {}
+    level = {"": ("", shape)}
+    while level:
+        nodes |= level
+        aliases |= {at: {} for at, _ in level.values()}
+        for at, name, to in bounded_rows(candidates(fused, level), MOST_NAMES, "new names of fields"):
+            aliases[at][name] = to
+        level = {_join(p, k) + ("[]" if any(t.startswith("list") for t in s.known[m]) else ""): (below(at, m, s), inner)
+                 for p, (at, s) in level.items() for m, inner in s.sub.items() for k in (m, *(x for x, to in aliases[at].items() if to == m))}
+    return aliases, nodes
+
+
+def changes(signature: str, at: str, shape: Shape, alias: dict[str, str]) -> list[tuple[str, str]]:
+    """(field_path, change_kind) of the objects of one signature."""
+    sig, known = _fields(signature), shape.known
+    names = {k for k, _ in sig}
+    out, have = [], set()
+    for k, t in sig:
+        m = k if k in known else alias.get(k)
+        if m is None or (m != k and m in names):
+            out.append((_join(at, k), "added"))
+            continue
+        have.add(m)
+        if m != k:
+            out.append((_join(at, m), "renamed"))
+        if not _fits(t, known[m]):
+            out.append((_join(at, m), "retyped"))
+    return out + [(_join(at, m), "missing") for m in shape.required if m not in have]
 
 
 def drift(df: DataFrame, key: str, raw: str, shape: Shape, depth: int = 3) -> tuple[DataFrame, dict[str, dict[str, str]]]:
-    """(changes, new names by object path): changes has `key`, field_path, change_kind, one row each."""
+    """(changes, new names by object path): changes has `key`, field_path, change_kind, one row each. `depth`: how many
+    levels below the root the shape has."""
     found = cut(shapes(df, key, raw, depth))
-    rows = bounded_rows(fuse(found).select("path", "signature", "objects"), MOST_SHAPES, "distinct object signatures")
-    aliases, changes = resolve([tuple(r) for r in rows], shape)
-    flat = [(p, s, f, k) for (p, s), out in changes.items() for f, k in out]
-    told = df.sparkSession.createDataFrame(pd.DataFrame(flat, columns=["path", "signature", "field_path", "change_kind"]) if flat else [],
-                                           "path string, signature string, field_path string, change_kind string")
-    out = found.select(key, "path", "signature").join(F.broadcast(told), ["path", "signature"]).select(key, "field_path", "change_kind").distinct()
-    return out, aliases
+    aliases, nodes = new_names(cut(fuse(found)), shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: dict[tuple[str, str], list[tuple[str, str]]] = {}
+        for b in batches:
+            rows = []
+            for i, (p, sig) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                if p in nodes:
+                    if (p, sig) not in told:
+                        if len(told) > 100_000:
+                            told.clear()
+                        told[p, sig] = changes(sig, *nodes[p], aliases[nodes[p][0]])
+                    rows += [(i, f, k) for f, k in told[p, sig]]
+            at, f, k = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(f, pa.string()), pa.array(k, pa.string())], [key, "field_path", "change_kind"])
+
+    kind = dict(df.dtypes)[key]
+    return found.select(key, "path", "signature").mapInArrow(run, f"`{key}` {kind}, field_path string, change_kind string").distinct(), aliases
 
 
 def value(obj: dict, name: str, alias: dict[str, str]):
@@ -284,8 +372,34 @@ def names(v) -> list[str | None] | None:
 
 def text(v) -> str:
     """JSON; with escapes where it has halves of surrogate pairs."""
-    s = json.dumps(v, ensure_ascii=False, sort_keys=True)
-    return s if s.isascii() or not any("\ud800" <= c <= "\udfff" for c in s) else json.dumps(v, sort_keys=True)
+    try:
+        s = json.dumps(v, ensure_ascii=False, sort_keys=True)
+        return s if s.isascii() or not any("\ud800" <= c <= "\udfff" for c in s) else json.dumps(v, sort_keys=True)
+    except RecursionError:
+        return deep_text(v)
+
+
+def deep_text(v) -> str:
+    """JSON of what is nested too deep for the recursive writer."""
+    out: list[str] = []
+    todo: list = [v]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, _Written):
+            out.append(x)
+        elif isinstance(x, (dict, list)):
+            pairs = sorted(x.items()) if isinstance(x, dict) else [(None, e) for e in x]
+            out.append("{" if isinstance(x, dict) else "[")
+            todo.append(_Written("}" if isinstance(x, dict) else "]"))
+            for i, (k, e) in enumerate(reversed(pairs)):
+                todo += [e, _Written((", " if i < len(pairs) - 1 else "") + ("" if k is None else json.dumps(k) + ": "))]
+        else:
+            out.append(json.dumps(x))
+    return "".join(out)
+
+
+class _Written(str):
+    """Text that is written already."""
 
 
 def kind(want: set[str]):
@@ -387,36 +501,31 @@ def canonical_table(df: DataFrame, shape: Shape, aliases: dict[str, dict[str, st
     ddl = ", ".join(f"`{f.name}` {_DDL[f.type]}" for f in schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[dict] = []
-
-            def put(fid, part, pp, branch, i, obj, s, at, skip):
-                got, odd, extra = read(obj, s, at, aliases, skip)
-                rows.append({"file_id": fid, "part": part, "page_pos": pp, "branch": branch, "block_pos": i, "typed_branches": text(odd), "extra": text(extra)}
-                            | {name[part, m]: valid(v) for m, v in got.items()})
-
-            for fid, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                d = load(raw)
-                if d is None:
+        rows: list[dict] = []
+
+        def put(fid, part, pp, branch, i, obj, s, at, skip):
+            got, odd, extra = read(obj, s, at, aliases, skip)
+            rows.append({"file_id": fid, "part": part, "page_pos": pp, "branch": branch, "block_pos": i, "typed_branches": text(odd), "extra": text(extra)}
+                        | {name[part, m]: valid(v) for m, v in got.items()})
+
+        for fid, d in first_readable(batches):
+            put(fid, "file", None, None, None, d, shape, "", {pages})
+            listed = value(d, pages, aliases.get("", {}))[1]
+            for pp, pg in enumerate(listed if isinstance(listed, list) else []):
+                if not isinstance(pg, dict):
                     continue
-                put(fid, "file", None, None, None, d, shape, "", {pages})
-                listed = value(d, pages, aliases.get("", {}))[1]
-                for pp, pg in enumerate(listed if isinstance(listed, list) else []):
-                    if not isinstance(pg, dict):
-                        continue
-                    put(fid, "page", pp, None, None, pg, page, where, set(page.sub))
-                    for branch, s in page.sub.items():
-                        found = value(pg, branch, aliases.get(where, {}))[1]
-                        for i, blk in enumerate(found if isinstance(found, list) else []):
-                            if isinstance(blk, dict):
-                                put(fid, "block", pp, branch, i, blk, s, f"{where}.{branch}[]", set())
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows.clear()
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    one = df.select(F.col("file_id").cast("bigint"), "raw").where("raw is not null")
-    return one.mapInArrow(run, ddl).dropDuplicates(["file_id", "part", "page_pos", "branch", "block_pos"])
+                put(fid, "page", pp, None, None, pg, page, where, set(page.sub))
+                for branch, s in page.sub.items():
+                    found = value(pg, branch, aliases.get(where, {}))[1]
+                    for i, blk in enumerate(found if isinstance(found, list) else []):
+                        if isinstance(blk, dict):
+                            put(fid, "block", pp, branch, i, blk, s, f"{where}.{branch}[]", set())
+            if len(rows) > 20_000:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows.clear()
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return one_copy(df.withColumn("file_id", F.col("file_id").cast("bigint")), "file_id", "raw", "produced_at" if "produced_at" in df.columns else None).mapInArrow(run, ddl)
 
 
 _DDL = {pa.string(): "string", pa.int32(): "int", pa.int64(): "bigint", pa.bool_(): "boolean", pa.list_(pa.float64()): "array<double>", pa.list_(pa.string()): "array<string>"}

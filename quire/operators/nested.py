@@ -2,10 +2,10 @@
 
 `flatten` walks each document once and emits one row per element of every array level: the path of the level (`[]`
 marks arrays), a surrogate key made of the document's key and the element's positions, the parent's surrogate key, the
-element's ordinal and its own scalar fields as a map. A level's rows form its child table (`child_table`), typed by the
+element's ordinal, its positions from the root down and its own scalar fields as a map. A level's rows form its child table (`child_table`), typed by the
 merged schema that `merged_schema` infers from all rows. Depth is unbounded.
 
-Defined results: null and unreadable documents have no rows; copies of a document collapse; empty arrays have no rows;
+Defined results: null and unreadable documents have no rows; of a document's copies the first readable one counts; empty arrays have no rows;
 an array within an array is a level of its own; an element that is no object has its value under `value`; object fields
 are flattened into the element with dotted names; an empty table gives empty tables; extra columns are ignored.
 """
@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.drift import load, tag
+from quire.operators.drift import first_readable, one_copy, tag
 from quire.session import bounded_rows
 
 ROOT = "$"
-_SCHEMA = "doc_key string, level_path string, node_key string, parent_key string, ordinal int, tags map<string,string>, fields map<string,string>"
+_SCHEMA = "doc_key string, level_path string, node_key string, parent_key string, ordinal int, ordinals array<int>, tags map<string,string>, fields map<string,string>"
 #: more scalar fields at one level than any schema has
 MOST_FIELDS = 20_000
 
@@ -33,50 +33,60 @@ def _text(v) -> str | None:
     return v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
 
-def _rows(d, doc: str, want, out: tuple[list, ...]) -> None:
-    """Own scalar fields of each element, level by level; an explicit stack, so depth costs no recursion."""
-    stack = [(d, doc, None, 0, ROOT)]
-    docs, paths, keys, parents, ordinals, tags, fields = out
+class _Match(dict):
+    """Whether a pattern matches a name; names are few, so each is matched once."""
+
+    def __init__(self, pattern: str | None):
+        self.match = re.compile(pattern).fullmatch if pattern else None
+
+    def __missing__(self, name: str) -> bool:
+        self[name] = got = self.match is None or self.match(name) is not None
+        return got
+
+
+def _rows(d, doc: str, fields: _Match, levels: _Match, out: tuple[list, ...]) -> None:
+    """Own scalar fields of each element of the wanted levels; an explicit stack, so depth costs no recursion."""
+    stack = [(d, doc, None, (), ROOT)]
+    docs, paths, keys, parents, ordinals, places, tags, own_fields = out
     while stack:
-        v, key, parent, ordinal, path = stack.pop()
+        v, key, parent, place, path = stack.pop()
+        wanted = levels[path]
         own, kinds, todo = [], [], [("", v)]
         while todo:
             at, x = todo.pop()
             if isinstance(x, dict):
-                todo += [(f"{at}.{k}" if at else k, y) for k, y in x.items()]
+                todo += [(f"{at}.{k}" if at else k, y) for k, y in x.items()] if at else x.items()
             elif isinstance(x, list):
                 below = f"{path}.{at}[]" if at else f"{path}[]"
-                stack += [(e, f"{key}/{at}:{i}", key, i, below) for i, e in enumerate(x)]
-            elif want is None or want(at):
+                # a list of nothing but scalars has no further levels
+                if levels[below] or any(isinstance(e, (dict, list)) for e in x):
+                    stack += [(e, f"{key}/{at}:{i}", key, (*place, i), below) for i, e in enumerate(x)]
+            elif wanted and fields[at]:
                 own.append((at or "value", _text(x)))
                 kinds.append((at or "value", tag(x)))
-        for to, x in ((docs, doc), (paths, path), (keys, key), (parents, parent), (ordinals, ordinal), (tags, kinds), (fields, own)):
-            to.append(x)
+        if wanted:
+            for to, x in ((docs, doc), (paths, path), (keys, key), (parents, parent), (ordinals, place[-1] if place else 0), (places, place), (tags, kinds), (own_fields, own)):
+                to.append(x)
 
 
-def flatten(df: DataFrame, key: str, raw: str, fields: str | None = None, collapse: bool = True) -> DataFrame:
-    """doc_key, level_path, node_key, parent_key, ordinal, tags, fields. `fields`: a pattern that the names of scalar
-    fields must match to be kept; collapse=False leaves the rows of a document's copies."""
+def flatten(df: DataFrame, key: str, raw: str, fields: str | None = None, levels: str | None = None, order: str | None = None) -> DataFrame:
+    """doc_key, level_path, node_key, parent_key, ordinal, ordinals, tags, fields. `fields` and `levels`: patterns that the
+    names of scalar fields and the paths of levels must match to be kept; `order`: by which a document's copies are tried."""
     ways = pa.map_(pa.string(), pa.string())
-    kinds = [pa.string()] * 4 + [pa.int32(), ways, ways]
+    kinds = [pa.string()] * 4 + [pa.int32(), pa.list_(pa.int32()), ways, ways]
     cols = [c.split()[0] for c in _SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want = re.compile(fields).fullmatch if fields else None
-        for b in batches:
-            out: tuple[list, ...] = tuple([] for _ in cols)
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                d = load(text)
-                if d is not None:
-                    _rows(d, k, want, out)
-                if len(out[0]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], cols)
-                    out = tuple([] for _ in cols)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], cols)
-
-    one = df.select(F.col(key).cast("string").alias("_key"), F.col(raw).alias("_raw")).where("_key is not null and _raw is not null")
-    flat = one.mapInArrow(run, _SCHEMA)
-    return flat.dropDuplicates(["node_key"]) if collapse else flat
+        want, at = _Match(fields), _Match(levels)
+        out: tuple[list, ...] = tuple([] for _ in cols)
+        for k, d in first_readable(batches):
+            _rows(d, k, want, at, out)
+            if len(out[0]) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], cols)
+                out = tuple([] for _ in cols)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], cols)
+
+    return one_copy(df.withColumn(key, F.col(key).cast("string")), key, raw, order).mapInArrow(run, _SCHEMA)
 
 
 def merged_schema(flat: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.drift import Shape, canonical_blocks, canonical_table, drift, fused_schema, shapes
-from quire.session import spread_table
+from quire.session import spread, spread_table, table
 
 INT, STR, BOOL = {"int"}, {"str"}, {"bool"}
 INTS = {"list<int>", "list<>"}
@@ -59,16 +59,16 @@ def p1_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The consistent table of page-level blocks of both kinds of file."""
     out = None
     for name, shape in FILES.items():
-        df = spread_table(spark, sf_dir, name)
-        _, aliases = drift(df.select("file_id", "raw"), "file_id", "raw", shape)
+        df = table(spark, sf_dir, name)
+        _, aliases = drift(spread(df.select("file_id", "raw")), "file_id", "raw", shape)
         got = canonical_blocks(df, shape, aliases, PAGES[name]).select(F.lit(name).alias("table_name"), "*")
         out = got if out is None else out.unionByName(got, allowMissingColumns=True)
     return out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spread_table(spark, sf_dir, name)
-    _, aliases = drift(df.select("file_id", "raw"), "file_id", "raw", FILES[name])
+    df = table(spark, sf_dir, name)
+    _, aliases = drift(spread(df.select("file_id", "raw")), "file_id", "raw", FILES[name])
     return canonical_table(df, FILES[name], aliases, PAGES[name])
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,61 +10,34 @@ from pyspark.sql import functions as F
 from quire.operators.drift import drift
 from quire.operators.nested import flatten, typed
 from quire.queries.drift import FILES
-from quire.session import spread_table
+from quire.session import spread, table
 
 _BLANK = r"^[\p{IsWhite_Space}\x1c-\x1f]*$"
 
 
 def _new_names(df: DataFrame, name: str) -> dict[str, dict[str, str]]:
     """The merged schema's new names of declared fields: what this file calls its page list, branches and contents."""
-    return drift(df, "file_id", "raw", FILES[name])[1]
-
-
-def _either(field: str, alias: dict[str, str]) -> str:
-    return "(?:" + "|".join([field, *sorted(k for k, m in alias.items() if m == field)]) + ")"
-
-
-def _middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spread_table(spark, sf_dir, "book_middle").select("file_id", "raw")
-    names = _new_names(df, "book_middle")
-    page = names.get("pdf_info[]", {})
-    flat = flatten(df, "file_id", "raw", fields="type", collapse=False)
-    spans = flat.where(F.col("level_path").rlike(r"\.spans\[\]$"))
-    found = None
-    for branch in ("preproc_blocks", "discarded_blocks"):
-        way = f"^[^/]+/{_either('pdf_info', names.get('', {}))}:(\\d+)/{_either(branch, page)}:([^/]+(?:/blocks:\\d+)*)/lines:(\\d+)/spans:(\\d+)$"
-        part = lambda i, w=way: F.regexp_extract("node_key", w, i)
-        got = spans.where(F.col("node_key").rlike(way)).select(
-            F.col("doc_key").cast("bigint").alias("file_id"), part(1).cast("int").alias("page_pos"), F.lit(branch).alias("branch"),
-            F.concat(F.regexp_replace(part(2), "blocks:", ""), F.lit("/l"), part(3), F.lit("/s"), part(4)).alias("node_path"))
-        found = got if found is None else found.unionByName(got)
-    return found
-
-
-def _v4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spread_table(spark, sf_dir, "middle_json").select("file_id", "raw")
-    names = _new_names(df, "middle_json")
-    body = _either("content", names.get("pages[].blocks[]", {}))
-    flat = flatten(df, "file_id", "raw", fields=rf"|{body}(?:\.content)*", collapse=False)
-    lists = rf"(?:{body}(?:\.content)*)?:\d+"
-    way = rf"^[^/]+/{_either('pages', names.get('', {}))}:(\d+)/{_either('blocks', names.get('pages[]', {}))}:(\d+)((?:/{lists})*)$"
-    part = lambda i: F.regexp_extract("node_key", way, i)
-    full = F.exists(F.map_values("fields"), lambda v: v.isNotNull() & ~v.rlike(_BLANK)) & F.exists(F.map_values("tags"), lambda t: t == "str")
-    return flat.where(F.col("node_key").rlike(way) & full).select(
-        F.col("doc_key").cast("bigint").alias("file_id"), part(1).cast("int").alias("page_pos"), F.lit("blocks").alias("branch"),
-        F.concat(part(2), F.regexp_replace(part(3), r"/[^/:]*:", "/")).alias("node_path"))
+    return drift(spread(df.select("file_id", "raw")), "file_id", "raw", FILES[name])[1]
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [f.select(F.lit(n).alias("table_name"), "*") for n, f in (("book_middle", _middle(spark, sf_dir)), ("middle_json", _v4(spark, sf_dir)))]
-    return parts[0].unionByName(parts[1]).distinct()
+    """The rows of the child tables of the innermost levels; a node's path is made of the ordinals of its parents."""
+    o = F.col("ordinals")
+    line = F.concat_ws("/", F.slice(o, 2, F.size(o) - 3).cast("array<string>"), F.concat(F.lit("l"), F.element_at(o, -2)), F.concat(F.lit("s"), F.element_at(o, -1)))
+    spans = level_rows(table(spark, sf_dir, "book_middle"), "book_middle", ["span"], fields="(?!)").select(F.lit("book_middle").alias("table_name"), "doc_key", o[0].alias("page_pos"), "branch", line.alias("node_path"))
+    # a string of inline content stands in a block or in an element of its lists
+    full = F.exists(F.map_entries("fields"), lambda e: F.col("tags")[e["key"]].eqNullSafe("str") & ~e["value"].rlike(_BLANK))
+    texts = level_rows(table(spark, sf_dir, "middle_json"), "middle_json", ["block", "content"], fields="content").where(full).select(
+        F.lit("middle_json").alias("table_name"), "doc_key", o[0].alias("page_pos"), F.lit("blocks").alias("branch"), F.concat_ws("/", F.slice(o, 2, F.size(o) - 1).cast("array<string>")).alias("node_path"))
+    both = spans.unionByName(texts)
+    return both.select("table_name", F.col("doc_key").cast("bigint").alias("file_id"), "page_pos", "branch", "node_path")
 
 
 def p5_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All elements of all array levels of both kinds of file with their parents."""
     out = None
     for name in FILES:
-        got = flatten(spread_table(spark, sf_dir, name), "file_id", "raw").select(
+        got = flatten(table(spark, sf_dir, name), "file_id", "raw", order="produced_at").select(
             F.lit(name).alias("table_name"), "doc_key", "level_path", "node_key", "parent_key", "ordinal", F.to_json("fields").alias("fields"))
         out = got if out is None else out.unionByName(got)
     return out
@@ -91,24 +63,29 @@ def levels(name: str, names: dict[str, dict[str, str]]) -> tuple[dict[str, str],
     return {"file": r"\$", "page": page, "block": block, "content": content}, {}
 
 
-def level_table(df: DataFrame, name: str, table: str) -> DataFrame:
-    """A typed child table of one kind of file with the path of each row's level and, below a page, its branch; `rest`
-    are the levels that are in no other table (boxes, unknown lists)."""
-    paths, branches = levels(name, _new_names(df, name))
-    path = F.col("level_path")
-    # level paths that hold line feeds are no declared ones, so `$` before one doesn't matter
-    at = {t: path.rlike(f"^{p}$") for t, p in paths.items()}
-    want = ~reduce(lambda a, b: a | b, at.values()) if table == "rest" else at[table]
+def level_rows(df: DataFrame, name: str, tables: list[str], fields: str | None = None) -> DataFrame:
+    """The elements of some child tables of one kind of file, with their branch below a page; `rest` are the levels that are
+    in no other table (boxes, unknown lists). `fields`: of what declared name, under all names that files use, scalars are kept."""
+    names = _new_names(df, name)
+    paths, branches = levels(name, names)
+    want = "(?s:(?!(?:" + "|".join(paths.values()) + r")\Z).*)" if tables == ["rest"] else "|".join(paths[t] for t in tables)
+    if fields == "content":
+        # inline content nests as lists, objects and strings
+        fields = rf"|{_any([fields], names.get('pages[].blocks[]', {}))}(?:\.content)*"
     branch = F.lit(None).cast("string")
     for b, p in branches.items():
-        branch = F.when(path.rlike(f"^{p}"), F.lit(b)).otherwise(branch)
-    rows = flatten(df, "file_id", "raw", collapse=False).where(want).dropDuplicates(["node_key"])
-    return typed(rows.withColumn("branch", branch), f"{name} {table}", "level_path", "branch")
+        branch = F.when(F.col("level_path").rlike(f"^{p}"), F.lit(b)).otherwise(branch)
+    return flatten(df, "file_id", "raw", fields=fields, levels=want, order="produced_at" if "produced_at" in df.columns else None).withColumn("branch", branch)
 
 
-def _level_query(name: str, table: str):
+def level_table(df: DataFrame, name: str, level: str) -> DataFrame:
+    """A typed child table of one kind of file with the path of each row's level and, below a page, its branch."""
+    return typed(level_rows(df, name, [level]), f"{name} {level}", "level_path", "branch")
+
+
+def _level_query(name: str, level: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return level_table(spread_table(spark, sf_dir, name).select("file_id", "raw"), name, table)
+        return level_table(table(spark, sf_dir, name), name, level)
 
     return run
 

@@ -29,14 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """A table for work that is heavy per row: one that is read in fewer parts than there are cores, as a small file is, is
     dealt out to all of them; a large one, which has parts enough, isn't moved."""
-    df = table(spark, sf_dir, name)
-    n = spark.sparkContext.defaultParallelism
+    n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(table(spark, sf_dir, name))
+
+
 def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     """Rows of a result whose size doesn't grow with the data; raises beyond `most` instead of dropping any."""
     rows = df.limit(most + 1).collect()

@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators.drift import Shape, canonical_blocks, canonical_table, drift, fused_schema, shapes
+from quire.operators.drift import Shape, canonical_blocks, canonical_table, deep, deep_text, drift, fused_schema, shapes
 from quire.operators.nested import child_table, flatten, merged_schema
 from quire.operators.references import Entity, ForeignKey, guid_key, orphan_cascade, orphan_report
 
@@ -126,6 +126,43 @@ class TestDrift:
         assert got == {".".join(["a[]"] * 5) + "[]": ["x__int", "x__str"]}
 
 
+    def test_files_nested_too_deep_for_recursion(self, spark):
+        far = '{"name": "x", "n": 1, "odd": ' + "[" * 20_000 + "7" + "]" * 20_000 + ', "pages": [{"blocks": []}]}'
+        df = spark.createDataFrame([(1, far), (2, far[:-1]), (3, "[" * 20_000)], "file_id bigint, raw string")
+        got, _ = drift(df, "file_id", "raw", SHAPE)
+        assert rows(got) == [(1, "odd", "added")]
+        t = canonical_table(df, SHAPE, {}, "pages").where("part = 'file'")
+        assert [r["extra"].count("[") for r in t.collect()] == [20_000]
+        # the paths of levels are as long as the levels are deep, so flattening is tested on fewer
+        some = '{"odd": ' + "[" * 1_500 + "7" + "]" * 1_500 + "}"
+        assert flatten(spark.createDataFrame([(1, some)], "file_id bigint, raw string"), "file_id", "raw").count() == 1_501
+
+    @pytest.mark.parametrize("v", [{"a": [1, 2.5, {"b": None}], "\ud800": "x\"y"}, [], {}, [[[]], {"a": {}}], True, "text"])
+    def test_deep_text_and_back(self, v):
+        assert deep_text(v) == json.dumps(v, sort_keys=True) and deep(deep_text(v)) == v
+
+    @pytest.mark.parametrize("raw", ["", "[1,]", "{,}", '{"a" 1}', '{"a": 1,}', "[1 2]", "tru", "[1]]", '["\n"]', "01", "{1: 2}", '{"a": }'])
+    def test_deep_refuses_what_is_no_json(self, raw):
+        assert deep(raw) is None
+        with pytest.raises(ValueError):
+            json.loads(raw)
+
+    def test_more_signatures_than_names(self, spark):
+        # every object has names of its own: nothing but the declared fields is held on the driver
+        data = [(i, doc([block(**{f"id_{i}_{j}": 0.5 for j in range(20)})])) for i in range(300)] + [(1000, doc([{"kind": "a", "bbox": [1], "index": 0}]))] * 3
+        got, aliases = drift(spark.createDataFrame(data, "id int, raw string"), "id", "raw", SHAPE)
+        assert got.where("change_kind = 'added'").count() == 6000 and aliases["pages[].blocks[]"] == {"kind": "type"}
+        assert got.where("change_kind <> 'added'").count() == 1
+
+
+class TestCopies:
+    def test_earliest_readable_copy_counts(self, spark):
+        data = [("d", '{"v": 3}', 3), ("d", '{"v": ', 1), ("d", '{"v": 2}', 2), ("d", '{"v": 2}', 5), ("e", "[]", 1), (None, "{}", 1), ("f", None, 1)]
+        df = spark.createDataFrame(data, "k string, raw string, at int")
+        got = flatten(df, "k", "raw", order="at").select("doc_key", F.col("fields")["v"].alias("v"))
+        assert rows(got) == [("d", "2")]
+
+
 class TestNested:
     DOC = {"t": 1, "a": [{"x": 1, "node_key": "q", "b": ["p", "", {"y": None}]}, {"x": 2.5, "o": {"z": True}}, [7]]}
 
@@ -134,6 +171,8 @@ class TestNested:
         got = sorted((tuple(r) for r in flat.select("level_path", "node_key", "parent_key", "ordinal").collect()), key=str)
         assert got == sorted([("$", "d", None, 0), ("$.a[]", "d/a:0", "d", 0), ("$.a[]", "d/a:1", "d", 1), ("$.a[]", "d/a:2", "d", 2), ("$.a[][]", "d/a:2/:0", "d/a:2", 0),
                               ("$.a[].b[]", "d/a:0/b:0", "d/a:0", 0), ("$.a[].b[]", "d/a:0/b:1", "d/a:0", 1), ("$.a[].b[]", "d/a:0/b:2", "d/a:0", 2)], key=str)
+        assert {r["node_key"]: r["ordinals"] for r in flat.collect()}["d/a:0/b:2"] == [0, 2]
+        assert flatten(spark.createDataFrame([("d", json.dumps(self.DOC))], "k string, raw string"), "k", "raw", levels=r"\$\.a\[\]").count() == 3
         keys = {r[1] for r in got}
         assert all(r[2] is None or r[2] in keys for r in got)
 
