@@ -32,6 +32,9 @@ def parser() -> argparse.ArgumentParser:
     c = command("search")
     c.add_argument("query"), c.add_argument("--bucket"), c.add_argument("--tags"), c.add_argument("--limit", type=int, default=10)
     c.add_argument("--fulltext-only", action="store_true"), c.add_argument("--vector-only", action="store_true")
+    c.add_argument("--category")
+    c = command("find-book", "find-books")
+    c.add_argument("query"), c.add_argument("--bucket"), c.add_argument("--tags"), c.add_argument("--limit", type=int, default=10)
     c = command("list", "list-books")
     c.add_argument("--bucket"), c.add_argument("--tags"), c.add_argument("--limit", type=int, default=50)
     command("buckets"), command("tags").add_argument("--bucket")
@@ -45,6 +48,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("folder", nargs="?"), c.add_argument("--guid", action="append", default=[]), c.add_argument("--yes", action="store_true")
     command("emb").add_argument("--all", action="store_true")
     command("clean-chat").add_argument("input")
+    command("vacuum")
     command("reset").add_argument("--yes", action="store_true")
     return p
 
@@ -61,8 +65,11 @@ def run(spark: SparkSession, args: list[str]) -> tuple[int, object]:
     if name in ("onenote", "import-onenote"):
         return 0, {"notes": s.import_notes(a.folder, a.bucket, a.tags, a.auto_tags)}
     if name == "search":
-        r = s.search(a.query, bucket=a.bucket, tags=a.tags, limit=a.limit, fulltext_only=a.fulltext_only, vector_only=a.vector_only)
+        r = s.search(a.query, bucket=a.bucket, tags=a.tags, limit=a.limit, fulltext_only=a.fulltext_only, vector_only=a.vector_only, category=a.category)
         return 0, {"results": rows(r.results), "search_meta": r.meta}
+    if name in ("find-book", "find-books"):
+        r = s.find_books(a.query, a.bucket, a.tags, a.limit)
+        return int("error" in r), {k: v if isinstance(v, str) else rows(v) for k, v in r.items()}
     if name in ("list", "list-books"):
         return 0, rows(s.list_books(a.bucket, a.tags, a.limit))
     if name == "buckets":
@@ -99,6 +106,8 @@ def run(spark: SparkSession, args: list[str]) -> tuple[int, object]:
         f = spark.read.text(a.input, wholetext=True).select(F.lit(1).alias("id"), F.col("value").alias("text"))
         c = clean(f, "id", "text")
         return 0, {"cleaned": c.first()["cleaned"], "summary": summaries(rounds(c, "id"), f, "id").first()["summary"]}
+    if name == "vacuum":
+        return 0, {"folders": s.vacuum()}
     if not a.yes:
         return 1, {"error": "reset needs --yes"}
     s.reset()

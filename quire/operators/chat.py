@@ -15,10 +15,13 @@ B = {"user": r"^#{1,3}\s+(?:[^\w\n]*\s)?(?:[\d:. T-]+\s)?[^\w\n]*User\b", "assis
 _A = {k: re.compile(v, re.I) for k, v in A.items()}
 _B = {k: re.compile(v, re.I) for k, v in B.items()}
 EMPTY = "（空对话）"
-# Openings with which assistants begin before they answer.
-OPENINGS = ("好的，我来", "好的，让", "好的，这", "好的,我来", "让我先", "让我来", "让我想想", "让我查一查", "让我搜索", "让我看看", "让我分析", "让我思考", "我先查", "我先看",
-            "我先想", "我先确认", "我先搜索", "根据您的", "根据你的", "关于这个问题", "首先，我", "首先，让", "抱歉，我", "抱歉，让", "抱歉，之前", "对不起，我", "你说得对", "你说得没错",
-            "这是个好的问题", "这是个很好的问题", "这是一个有趣的问题", "这是一个很好的问题", "这确实是", "没问题，我", "没问题，让", "当然可以，我", "很好的问题！", "很好的问题。")
+#: how an assistant begins before it answers: a nod and what comes next, a step it announces, or a word on the question
+OPENING = re.compile(
+    r"(?:好的|没问题|当然可以|抱歉|对不起|首先)[，,]\s*(?:我|让|这|之前)"
+    r"|(?:让我|我先|我来)(?!们)"
+    r"|(?:根据|关于)[您你我这].{0,8}?(?:查询|问题|要求|需求)"
+    r"|你(?:说得|的理解)"
+    r"|这确实|(?:这是.{0,6})?很?好的?(?:问题|观察|观点|想法)|这是.{0,8}问题")
 # Fixed values, in order: summaries, tool calls, quoted results, fetched pages
 DROPPED = (
     r"(?m)^#+\s*(?:对话)?(?:摘要|总结|概述)[：:].*(?:\n(?!\s*#).*)*",
@@ -63,7 +66,7 @@ def clean_lines(text: str) -> str:
             if not bare:
                 continue
             opening = False
-            if bare.startswith(OPENINGS):
+            if OPENING.match(bare):
                 continue
         opening = role == "assistant" or (opening and not role)
         blank = 0 if bare else blank + 1

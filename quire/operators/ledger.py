@@ -24,8 +24,9 @@ def mismatches(books: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def duplicates(rows: DataFrame, key: str, label: str) -> DataFrame:
-    """Keys that several records have, with their labels."""
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct(label).alias("n"), F.array_join(F.array_sort(F.collect_set(label)), ",").alias("labels")).where("n > 1")
+    """Keys that several records have, with their number and the first and last of their labels."""
+    one = rows.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(key, label).distinct()
+    return one.groupBy(key).agg(F.count("*").alias("n"), F.concat_ws(",", F.min(label), F.max(label)).alias("labels")).where("n > 1")
 
 
 def untagged(books: DataFrame) -> DataFrame:
@@ -61,8 +62,10 @@ def deletion(tables: dict[str, DataFrame], guids: DataFrame) -> dict[str, DataFr
     books = tables["book"]
     chunks = tables["chunk"]
     lost = chunks.join(gone, F.lower(chunks["guid"]) == gone["guid"], "left_semi").select("chunk_id")
-    out = {n: tables[n].join(lost, "chunk_id", "left_anti") for n in ("fts", "vec") if n in tables}
+    out = {n: tables[n].join(lost, "chunk_id", "left_anti") for n in ("fts", "posting", "vec") if n in tables}
     out["chunk"] = chunks.join(gone, F.lower(chunks["guid"]) == gone["guid"], "left_anti")
+    if "card" in tables:
+        out["card"] = tables["card"].join(gone, F.lower(tables["card"]["guid"]) == gone["guid"], "left_anti")
     if "footnote" in tables:
         out["footnote"] = tables["footnote"].join(gone, F.lower(tables["footnote"]["book_guid"]) == gone["guid"], "left_anti")
     out["book"] = books.join(gone, F.lower(books["guid"]) == gone["guid"], "left_anti")
@@ -107,10 +110,10 @@ def alive(expires: Column, now: Column | None = None) -> Column:
     return expires.isNull() | (expires > (now if now is not None else F.current_timestamp()))
 
 
-def cache_misses(texts: DataFrame, cache: DataFrame, text: str, model: str) -> DataFrame:
-    """Distinct hashes of texts that have no live vector of the model."""
+def cache_misses(texts: DataFrame, cache: DataFrame, text_hash: Column, model: str) -> DataFrame:
+    """Distinct hashes of texts that have no live vector of the model; texts stay where they are."""
     have = cache.where((F.col("model") == model) & alive(F.col("expires_at"))).select("text_hash")
-    return texts.where(F.col(text).isNotNull()).select(F.md5(text).alias("text_hash")).distinct().join(have, "text_hash", "left_anti")
+    return texts.select(text_hash.alias("text_hash")).where("text_hash is not null").distinct().join(have, "text_hash", "left_anti")
 
 
 def cache_stats(cache: DataFrame, now: Column) -> DataFrame:

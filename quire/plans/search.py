@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.tags import any_tag, for_query
+from quire.functions.text import snippet
 from quire.functions.tokenizer import raw_terms, salvage_terms, split_terms
-from quire.operators.fulltext import rank, substring_hits
+from quire.operators.fulltext import rank, rank_postings, substring_hits
 from quire.operators.vectors import nearest
 
 # Fixed values of the ranking.
@@ -19,8 +20,9 @@ BONUS, BONUS_HITS = 0.05, 4
 SALVAGE_SCORE = 0.05
 OVERFETCH, OVERFETCH_WHOLE = 3, 2
 RERANK_PER_BOOK, RERANK_CHARS = 6, 800
-#: which tables a category searches: (whole documents?, vectors?)
-CATEGORIES = {"book": (False, True), "chat": (True, True), "onenote": (True, False)}
+#: categories of whole documents: (table, has vectors)
+WHOLE = {"chat": ("chat", True), "onenote": ("note", False)}
+SNIPPET_CHARS = 200
 DEFAULT_MAX_PER_BOOK = 3
 
 
@@ -48,12 +50,41 @@ def roll_up(hits: DataFrame, group: str = "guid", score: str = "score") -> DataF
         group, F.round(F.col("_best") + F.least(BONUS * (F.col("book_hit_count") - 1), F.lit(BONUS * BONUS_HITS)), 4).alias("book_score"), "book_hit_count")
 
 
-def per_book(hits: DataFrame, most: int, limit: int, group: str = "guid", key: str = "chunk_id") -> DataFrame:
-    """At most `most` hits of each book, books by their score, `limit` in all."""
-    order = F.coalesce(F.col("score_rerank"), F.col("score")) if "score_rerank" in hits.columns else F.col("score")
+def per_book(hits: DataFrame, most: int, limit: int | None, group: str = "guid", key: str = "chunk_id") -> DataFrame:
+    """At most `most` hits of each book, the best first, `limit` in all. Where hits have been reranked (score_rerank), theirs is
+    the order, they alone are shown, and a book's score starts at its best of them."""
+    order = F.col("score_rerank") if "score_rerank" in hits.columns else F.col("score")
     w = Window.partitionBy(group).orderBy(order.desc(), key)
-    kept = hits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
-    return kept.join(roll_up(hits, group), group).orderBy(order.desc(), key).limit(limit)
+    kept = hits.where(order.isNotNull()).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
+    out = kept.join(roll_up(hits, group, "score_rerank" if "score_rerank" in hits.columns else "score"), group).orderBy(order.desc(), key)
+    return out if limit is None else out.limit(limit)
+
+
+def reranked(query: str, hits: DataFrame, model: Callable[[str, list[str]], list[float]], most: int | None = RERANK_PER_BOOK, group: str = "guid", key: str = "chunk_id",
+             text: str = "content", score: str = "score") -> DataFrame:
+    """The `most` best hits of each group (None: all hits) with a cross-encoder's score_rerank; the model sees no other hit."""
+    kept = hits
+    if most is not None:
+        w = Window.partitionBy(group).orderBy(F.col(score).desc(), key)
+        kept = hits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
+
+    @F.pandas_udf("double")
+    def of(s):
+        import pandas as pd
+
+        return pd.Series(model(query, list(s)), index=s.index)
+
+    return kept.withColumn("score_rerank", of(F.substring(text, 1, RERANK_CHARS)))
+
+
+def top(query: str, rows: DataFrame, model: Callable[[str, list[str]], list[float]], n: int, key: str, text: str) -> DataFrame:
+    """The n rows that fit the query best."""
+    return reranked(query, rows, model, None, key=key, text=text).orderBy(F.col("score_rerank").desc(), key).limit(n)
+
+
+def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """chunk_id, content of a few ids: the copy that is first by `first`."""
+    return texts.join(F.broadcast(ids), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.min_by("content", "first").alias("content"))
 
 
 @dataclass
@@ -86,71 +117,111 @@ class Engine:
         """Chunks of the books asked for; conditions hold before any top-k."""
         return self.t["chunk"].select("chunk_id", "guid").join(self._books(bucket, tags).select("guid").distinct(), "guid", "left_semi").select("chunk_id").distinct()
 
-    def search(self, query: str, bucket: str | None = None, tags: str | None = None, limit: int = 10, fulltext_only: bool = False, vector_only: bool = False) -> SearchResult:
+    def search(self, query: str, bucket: str | None = None, tags: str | None = None, limit: int = 10, fulltext_only: bool = False, vector_only: bool = False,
+               category: str | None = None) -> SearchResult:
+        """Books chunk by chunk, chats and notes as whole documents; `category` is one of them or all (None). One order for all:
+        the rerank's score where there is one, else the fused one."""
+        if category not in (None, "book", *WHOLE):
+            raise ValueError(f"category: book, {', '.join(WHOLE)} or none")
         wanted = for_query(tags if tags is not None else self.default_tags)
         kept, pruned = split_terms(query)
-        w_ft, w_vec = weights(query)
-        scope = self._scope(bucket, wanted)
         meta = {"mode": "hybrid", "fallback": None, "degraded": [], "salvaged": False, "retried_unpruned": False, "query_terms": {"kept": kept, "pruned": pruned}}
         if pruned and len(pruned) >= len(kept):
             meta["degraded"].append("most of the query's words were pruned")
         use_ft, use_vec = not vector_only, not fulltext_only
-        if fulltext_only and not vector_only:
-            meta["mode"] = "fulltext"
-        elif vector_only and not fulltext_only:
-            meta["mode"] = "vector"
-
-        def ft_route() -> DataFrame:
-            hits = rank(self.t["fts"], kept, limit * OVERFETCH, only=scope).persist()
-            if pruned and hits.isEmpty():
-                meta["retried_unpruned"] = True
-                hits = rank(self.t["fts"], raw_terms(query), limit * OVERFETCH, only=scope).persist()
-            return hits
-
-        def vec_route() -> DataFrame | None:
-            if self.embed is None:
-                meta["degraded"].append("vector: no embedder")
-                return None
-            try:
-                return nearest(self.t["vec"], self.embed(query), limit * OVERFETCH, dims=self.dims, only=scope).persist()
-            except Exception as e:  # a route that fails isn't the absence of data
-                meta["degraded"].append(f"vector: {e}")
-                return None
-
-        ft = ft_route() if use_ft else None
-        vec = vec_route() if use_vec else None
-        if use_ft != use_vec and (ft if use_ft else vec) is not None and (ft if use_ft else vec).isEmpty():
+        if use_ft != use_vec:
+            meta["mode"] = "fulltext" if use_ft else "vector"
+        vector: list = []
+
+        def embedded() -> list[float] | None:
+            """The query's vector, made once; without it the route is reported as degraded, once."""
+            if not vector:
+                try:
+                    vector.append(None if self.embed is None else self.embed(query))
+                    if self.embed is None:
+                        meta["degraded"].append("vector: no embedder")
+                except Exception as e:  # a route that fails isn't the absence of data
+                    meta["degraded"].append(f"vector: {e}")
+                    vector.append(None)
+            return vector[0]
+
+        def answer(ft: bool, vec: bool) -> DataFrame:
+            found = []
+            if category in (None, "book") and "chunk" in self.t:
+                found.append(self._books_found(query, kept, pruned, bucket, wanted, limit, ft, embedded if vec else None, meta))
+            for c, (name, has_vectors) in WHOLE.items():
+                if category in (None, c) and name in self.t:
+                    found.append(self._whole_found(query, c, self.t[name], kept, bucket, wanted, limit, ft, embedded if vec and has_vectors else None))
+            if not found:
+                raise ValueError(f"no table of category {category}")
+            every = found[0]
+            for f in found[1:]:
+                every = every.unionByName(f, allowMissingColumns=True)
+            ties = [c for c in ("chunk_id", "guid") if c in every.columns]
+            return every.orderBy(F.coalesce("score_rerank", "score").desc(), *ties).limit(limit).persist()
+
+        out = answer(use_ft, use_vec)
+        if use_ft != use_vec and out.isEmpty():
             meta["fallback"] = "vector" if use_ft else "fulltext"
-            ft, vec = (None, vec_route()) if use_ft else (ft_route(), None)
-        none_ft = self.spark.createDataFrame([], "chunk_id bigint, score double")
-        none_vec = self.spark.createDataFrame([], "chunk_id bigint, distance double")
-        fused = fuse(ft if ft is not None else none_ft, vec if vec is not None else none_vec, w_ft, w_vec)
-        if (use_ft or use_vec) and fused.isEmpty():
-            ids = substring_hits(self.t["chunk"].join(scope, "chunk_id", "left_semi"), salvage_terms(query), limit * OVERFETCH)
-            fused = ids.select("chunk_id", F.lit(SALVAGE_SCORE).alias("score"), F.lit(0.0).alias("score_ft"), F.lit(0.0).alias("score_vec"), F.lit("like").alias("source"))
-            meta["salvaged"] = not fused.isEmpty()
-        hits = F.broadcast(fused).join(self.t["chunk"], "chunk_id").dropDuplicates(["chunk_id"]).join(
-            self._books(bucket, wanted).dropDuplicates(["guid"]), "guid")
-        hits = self._reranked(query, hits, meta)
-        out = per_book(hits, self.max_per_book, limit)
+            out = answer(not use_ft, not use_vec)
         return SearchResult(out, meta)
 
-    def _reranked(self, query: str, hits: DataFrame, meta: dict) -> DataFrame:
-        """Scores of a cross-encoder for the best of each book; without one the fused score stays."""
+    def _rank(self, table: DataFrame, name: str, terms: list[str], k: int, only: DataFrame, **kw) -> DataFrame:
+        """By the stored postings where there are any, else by a scan of the index rows."""
+        if name in self.t:
+            return rank_postings(self.t[name], terms, k, only=only, **kw)
+        return rank(table, terms, k, only=only, **kw)
+
+    def _books_found(self, query, kept, pruned, bucket, wanted, limit, use_ft, embedded, meta) -> DataFrame:
+        scope = self._scope(bucket, wanted)
+        ft = self._rank(self.t["fts"], "posting", kept, limit * OVERFETCH, scope).persist() if use_ft else None
+        if use_ft and pruned and ft.isEmpty():
+            meta["retried_unpruned"] = True
+            ft = self._rank(self.t["fts"], "posting", raw_terms(query), limit * OVERFETCH, scope).persist()
+        v = embedded() if embedded else None
+        vec = nearest(self.t["vec"], v, limit * OVERFETCH, dims=self.dims, only=scope).persist() if v is not None else None
+        fused = fuse(ft if ft is not None else self.spark.createDataFrame([], "chunk_id bigint, score double"),
+                     vec if vec is not None else self.spark.createDataFrame([], "chunk_id bigint, distance double"), *weights(query))
+        if (use_ft or embedded) and fused.isEmpty():
+            texts = self.t.get("text", self.t["chunk"])
+            ids = substring_hits(texts.join(scope, "chunk_id", "left_semi"), salvage_terms(query), limit * OVERFETCH)
+            fused = ids.select("chunk_id", F.lit(SALVAGE_SCORE).alias("score"), F.lit(0.0).alias("score_ft"), F.lit(0.0).alias("score_vec"), F.lit("like").alias("source"))
+            meta["salvaged"] = not fused.isEmpty()
+        # texts are read last, of the hits alone: at most OVERFETCH times `limit` of either route
+        hits = F.broadcast(fused).join(self.t["chunk"], "chunk_id").dropDuplicates(["chunk_id"]).join(self._books(bucket, wanted).dropDuplicates(["guid"]), "guid")
+        if "text" in self.t:
+            hits = hits.join(texts_of(self.t["text"], fused.select("chunk_id")), "chunk_id", "left")
+        hits = hits.persist()
+        best = None
         if self.rerank is None:
             meta["degraded"].append("rerank: no model")
-            return hits.withColumn("score_rerank", F.lit(None).cast("double"))
-        w = Window.partitionBy("guid").orderBy(F.col("score").desc(), "chunk_id")
-        model, q = self.rerank, query
-
-        @F.pandas_udf("double")
-        def score(s):
-            import pandas as pd
-
-            return pd.Series(model(q, list(s)), index=s.index)
-
-        r = hits.withColumn("_rn", F.row_number().over(w))
-        return r.withColumn("score_rerank", F.when(F.col("_rn") <= RERANK_PER_BOOK, score(F.substring("content", 1, RERANK_CHARS)))).drop("_rn")
+        else:
+            try:
+                best = reranked(query, hits, self.rerank).select("chunk_id", "score_rerank").persist()
+                if best.count() < 2:
+                    best = None
+            except Exception as e:
+                meta["degraded"].append(f"rerank: {str(e).splitlines()[-1]}")
+                best = None
+        if best is None:
+            out = per_book(hits, self.max_per_book, None).withColumn("score_rerank", F.lit(None).cast("double"))
+        else:
+            out = per_book(hits.join(best, "chunk_id", "left"), self.max_per_book, None)
+        return out.withColumn("category", F.lit("book"))
+
+    def _whole_found(self, query, category, docs, kept, bucket, wanted, limit, use_ft, embedded) -> DataFrame:
+        """Whole documents: guid and payload of the best of both routes."""
+        scope = docs if bucket is None else docs.where(F.col("bucket") == bucket)
+        scope = scope.where(any_tag(F.col("tags"), wanted)) if wanted else scope
+        ids = scope.select("guid")
+        none = self.spark.createDataFrame([], "guid string, score double, distance double")
+        ft = rank(docs, kept, limit * OVERFETCH_WHOLE, key="guid", ts="created_at", only=ids) if use_ft else none.select("guid", "score")
+        v = embedded() if embedded else None
+        vec = nearest(docs, v, limit * OVERFETCH_WHOLE, key="guid", ts="created_at", dims=self.dims, only=ids) if v is not None else none.select("guid", "distance")
+        fused = fuse(ft, vec, *weights(query), key="guid")
+        shown = [c for c in docs.columns if c in ("bucket", "tags", "title", "source_path")]
+        body = docs.select("guid", *shown, snippet(F.col("content"), SNIPPET_CHARS).alias("snippet"))
+        return F.broadcast(fused).join(body, "guid").dropDuplicates(["guid"]).withColumn("category", F.lit(category)).withColumn("score_rerank", F.lit(None).cast("double"))
 
     def find_books(self, query_vector: list[float], cards: DataFrame, limit: int = 10) -> tuple[DataFrame, DataFrame]:
         """(books by distance, signal): cards has guid and embedding; the signal needs every book's distance."""

@@ -1,21 +1,28 @@
 """A document store in a folder of Parquet tables, and what its users ask of it.
 
-Tables: book, chunk, fts (as the import writes them), vec, footnote, cache, chat, note. A change writes a new version of
-a table beside the old one and then moves a pointer file, so readers never see half a table."""
+Tables: book, chunk, fts (as the import writes them), posting (the stored inverted index of fts), vec, footnote, cache, chat,
+note. A table is a list of folders; each state of it is a numbered manifest, and the greatest number is the current one. A
+change writes new folders first and then one manifest, by a rename that fails if that number is taken, so readers see a
+state before or after it and never half of one, and of two writers the later tries again upon the other's state. Adding
+rows writes these rows alone. Old folders stay for readers of old states until `vacuum`."""
 
 from __future__ import annotations
 
 import json
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import tags as G
+from quire.functions.tokenizer import index_text
 from quire.functions.text import front_matter, path_key, snippet, without_front_matter
 from quire.operators.chat import clean, rounds, summaries
-from quire.operators.chunking import Chunker
+from quire.operators.chunking import Chunker, book_card
+from quire.operators.embedding import embed_texts
 from quire.operators.errata import merge_stats, note
+from quire.operators.fulltext import postings, write_postings
 from quire.operators.ledger import alive, deletion, match_manifest, missing_guids, tag_audit, tag_cloud, with_counts
 from quire.plans.search import Engine, SearchResult
 from quire.sources.files import binary_files, chats, importable, notes, utf8
@@ -26,12 +33,19 @@ SCHEMAS = {
     "chunk": "guid string, chunk_seq int, heading_path string, content string, char_start bigint, char_len int, visible_start bigint, visible_len int, byte_start bigint, byte_len int, "
              "grapheme_len int, has_pua boolean, chunk_id bigint",
     "fts": "chunk_id bigint, content_tokenized string, indexed_at timestamp",
+    "posting": "term string, chunk_id bigint, tf bigint, len int, part int",
     "vec": "chunk_id bigint, embedding array<float>, indexed_at timestamp",
+    "card": "guid string, card string, embedding array<float>, created_at timestamp",
     "footnote": "book_guid string, page_idx int, box string, text string, judge_version string",
     "cache": "text_hash string, model string, embedding array<float>, expires_at timestamp",
-    "chat": "guid string, source_path string, content string, summary string, bucket string, tags string, created_at timestamp",
-    "note": "guid string, source_path string, content string, title string, bucket string, tags string, created_at timestamp",
+    "chat": "guid string, source_path string, content string, summary string, bucket string, tags string, created_at timestamp, content_tokenized string, embedding array<float>",
+    "note": "guid string, source_path string, content string, title string, bucket string, tags string, created_at timestamp, content_tokenized string",
 }
+#: folders of a table beyond which adding rows makes them one
+MOST_PARTS = 64
+ATTEMPTS = 20
+#: missing books that an answer names one by one; it counts them all
+NAMED = 1000
 
 
 class Store:
@@ -43,29 +57,89 @@ class Store:
 
     # tables
 
-    def _current(self, name: str) -> str | None:
-        p = self._p(f"{self.path}/{name}/CURRENT")
-        if not self._fs.exists(p):
-            return None
-        return f"{self.path}/{name}/" + self.spark.read.text(f"{self.path}/{name}/CURRENT").first()[0]
+    def _state(self, name: str) -> tuple[int, list[str]]:
+        """(number, folders) of the current manifest; 0 before the first."""
+        at = self._p(f"{self.path}/{name}/state")
+        numbers = [int(f.getPath().getName()) for f in self._fs.listStatus(at) if f.getPath().getName().isdigit()] if self._fs.exists(at) else []
+        if not numbers:
+            return 0, []
+        n = max(numbers)
+        file = self._fs.open(self._p(f"{self.path}/{name}/state/{n}"))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+        finally:
+            file.close()
+        return n, json.loads(text)
 
     def table(self, name: str) -> DataFrame:
-        at = self._current(name)
-        return self.spark.read.parquet(at) if at else self.spark.createDataFrame([], SCHEMAS[name])
-
-    def replace(self, name: str, rows: DataFrame) -> None:
-        """A new version, then the pointer to it."""
-        version = uuid.uuid4().hex
-        rows.write.parquet(f"{self.path}/{name}/{version}")
-        out = self._fs.create(self._p(f"{self.path}/{name}/CURRENT.new"), True)
-        out.write(bytearray(version.encode()))
+        parts = self._state(name)[1]
+        if not parts:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        read = self.spark.read.schema(SCHEMAS[name])
+        if name != "posting":
+            return read.parquet(*[f"{self.path}/{name}/{p}" for p in parts])
+        out = None
+        for p in parts:
+            one = read.option("basePath", f"{self.path}/{name}/{p}").parquet(f"{self.path}/{name}/{p}")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def _commit(self, name: str, before: int, parts: list[str]) -> bool:
+        """False if another writer has made this state meanwhile."""
+        new = self._p(f"{self.path}/{name}/state/.{uuid.uuid4().hex}")
+        out = self._fs.create(new, True)
+        out.write(bytearray(json.dumps(parts).encode()))
         out.close()
-        self._fs.delete(self._p(f"{self.path}/{name}/CURRENT"), False)
-        self._fs.rename(self._p(f"{self.path}/{name}/CURRENT.new"), self._p(f"{self.path}/{name}/CURRENT"))
+        to = self._p(f"{self.path}/{name}/state/{before + 1}")
+        if not self._fs.exists(to) and self._fs.rename(new, to):
+            return True
+        self._fs.delete(new, False)
+        return False
+
+    def _write(self, name: str, rows: DataFrame) -> str:
+        part = uuid.uuid4().hex
+        if name == "posting":
+            write_postings(rows, f"{self.path}/{name}/{part}")
+        else:
+            rows.write.parquet(f"{self.path}/{name}/{part}")
+        return part
+
+    def change(self, name: str, f) -> None:
+        """The table becomes f(table), upon whatever state it has by then."""
+        for _ in range(ATTEMPTS):
+            n, _ = self._state(name)
+            if self._commit(name, n, [self._write(name, f(self.table(name)))]):
+                return
+        raise RuntimeError(f"{name}: changed by others {ATTEMPTS} times over")
 
     def append(self, name: str, rows: DataFrame) -> None:
-        cols = self.table(name).columns
-        self.replace(name, self.table(name).unionByName(rows.select(*cols), allowMissingColumns=True))
+        """Writes these rows alone; many small folders become one now and then."""
+        kinds = {f.name: f.dataType for f in self.spark.createDataFrame([], SCHEMAS[name]).schema}
+        part = self._write(name, rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]))
+        for _ in range(ATTEMPTS):
+            n, parts = self._state(name)
+            if self._commit(name, n, [*parts, part]):
+                if len(parts) >= MOST_PARTS:
+                    self.change(name, lambda t: t)
+                return
+        raise RuntimeError(f"{name}: changed by others {ATTEMPTS} times over")
+
+    def vacuum(self) -> int:
+        """Deletes folders and manifests of old states, when nobody reads them any more; how many folders."""
+        gone = 0
+        for name in SCHEMAS:
+            at = self._p(f"{self.path}/{name}")
+            if not self._fs.exists(at):
+                continue
+            n, parts = self._state(name)
+            for f in self._fs.listStatus(at):
+                if f.getPath().getName() not in ("state", *parts):
+                    self._fs.delete(f.getPath(), True)
+                    gone += 1
+            for f in self._fs.listStatus(self._p(f"{self.path}/{name}/state")):
+                if f.getPath().getName() != str(n):
+                    self._fs.delete(f.getPath(), False)
+        return gone
 
     def reset(self) -> None:
         for name in SCHEMAS:
@@ -90,31 +164,36 @@ class Store:
         got = read("book").withColumn("bucket", F.lit(bucket)).withColumn("tags", own).withColumn("created_at", F.current_timestamp())
         n = got.count()
         self.append("chunk", read("chunk"))
-        self.append("fts", read("fts").withColumn("indexed_at", F.current_timestamp()))
+        fts = read("fts").withColumn("indexed_at", F.current_timestamp())
+        self.append("fts", fts)
+        self.append("posting", postings(fts))
         if self.embed is not None:
             self.append("vec", self._vectors(read("chunk")))
+            cards = got.select("guid", book_card(F.coalesce("title", F.lit("")), F.col("content")).alias("card"), "created_at")
+            self.append("card", self._embedded(cards, "guid", "card"))
         self.append("book", got)
         self._fs.delete(self._p(stage), True)
         return n
 
     def _vectors(self, chunks: DataFrame, model: str = "default", days: int | None = None) -> DataFrame:
-        """Cached vectors by the text's hash; only the rest is embedded, in batches."""
+        """Cached vectors by the text's hash; only the rest is embedded, in batches and with the model's limit in mind."""
         embed = self.embed
-
-        @F.pandas_udf("array<float>")
-        def vectors(s):
-            import pandas as pd
-
-            return pd.Series([[float(x) for x in embed(t)] for t in s], index=s.index)
-
-        c = chunks.select("chunk_id", "content", F.md5("content").alias("text_hash"))
-        have = self.table("cache").where((F.col("model") == model) & alive(F.col("expires_at"))).select("text_hash", "embedding")
-        rest = c.select("text_hash", "content").dropDuplicates(["text_hash"]).join(have, "text_hash", "left_anti").select("text_hash", vectors("content").alias("embedding"))
+        c = chunks.select("chunk_id", F.md5("content").alias("text_hash"))
+        alive_ = self.table("cache").where((F.col("model") == model) & alive(F.col("expires_at"))).select("text_hash", "embedding")
+        rest = chunks.select(F.md5("content").alias("text_hash"), "content").dropDuplicates(["text_hash"]).join(alive_.select("text_hash"), "text_hash", "left_anti")
         until = F.lit(None).cast("timestamp") if days is None else F.current_timestamp() + F.make_dt_interval(F.lit(days))
-        self.append("cache", rest.withColumn("model", F.lit(model)).withColumn("expires_at", until))
-        every = self.table("cache").where((F.col("model") == model) & alive(F.col("expires_at"))).select("text_hash", "embedding").dropDuplicates(["text_hash"])
+        made = embed_texts(rest, "text_hash", "content", lambda texts: [embed(t) for t in texts])
+        self.append("cache", made.withColumn("model", F.lit(model)).withColumn("expires_at", until))
+        every = self.table("cache").where((F.col("model") == model) & alive(F.col("expires_at"))).groupBy("text_hash").agg(F.min("embedding").alias("embedding"))
         return c.join(every, "text_hash").select("chunk_id", "embedding", F.current_timestamp().alias("indexed_at"))
 
+    def _embedded(self, rows: DataFrame, key: str, text: str) -> DataFrame:
+        """The rows with the vector of their text, or null where there is no embedder."""
+        if self.embed is None:
+            return rows.withColumn("embedding", F.lit(None).cast("array<float>"))
+        embed = self.embed
+        return rows.join(embed_texts(rows, key, text, lambda texts: [embed(t) for t in texts]), key, "left")
+
     def import_chats(self, folder: str, bucket: str = "chat", tags: str = "", cleaned: bool = True) -> int:
         f = chats(binary_files(self.spark, folder)).select(F.md5("path").alias("guid"), F.col("path").alias("source_path"), utf8(F.col("content")).alias("content"))
         f = f.join(self.table("chat").select("guid"), "guid", "left_anti")
@@ -123,7 +202,7 @@ class Store:
         body = f.drop("content").join(c.select("guid", F.col("cleaned").alias("content")), "guid") if cleaned else f
         rows = body.join(s, "guid").withColumn("bucket", F.lit(bucket)).withColumn("tags", F.lit(G.for_write(tags))).withColumn("created_at", F.current_timestamp())
         n = rows.count()
-        self.append("chat", rows)
+        self.append("chat", self._embedded(rows.withColumn("content_tokenized", index_text(F.col("content"))), "guid", "content"))
         return n
 
     def import_notes(self, folder: str, bucket: str = "note", tags: str = "", directory_tag: bool = True) -> int:
@@ -134,19 +213,36 @@ class Store:
         rows = f.select("guid", "source_path", without_front_matter(F.col("raw")).alias("content"), title.alias("title"), F.lit(bucket).alias("bucket"),
                         F.regexp_replace(own, ",+$", "").alias("tags"), F.current_timestamp().alias("created_at"))
         n = rows.count()
-        self.append("note", rows)
+        self.append("note", rows.withColumn("content_tokenized", index_text(F.col("content"))))
         return n
 
     # questions
 
     def engine(self) -> Engine:
-        t = {n: self.table(n) for n in ("book", "chunk", "fts", "vec")}
+        t = {n: self.table(n) for n in ("book", "chunk", "fts", "posting", "vec", "chat", "note")}
         t["book"] = t["book"].drop("content")
+        # ids first, texts of the hits last
+        t["text"] = t["chunk"].select("chunk_id", F.lit(0).alias("first"), "content")
+        t["chunk"] = t["chunk"].drop("content")
         return Engine(self.spark, t, self.embed, self.rerank, dims=self.dims)
 
     def search(self, query: str, **kw) -> SearchResult:
         return self.engine().search(query, **kw)
 
+    def find_books(self, query: str, bucket: str | None = None, tags: str | None = None, limit: int = 10) -> dict:
+        """Books whose title and table of contents are nearest to the query, and a signal of how near; never a verdict whether
+        the store has what is asked for."""
+        if self.embed is None:
+            return {"error": "no embedder"}
+        b = self.table("book").drop("content")
+        wanted = G.for_query(tags)
+        b = b if bucket is None else b.where(F.col("bucket") == bucket)
+        b = b.where(G.any_tag(F.col("tags"), wanted)) if wanted else b
+        cards = self.table("card").where("embedding is not null").join(b.select("guid"), "guid", "left_semi")
+        near, signal = self.engine().find_books(self.embed(query), cards, limit)
+        shown = near.join(with_counts(b, self.table("chunk")).select("guid", "title", "bucket", "tags", F.col("actual").alias("chunks")), "guid")
+        return {"query": query, "books": shown.select("guid", "title", "bucket", "tags", "chunks", F.round(1 - F.col("distance"), 4).alias("score")).orderBy(F.col("score").desc(), "guid"), "signal": signal}
+
     def sql(self, query: str, args: dict | list | None = None) -> DataFrame:
         """Any query over the store's tables, with its parameters apart from its text."""
         for name in SCHEMAS:
@@ -194,29 +290,30 @@ class Store:
     # changes
 
     def remove(self, guids: DataFrame, dry_run: bool = False) -> dict:
-        """Books and all that belongs to them; the missing ones are named."""
-        books = self.table("book")
-        lacking = [r[0] for r in missing_guids(guids, books).limit(1000).collect()]
-        t = {n: self.table(n) for n in ("book", "chunk", "fts", "vec", "footnote")}
-        before = {n: d.count() for n, d in t.items()}
+        """Books and all that belongs to them; the missing ones are named, all of them as a table."""
+        lacking = missing_guids(guids, self.table("book"))
+        names = ("book", "chunk", "fts", "posting", "vec", "card", "footnote")
+        t = {n: self.table(n) for n in names}
         left = deletion(t, guids)
-        after = {n: d.count() for n, d in left.items()}
+        removed = {n: t[n].count() - left[n].count() for n in names}
+        out = {"missing": [r[0] for r in lacking.orderBy(lacking.columns[0]).limit(NAMED).collect()], "missing_count": lacking.count(), "removed": removed}
         if not dry_run:
-            for n in ("fts", "vec", "chunk", "footnote", "book"):
-                self.replace(n, left[n])
-        return {"missing": lacking, "removed": {n: before[n] - after[n] for n in before}}
+            # each table is what is left of its own state by then; books go last, as they tell what belongs to them
+            for n in ("fts", "posting", "vec", "chunk", "card", "footnote", "book"):
+                if removed[n]:
+                    self.change(n, lambda now, n=n: deletion(t | {n: now}, guids)[n])
+        return out
 
     def under(self, folder: str) -> DataFrame:
         return self.table("book").where(path_key(F.col("source_path")).startswith(path_key(F.lit(folder)))).select("guid")
 
     def tag(self, guid: str, add: str = "", remove: str = "") -> list[str]:
         add_, remove_ = G.elements(G.for_write(add, reserved=G.reserved_words(self.spark) if add else frozenset())), G.elements(remove)
-        b = self.table("book")
         t = F.col("tags")
         t = G.add_col(t, add_) if add_ else t
         t = G.remove_col(t, remove_) if remove_ else t
         if add_ or remove_:
-            self.replace("book", b.withColumn("tags", F.when(F.lower("guid") == guid.lower(), t).otherwise(F.col("tags"))))
+            self.change("book", lambda now: now.withColumn("tags", F.when(F.lower("guid") == guid.lower(), t).otherwise(F.col("tags"))))
         r = self.table("book").where(F.lower("guid") == guid.lower()).select("tags").first()
         return G.elements(r[0]) if r else []
 
@@ -230,22 +327,31 @@ class Store:
         b = self.table("book").withColumn("content_md5", F.md5("content"))
         plan = match_manifest(m.select("row", "guid", "content_md5", "source_path", "title"), b).join(m.select("row", "errata", "glossary", "note", "source"), "row")
         if apply:
-            @F.udf("string")
-            def merged(old, changes):
-                out = json.loads(old or "{}")
-                for c in changes or []:
-                    out = merge_stats(out, c["errata"], c["source"] or "annotate:", c["note"], c["glossary"])
-                return json.dumps(out, ensure_ascii=False, sort_keys=True)
-
-            ch = plan.where("state = 'matched'").groupBy(F.col("matched_guid").alias("guid")).agg(F.array_sort(F.collect_list(F.struct("row", "source", "note"))).alias("_o"),
-                                                                                               F.collect_list(F.struct("errata", "source", "note", "glossary")).alias("_c"))
-            self.replace("book", self.table("book").join(ch.drop("_o"), "guid", "left").withColumn(
-                "errata_stats", F.when(F.col("_c").isNotNull(), merged("errata_stats", "_c")).otherwise(F.col("errata_stats"))).drop("_c"))
+            @F.pandas_udf("string")
+            def merged(old: pd.Series, changes: pd.Series) -> pd.Series:
+                def one(o, cs):
+                    got = json.loads(o or "{}")
+                    for c in cs:
+                        got = merge_stats(got, json.loads(c["errata"] or "null"), c["source"] or "annotate:", c["note"], json.loads(c["glossary"] or "null"))
+                    return json.dumps(got, ensure_ascii=False, sort_keys=True)
+
+                return pd.Series([one(o, c) for o, c in zip(old, changes)], index=old.index)
+
+            ch = plan.where("state = 'matched'").groupBy(F.col("matched_guid").alias("guid")).agg(
+                F.array_sort(F.collect_list(F.struct("row", F.to_json("errata").alias("errata"), "source", "note", F.to_json("glossary").alias("glossary")))).alias("_c"))
+
+            def annotated(now: DataFrame) -> DataFrame:
+                # only books that are annotated meet Python
+                new = now.select("guid", "errata_stats").join(ch, "guid").select("guid", merged("errata_stats", "_c").alias("_new"))
+                return now.join(new, "guid", "left").withColumn("errata_stats", F.coalesce("_new", "errata_stats")).drop("_new")
+
+            self.change("book", annotated)
         return plan.select("row", "matched_guid", "matched_by", "state")
 
     def clean_cache(self, everything: bool = False) -> int:
         c = self.table("cache")
         kept = c.limit(0) if everything else c.where(alive(F.col("expires_at")))
         n = c.count() - kept.count()
-        self.replace("cache", kept)
+        if n:
+            self.change("cache", lambda now: now.limit(0) if everything else now.where(alive(F.col("expires_at"))))
         return n

@@ -113,14 +113,14 @@ def manifest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector cache as the store's vectors of the first copies: expiring 90 days after they were made."""
     t = store(spark, sf_dir)
-    c = t["vec"].groupBy("chunk_id").agg(F.min("indexed_at").alias("at"), F.min_by("embedding", F.struct("indexed_at", "embedding")).alias("embedding")).join(t["chunk"].select("chunk_id", "content"), "chunk_id")
-    return c.where("content is not null").groupBy(F.md5("content").alias("text_hash")).agg(F.max("at").alias("at"), F.max_by("embedding", F.struct("at", "embedding")).alias("embedding")).select(
+    c = t["vec"].groupBy("chunk_id").agg(F.min("indexed_at").alias("at"), F.min_by("embedding", F.struct("indexed_at", "embedding")).alias("embedding")).join(t["chunk"].select("chunk_id", "text_hash"), "chunk_id")
+    return c.where("text_hash is not null").groupBy("text_hash").agg(F.max("at").alias("at"), F.max_by("embedding", F.struct("at", "embedding")).alias("embedding")).select(
         "text_hash", F.lit("m").alias("model"), "embedding", (F.col("at") + F.expr("interval 90 days")).alias("expires_at"))
 
 
 def embed_cache_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _cache(spark, sf_dir).withColumn("expires_at", F.lit(None).cast("timestamp"))
-    return cache_misses(store(spark, sf_dir)["chunk"], c, "content", "m")
+    return cache_misses(store(spark, sf_dir)["chunk"], c, F.col("text_hash"), "m")
 
 
 def cache_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +175,7 @@ SQL = {
       SELECT guid, expected_chunks, coalesce(n, 0) AS actual FROM b LEFT JOIN n USING (guid) WHERE coalesce(n, 0) <> expected_chunks""",
     "ledger_complete": _BC + """, n AS (SELECT guid, count(*) AS n FROM chunk GROUP BY 1)
       SELECT coalesce(status = 'done' AND coalesce(n, 0) = expected_chunks, false) AS complete, count(*) AS books FROM b LEFT JOIN n USING (guid) GROUP BY 1""",
-    "ledger_dupes": "SELECT source_path_hash, count(DISTINCT guid) AS n, string_agg(DISTINCT guid, ',' ORDER BY guid) AS labels FROM documents_book WHERE source_path_hash IS NOT NULL GROUP BY 1 HAVING count(DISTINCT guid) > 1",
+    "ledger_dupes": "SELECT source_path_hash, count(DISTINCT guid) AS n, concat_ws(',', min(guid), max(guid)) AS labels FROM documents_book WHERE source_path_hash IS NOT NULL GROUP BY 1 HAVING count(DISTINCT guid) > 1",
     "ledger_untagged": _B + " SELECT guid, title FROM b WHERE trim(coalesce(tags, '')) = ''",
     "ledger_reconcile": _B + f""", f AS (SELECT DISTINCT {_KEY} AS path FROM b WHERE guid IN (SELECT lower(book_guid) FROM book_middle) AND source_path IS NOT NULL),
       k AS (SELECT DISTINCT {_KEY} AS path FROM b WHERE bucket IS NOT NULL AND source_path IS NOT NULL)

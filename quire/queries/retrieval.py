@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.tags import any_tag
 from quire.functions.tokenizer import salvage_terms, split_terms
-from quire.operators.fulltext import rank, substring_hits
+from quire.operators.fulltext import postings, rank, rank_postings, substring_hits, write_postings
 from quire.operators.references import guid_key
 from quire.operators.vectors import cosine_distance, nearest, usable, weighted_mean
 from quire.plans.search import Engine, existence_signal, fuse, per_book, roll_up, weights
-from quire.session import table
+from quire.session import shared_dir, table
 
 QUERY = "the luminous monastery and the parchment"
 TAG = "field_notes"
@@ -25,11 +27,20 @@ def store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "guid is not null").groupBy("guid").agg(F.min("r").alias("r")).select(
         "guid", F.col("r.key_metadata").alias("title"), F.col("r.bucket_name").alias("bucket"), F.col("r.tags").alias("tags"), F.col("r.source_path").alias("source_path"),
         F.col("r.created_at").alias("book_created_at"), F.col("r.status").alias("status"), F.col("r.expected_chunks").alias("expected_chunks"))
-    c = table(spark, sf_dir, "documents_book_chunk")
-    chunk = c.where("chunk_id is not null").select("chunk_id", F.struct("created_at", "book_guid", "chunk_seq", "heading_path", "content", "has_pua").alias("r")).groupBy("chunk_id").agg(
-        F.min("r").alias("r")).select("chunk_id", guid_key(F.col("r.book_guid")).alias("guid"), F.col("r.chunk_seq").alias("chunk_seq"), F.col("r.heading_path").alias("heading_path"),
-                                      F.col("r.content").alias("content"), F.col("r.has_pua").alias("has_pua"))
-    return {"book": book, "chunk": chunk, "fts": table(spark, sf_dir, "documents_book_chunk_fts"), "vec": table(spark, sf_dir, "documents_book_chunk_vec")}
+    c = table(spark, sf_dir, "documents_book_chunk").where("chunk_id is not null")
+    # the copy that counts is found without moving texts; those of a few hits are read by `texts_of` in the end
+    first = F.struct("created_at", "book_guid", "chunk_seq", "heading_path", F.md5("content").alias("h"))
+    chunk = c.select("chunk_id", F.struct(*(F.col(x) for x in ("created_at", "book_guid", "chunk_seq", "heading_path")), F.md5("content").alias("h"), "has_pua", F.length("content").alias("n_chars")).alias("r")).groupBy(
+        "chunk_id").agg(F.min("r").alias("r")).select("chunk_id", guid_key(F.col("r.book_guid")).alias("guid"), "r.chunk_seq", "r.heading_path", "r.has_pua", "r.n_chars", F.col("r.h").alias("text_hash"))
+    return {"book": book, "chunk": chunk, "text": c.select("chunk_id", first.alias("first"), "content"), "fts": table(spark, sf_dir, "documents_book_chunk_fts"),
+            "vec": table(spark, sf_dir, "documents_book_chunk_vec")}
+
+
+def whole_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same chunks with their texts, for work over all texts."""
+    r = F.struct("created_at", "book_guid", "chunk_seq", "heading_path", F.md5("content").alias("h"))
+    c = table(spark, sf_dir, "documents_book_chunk").where("chunk_id is not null").groupBy("chunk_id").agg(F.min_by(F.struct("book_guid", "chunk_seq", "heading_path", "has_pua", "content"), r).alias("r"))
+    return c.select("chunk_id", guid_key(F.col("r.book_guid")).alias("guid"), "r.chunk_seq", "r.heading_path", "r.has_pua", "r.content")
 
 
 def _query_vector(t: dict[str, DataFrame]) -> DataFrame:
@@ -84,7 +95,7 @@ def hybrid_book_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search with payload: at most 3 hits a book, 10 in all."""
     out = per_book(_hits(store(spark, sf_dir)), 3, K)
-    return out.select("chunk_id", "guid", "title", "score", "score_ft", "score_vec", "source", "book_score", "book_hit_count", F.length("content").alias("content_chars"))
+    return out.select("chunk_id", "guid", "title", "score", "score_ft", "score_vec", "source", "book_score", "book_hit_count", F.col("n_chars").alias("content_chars"))
 
 
 def salvage_like(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +111,7 @@ def engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cards(t: dict[str, DataFrame]) -> DataFrame:
     """Books by the length-weighted mean of their chunks' vectors."""
     v = t["vec"].where(usable(F.col("embedding"), 64)).groupBy("chunk_id").agg(F.min_by("embedding", F.struct("indexed_at", "embedding")).alias("embedding"))
-    j = v.join(t["chunk"].select("chunk_id", "guid", F.length("content").alias("w")), "chunk_id").where("w > 0 and guid is not null").join(t["book"].select("guid"), "guid", "left_semi")
+    j = v.join(t["chunk"].select("chunk_id", "guid", F.col("n_chars").alias("w")), "chunk_id").where("w > 0 and guid is not null").join(t["book"].select("guid"), "guid", "left_semi")
     return weighted_mean(j, ["guid"], "embedding", "w").select("guid", F.col("mean").alias("embedding"))
 
 
@@ -120,7 +131,7 @@ def read_chunk_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chunk with its neighbours in every book: sequence numbers 4 to 6."""
     t = store(spark, sf_dir)
     return t["chunk"].where("chunk_seq between greatest(1, 5 - least(5, 1)) and 5 + least(5, 1)").join(t["book"].select("guid", "title"), "guid").select(
-        "guid", "chunk_seq", "chunk_id", "title", F.length("content").alias("n_chars"))
+        "guid", "chunk_seq", "chunk_id", "title", "n_chars")
 
 
 def list_books(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +141,14 @@ def list_books(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("book_created_at").desc(), "guid").limit(50)
 
 
-QUERIES = {f.__name__: f for f in (fts_topk, fts_topk_bm25, fts_topk_tag, vector_topk, vector_topk_tag, hybrid_fused, hybrid_book_rollup, hybrid_search, salvage_like,
+def fts_topk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored index, which is written first here and kept in a store."""
+    at = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    write_postings(postings(table(spark, sf_dir, "documents_book_chunk_fts")), at)
+    return rank_postings(spark.read.parquet(at), split_terms(QUERY)[0], K)
+
+
+QUERIES = {f.__name__: f for f in (fts_topk, fts_topk_index, fts_topk_bm25, fts_topk_tag, vector_topk, vector_topk_tag, hybrid_fused, hybrid_book_rollup, hybrid_search, salvage_like,
                                    engine_search, find_books_ranked, find_books_signal, read_chunk_window, list_books)}
 
 _KEPT = ", ".join(f"'{t}'" for t in split_terms(QUERY)[0])
@@ -167,6 +185,7 @@ card AS (SELECT guid, list(x ORDER BY i) AS e FROM m GROUP BY 1),
 bd AS (SELECT guid, round(list_cosine_distance(e, list_transform(qv, lambda x: x::DOUBLE)), 5) AS distance FROM card, q)"""
 SQL = {
     "fts_topk": f"WITH {_DOC}, {_HIT} SELECT * FROM ft ORDER BY score DESC, chunk_id LIMIT {K}",
+    "fts_topk_index": f"WITH {_DOC}, {_HIT} SELECT * FROM ft ORDER BY score DESC, chunk_id LIMIT {K}",
     "fts_topk_bm25": f"""WITH {_DOC}, {_HIT} SELECT chunk_id, round(sum(ln(1 + (big - n.n + 0.5) / (n.n + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / al))), 5) AS score
       FROM hit JOIN idf n USING (term), n AS m GROUP BY 1 ORDER BY score DESC, chunk_id LIMIT {K}""",
     "fts_topk_tag": f"WITH {_BOOK}, {_CHUNK}, {_DOC}, {_HIT}, {_SCOPE} SELECT * FROM ft WHERE chunk_id IN (FROM scope) ORDER BY score DESC, chunk_id LIMIT {K}",

@@ -9,7 +9,7 @@ from quire.functions.text import (collapse_whitespace, display_width, fold_kangx
                                   strip_tags, token_estimate, utf16_length, visible_len, without_front_matter)
 from quire.functions.tokenizer import index_terms, index_text, is_stop_col, query_terms_col, segments
 from quire.operators.errata import SIGNALS, errata, fired, note
-from quire.queries.retrieval import _BOOK, _CHUNK, store
+from quire.queries.retrieval import _BOOK, _CHUNK, store, whole_chunks
 from quire.session import table
 
 def _c() -> Column:
@@ -17,7 +17,7 @@ def _c() -> Column:
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store(spark, sf_dir)["chunk"].where("content is not null")
+    return whole_chunks(spark, sf_dir).where("content is not null")
 
 
 def index_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

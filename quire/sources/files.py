@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import io
 import re
 import zipfile
@@ -13,10 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-IMPORTABLE = r"\.(?:md|txt|zip)$"
+IMPORTABLE = r"\.(?:md|txt|zip|epub)$"
 #: an archive that unpacks to more is refused
 MOST_UNPACKED = 4 << 30
 SKIPPED_MEMBERS = ("model_output.json",)
+#: the member that is an archive's text
+MARKER = "markdown.md"
 
 
 def binary_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
@@ -79,7 +82,7 @@ def member_path(name: str) -> str:
     return p
 
 
-def root_of(names: list[str], marker: str = "markdown.md") -> str | None:
+def root_of(names: list[str], marker: str = MARKER) -> str | None:
     """'' or the one folder that wraps everything; None if the archive has no marker at either place."""
     if marker in names:
         return ""
@@ -88,32 +91,47 @@ def root_of(names: list[str], marker: str = "markdown.md") -> str | None:
     return f"{top}/" if top and f"{top}/{marker}" in names else None
 
 
-def archive_members(files: DataFrame) -> DataFrame:
-    """md5 of the archive, member, bytes: the parts of importable archives below their root. An unsafe archive fails as a
-    whole; the md5 makes a rerun find what it already wrote."""
+def archives(files: DataFrame) -> DataFrame:
+    """path, archive_md5, member, bytes, problem: the parts of importable archives below their root, or one row that says why
+    an archive has none. An unsafe archive fails as a whole; the md5 makes a rerun find what it already wrote."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
         for b in batches:
-            rows = []
             for path, raw in zip(b["path"], b["content"]):
                 key = hashlib.md5(bytes(raw)).hexdigest()
+                rows, problem = [], None
                 try:
                     with zipfile.ZipFile(io.BytesIO(raw)) as z:
                         infos = [i for i in z.infolist() if not i.is_dir()]
                         names = {member_path(i.filename): i for i in infos}
                         if sum(i.file_size for i in infos) > MOST_UNPACKED:
-                            raise UnsafeArchive(f"{path}: unpacks to more than {MOST_UNPACKED} bytes")
+                            raise UnsafeArchive(f"unpacks to more than {MOST_UNPACKED} bytes")
                         root = root_of(list(names))
                         if root is None:
-                            continue
-                        rows += [(path, key, n[len(root):], z.read(i)) for n, i in names.items() if n.startswith(root) and n.rsplit("/", 1)[-1] not in SKIPPED_MEMBERS]
-                except zipfile.BadZipFile:
-                    continue
-            yield pd.DataFrame(rows, columns=["path", "archive_md5", "member", "bytes"])
+                            problem = f"no {MARKER}"
+                        else:
+                            rows = [(path, key, n[len(root):], z.read(i), None) for n, i in names.items() if n.startswith(root) and n.rsplit("/", 1)[-1] not in SKIPPED_MEMBERS]
+                except zipfile.BadZipFile as e:
+                    problem = f"broken: {e}"
+                except UnsafeArchive as e:
+                    problem = f"unsafe: {e}"
+                if problem:
+                    rows = [(path, key, None, None, problem)]
+                yield pd.DataFrame(rows, columns=["path", "archive_md5", "member", "bytes", "problem"])
+
+    return files.where(F.lower("path").rlike(r"\.zip$")).select("path", "content").mapInPandas(run, "path string, archive_md5 string, member string, bytes binary, problem string")
+
+
+def archive_members(files: DataFrame) -> DataFrame:
+    """The parts of the archives that have some."""
+    return archives(files).where("problem is null").drop("problem")
 
-    return files.where(F.lower("name").rlike(r"\.zip$")).select("path", "content").mapInPandas(run, "path string, archive_md5 string, member string, bytes binary")
+
+def refused(files: DataFrame) -> DataFrame:
+    """path, problem of the archives that are not imported."""
+    return archives(files).where("problem is not null").select("path", "problem")
 
 
 def epub_text(files: DataFrame) -> DataFrame:
@@ -122,22 +140,33 @@ def epub_text(files: DataFrame) -> DataFrame:
     @F.pandas_udf("string")
     def text(content: pd.Series) -> pd.Series:
         def one(raw):
-            with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            try:
+                z = zipfile.ZipFile(io.BytesIO(raw))
+            except zipfile.BadZipFile:
+                return None
+            with z:
                 parts = [z.read(n).decode("utf-8", "replace") for n in z.namelist() if re.search(r"\.x?html?$", n, re.I)]
-            return "\n\n".join(re.sub(r"[ \t]+", " ", re.sub(r"<[^>]+>", " ", p)).strip() for p in parts)
+            return "\n\n".join(html.unescape(re.sub(r"[ \t]+", " ", re.sub(r"<[^>]+>", " ", p))).strip() for p in parts)
 
         return content.map(one)
 
-    return files.where(F.lower("name").rlike(r"\.epub$")).select("path", text("content").alias("text"))
+    return files.where(F.lower("path").rlike(r"\.epub$")).select("path", text("content").alias("text"))
 
 
 def bare_structure(files: DataFrame) -> DataFrame:
-    """JSON files that are a parser's structure, which alone are no document."""
-    head = F.try_parse_json(F.substring(utf8(F.col("content")), 1, 64 << 20))
-    return files.where(F.lower("name").rlike(r"\.json$")).withColumn("schema", F.try_variant_get(head, "$.schema", "string")).where(
+    """JSON files that are a parser's structure, which alone are no document. The field is read by a streaming parser, so a
+    file's size doesn't matter."""
+    return files.where(F.lower("path").rlike(r"\.json$")).withColumn("schema", F.get_json_object(utf8(F.col("content")), "$.schema")).where(
         F.col("schema").isin("docvortex.middle", "docvortex.model")).select("path", "schema")
 
 
+def text_of(content: Column) -> Column:
+    """The text of a file in whatever encoding; only what isn't UTF-8 without a mark meets Python."""
+    t = content.cast("string")
+    plain = F.is_valid_utf8(t) & ~F.hex(F.substring(content, 1, 3)).rlike("^(?:EFBBBF|FFFE|FEFF)")
+    return F.when(plain, t).otherwise(decoded(F.when(plain, None).otherwise(content)))
+
+
 def manifest_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Annotation records, one object a line; lines that begin with # are comments."""
     lines = spark.read.text(path).where("trim(value) <> '' and not startswith(ltrim(value), '#')")

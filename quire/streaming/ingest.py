@@ -14,17 +14,21 @@ from quire.functions.text import collapse_whitespace, windows_path
 from quire.functions.tokenizer import index_text
 from quire.operators.chunking import Chunker, chunk_books
 from quire.operators.errata import errata
+from quire.sources.files import MARKER, archive_members, epub_text, text_of
 
 FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def books_of(files: DataFrame) -> DataFrame:
-    """guid, source_path, title, content, errata_stats of Markdown and text files."""
-    text = collapse_whitespace(F.make_valid_utf8(F.col("content").cast("string")))
+    """guid, source_path, title, content, errata_stats of Markdown and text files in whatever encoding, of archives by their
+    Markdown, and of EPUB files. What `refused` names isn't among them."""
+    f = files.where(~F.col("path").rlike(r"/\.[^/]+$"))
+    text = f.where(F.lower("path").rlike(r"\.(?:md|txt)$")).select("path", text_of(F.col("content")).alias("text"))
+    packed = archive_members(f).where(F.col("member") == MARKER).select("path", text_of(F.col("bytes")).alias("text"))
+    every = text.unionByName(packed).unionByName(epub_text(f).where("text is not null"))
     plain = F.regexp_replace("path", "^file:/*", "/")
-    f = files.where(F.lower("path").rlike(r"\.(?:md|txt)$") & ~F.col("path").rlike(r"/\.[^/]+$"))
-    return f.select(F.md5(windows_path(plain)).alias("guid"), plain.alias("source_path"), F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("title"), text.alias("content")).withColumn(
-        "errata_stats", F.to_json(errata(F.col("content"))))
+    return every.select(F.md5(windows_path(plain)).alias("guid"), plain.alias("source_path"), F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("title"),
+                        collapse_whitespace(F.col("text")).alias("content")).withColumn("errata_stats", F.to_json(errata(F.col("content"))))
 
 
 def import_books(spark: SparkSession, books: DataFrame, out: str, batch: int | str, chunker: Chunker | None = None, force: bool = False) -> None:

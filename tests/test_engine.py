@@ -16,13 +16,13 @@ from quire.operators.chat import chat_format, clean, clean_lines, rounds, summar
 from quire.operators.chunking import Chunker, seen_len, sections
 from quire.operators.errata import errata, fired, note
 from quire.operators.evaluation import auroc
-from quire.operators.fulltext import rank
+from quire.operators.fulltext import postings, rank, rank_postings, write_postings
 from quire.operators.ledger import match_manifest, reconcile
 from quire.operators.parsed import box01, inline_text, is_footnote
 from quire.operators.vectors import nearest
-from quire.plans.search import Engine, existence_signal, fuse, roll_up
+from quire.plans.search import Engine, existence_signal, fuse, per_book, reranked, roll_up, top
 from quire.sources.config import Config
-from quire.sources.files import UnsafeArchive, archive_members, binary_files, decoded, importable, inline_images, manifest_csv, manifest_jsonl, member_path, root_of
+from quire.sources.files import UnsafeArchive, archive_members, bare_structure, binary_files, decoded, importable, inline_images, manifest_csv, manifest_jsonl, member_path, root_of
 
 
 def one(spark, value, f, kind="string"):
@@ -253,3 +253,46 @@ def test_every_query_has_a_schema(spark):
     q, s = e.queries(), e.oracle_sql()
     assert set(s) <= set(q) and json.dumps(sorted(q))
     assert e.entry(spark).count() > 0
+
+
+def test_rerank_decides_order_and_books(spark):
+    hits = spark.createDataFrame([("g", 1, 0.9, "x"), ("g", 2, 0.5, "xxxx"), ("g", 3, 0.4, "xxxxxxxx"), ("h", 4, 0.6, "xxx")], "guid string, chunk_id bigint, score double, content string")
+    seen = []
+
+    def model(q, texts):
+        return [float(len(t)) for t in texts]
+
+    r = reranked("q", hits, model, most=2)
+    assert sorted(x["chunk_id"] for x in r.collect()) == [1, 2, 4] and not seen
+    j = hits.join(r.select("chunk_id", "score_rerank"), "chunk_id", "left")
+    got = [(x["chunk_id"], x["book_score"], x["book_hit_count"]) for x in per_book(j, 2, 10).collect()]
+    assert got == [(2, 4.1, 3), (4, 3.0, 1), (1, 4.1, 3)]
+    assert [x["chunk_id"] for x in top("q", hits, model, 2, "chunk_id", "content").collect()] == [3, 2]
+    assert [x["chunk_id"] for x in per_book(hits, 1, None).collect()] == [1, 4]
+
+
+@pytest.mark.parametrize("line", ["好的，  我来解释", "让我先看看", "我来为你整理一下", "根据您的问题", "你的理解是正确的", "这是一个复杂的问题", "很好的问题，", "抱歉，之前说错了", "这确实一个难题"])
+def test_openings(line):
+    assert clean_lines(f"**assistant**:\n{line}\nThe answer.") == "**assistant**:\nThe answer."
+
+
+@pytest.mark.parametrize("line", ["好的房子在河边", "我们先看", "问题在于数据", "让我们看数据", "The answer"])
+def test_no_openings(line):
+    assert line in clean_lines(f"**assistant**:\n{line}\nmore")
+
+
+def test_structure_files_of_any_size(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"pages": [' + ('{"x": "' + "y" * 1000 + '"},') * 70_000 + '1], "schema": "docvortex.middle"}')
+    (tmp_path / "b.json").write_text('{"schema": "other"}'), (tmp_path / "c.json").write_text("{")
+    assert [r["schema"] for r in bare_structure(binary_files(spark, str(tmp_path))).collect()] == ["docvortex.middle"]
+
+
+def test_postings_equal_the_scan(spark, tmp_path):
+    fts = spark.createDataFrame([(1, "a b b", 0), (2, "a c", 0), (3, "C c", 0), (3, "zzz", 1), (4, None, 0), (5, "", 0), (None, "a", 0)], "chunk_id bigint, content_tokenized string, indexed_at int")
+    write_postings(postings(fts), str(tmp_path / "p"))
+    index = spark.read.parquet(str(tmp_path / "p"))
+    for mode in ("nl", "bm25"):
+        want = sorted(map(tuple, rank(fts, ["b", "c", "a"], None, mode=mode).collect()))
+        assert want and sorted(map(tuple, rank_postings(index, ["b", "c", "a"], None, mode=mode).collect())) == want
+    assert rank_postings(index, [], None).count() == 0 and index.where("part = -1").count() == 4
+    write_postings(postings(fts.limit(0)), str(tmp_path / "q"))

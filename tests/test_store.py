@@ -1,11 +1,17 @@
+import io
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+import quire.plans.store as stores
 from quire.cli import run
 from quire.operators.errata import merge_stats
+from quire.operators.fulltext import rank, rank_postings
 from quire.operators.images import best_reading, ocr, references, remap, resolve, with_ocr
+from quire.plans.store import Store
+from quire.sources.files import binary_files, refused
 
 
 @pytest.fixture()
@@ -77,3 +83,77 @@ def test_images(spark):
     assert with_ocr("![a](x)\ntext ![a](x)", {"x": "read\nthis"}) == "![a](x)\n> 📝 OCR: read this\ntext ![a](x)"
     r = spark.createDataFrame([("i", 0, "en", 0, "a", 0.2), ("i", 1, "zh", 1, "c", 0.9), ("i", 1, "zh", 0, "b", 0.8)], "image string, language_order int, language string, line int, text string, confidence double")
     assert tuple(best_reading(r).first()) == ("i", "zh", "b\nc")
+
+
+def zipped(**members):
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        for n, c in members.items():
+            z.writestr(n.replace("__", "/"), c)
+    return b.getvalue()
+
+
+def test_import_of_every_kind_of_file(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "a.txt").write_bytes("天文台的观测记录。".encode("gb18030"))
+    (d / "b.zip").write_bytes(zipped(**{"w__markdown.md": "# One\nA quarry of slate.", "w__images__p.png": "p"}))
+    (d / "c.epub").write_bytes(zipped(**{"OPS__x.xhtml": "<p>An orchard &amp; a mill.</p>", "mimetype": "application/epub+zip"}))
+    (d / "d.zip").write_bytes(b"no archive"), (d / "e.zip").write_bytes(zipped(**{"other.md": "x"})), (d / "f.zip").write_bytes(zipped(**{"..__x": "y"}))
+    (d / "g.md").write_bytes(b"\xef\xbb\xbfmarked"), (d / "h.md").write_bytes("wide".encode("utf-16"))
+    at = str(tmp_path / "s")
+    assert run(spark, [at, "import", str(d), "--no-dir-tag"])[1] == {"books": 5}
+    got = {r["content"].strip() for r in Store(spark, at).table("chunk").select("content").collect()}
+    assert {"天文台的观测记录。", "An orchard & a mill.", "marked", "wide"} <= got and any("quarry of slate" in x for x in got)
+    assert sorted((r["path"][-5:], r["problem"].split(":")[0]) for r in refused(binary_files(spark, str(d))).collect()) == [("d.zip", "broken"), ("e.zip", "no markdown.md"), ("f.zip", "unsafe")]
+
+
+def test_adding_writes_only_what_is_added(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path / "s"))
+    row = lambda *ids: spark.createDataFrame([(i, "a b") for i in ids], "chunk_id bigint, content_tokenized string")
+    s.append("fts", row(1, 2))
+    before = s.table("fts")
+    first = s._state("fts")[1]
+    s.append("fts", row(3))
+    n, parts = s._state("fts")
+    assert parts[:1] == first and spark.read.parquet(f"{s.path}/fts/{parts[1]}").count() == 1 and s.table("fts").count() == 3
+    # a reader of the old state goes on; two writers upon one state: the later one is told
+    assert before.count() == 2 and not s._commit("fts", n - 1, []) and s._state("fts")[0] == n
+    s.change("fts", lambda t: t.where("chunk_id <> 2"))
+    assert sorted(r[0] for r in s.table("fts").select("chunk_id").collect()) == [1, 3] and before.count() == 2
+    assert s.vacuum() == 2 and s.table("fts").count() == 2
+    monkeypatch.setattr(stores, "MOST_PARTS", 2)
+    s.append("fts", row(7)), s.append("fts", row(8))
+    assert len(s._state("fts")[1]) == 1 and s.table("fts").count() == 4
+
+
+def test_many_missing_books_are_counted(spark, store, monkeypatch):
+    monkeypatch.setattr(stores, "NAMED", 2)
+    r = Store(spark, store[0]).remove(spark.createDataFrame([(f"none{i}",) for i in range(5)], "guid string"), dry_run=True)
+    assert r["missing_count"] == 5 and r["missing"] == ["none0", "none1"] and not any(r["removed"].values())
+
+
+def test_search_of_all_kinds_of_documents(spark, tmp_path):
+    for kind in "bcn":
+        (tmp_path / kind).mkdir()
+    (tmp_path / "b/book.md").write_text("# Slate\nThe quarry of slate.")
+    (tmp_path / "c/chat.md").write_text("**user**: Where is the quarry?\n**assistant**: By the river, slate everywhere.")
+    (tmp_path / "n/note.md").write_text("---\ntitle: Slate\n---\nslate slate quarry")
+    vector = lambda t: [float(t.count("slate")) + 0.1, 1.0]
+    s = Store(spark, str(tmp_path / "s"), embed=vector, rerank=lambda q, texts: [float(len(t)) for t in texts], dims=2)
+    s.import_books(str(tmp_path / "b"), "shelf"), s.import_chats(str(tmp_path / "c")), s.import_notes(str(tmp_path / "n"), tags="own")
+    r = s.search("slate quarry")
+    got = {x["category"]: x for x in r.results.collect()}
+    assert set(got) == {"book", "chat", "onenote"} and got["chat"]["source"] == "both" and got["onenote"]["source"] == "fulltext" and got["onenote"]["snippet"] == "slate slate quarry"
+    assert [x["category"] for x in s.search("slate", category="onenote").results.collect()] == ["onenote"]
+    assert [x["category"] for x in s.search("slate", tags="own").results.collect()] == ["onenote"] and s.search("slate", bucket="shelf").results.count() == 1
+    with pytest.raises(ValueError):
+        s.search("slate", category="mail")
+    # the store's own index gives what a scan gives
+    t = {n: s.table(n) for n in ("fts", "posting")}
+    assert rank_postings(t["posting"], ["slate", "the"], None).collect() == rank(t["fts"], ["slate", "the"], None).collect()
+    near = s.find_books("slate")
+    assert [b["title"] for b in near["books"].collect()] == ["book"] and near["signal"].first()["corpus_books"] == 1 and s.find_books("slate", bucket="none")["books"].count() == 0
+    assert run(spark, [s.path, "find-book", "slate"])[0] == 1
+    s.remove(s.under(str(tmp_path / "b")))
+    assert s.table("card").count() == s.table("posting").count() == 0
