@@ -44,10 +44,12 @@ def usable(df: DataFrame, key: str, vec: str, ts: str | None, dims: int) -> Data
 
 
 def _codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes (held as float32: products of 127 * 127 * dims stay exact), scales and the length of what is lost."""
+    """int8 codes, scales and the length of what is lost. Codes are held as float32 while the sums of their products stay exact
+    in it (127 * 127 * dims below 2**24), else as float64."""
     s = np.abs(x).max(axis=1) / 127
     s[s == 0] = 1
     q = np.rint(x / s[:, None])
+    q = q if 127 * 127 * x.shape[1] < 1 << 24 else q.astype(np.float64)
     return q, s, np.linalg.norm(x - q * s[:, None], axis=1) + 1e-6
 
 
@@ -161,7 +163,7 @@ def knn(df: DataFrame, key: str, vec: str, k: int = 10, dims: int = 64, ts: str
         return pa.table({"id": got[0], "neighbour_id": got[1], "cosine": got[2]})
 
     # as many tasks as tiles; AQE doesn't join them again, as they are heavy though small in bytes
-    n_tiles = nb * (nb + 1) // 2 if both else nb
+    n_tiles = nb * (nb + 1) // 2 if both else nb * mb
     heaps = sides.repartition(max(1, n_tiles), "i", "j").groupBy("i", "j").applyInArrow(run, "id bigint, neighbour_id bigint, cosine double")
     w = Window.partitionBy("id").orderBy(F.col("cosine").desc(), F.col("neighbour_id"))
     return heaps.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -182,6 +182,40 @@ def test_own_product_takes_no_place(least):
     assert set(other[row == 0].tolist()) == set(range(1, 11))
 
 
+@pytest.mark.parametrize("copies", [9, 10, 11])
+@pytest.mark.parametrize("least", [None, 0.9])
+def test_groups_of_near_copies_in_every_mode(spark, copies, least):
+    """Groups with one member fewer, as many and one more than k, far apart from each other: no bound may drop a neighbour."""
+    rng = np.random.default_rng(copies)
+    centre = rng.normal(size=(12, 24))
+    x = np.vstack([c + 0.02 * rng.normal(size=(copies, 24)) for c in centre] + [c + 0.12 * rng.normal(size=(3, 24)) for c in centre]).astype(np.float32)
+    ids = [int(i) for i in rng.permutation(1000)[: len(x)]]
+    want = {i: v for i, v in brute(ids, x, 10, least).items() if v}
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in zip(ids, x)], "id bigint, e array<float>")
+
+    def found(df):
+        out = {}
+        for r in df.collect():
+            out.setdefault(r["id"], []).append((r["rank"], r["neighbour_id"]))
+        return {i: [n for _, n in sorted(v)] for i, v in out.items()}
+
+    a = np.asarray(ids)
+    row, other, sim = neighbours.tile(a, x, a, x, 10, least, False)
+    one = {}
+    for i, j, v in zip(row.tolist(), other.tolist(), sim.tolist()):
+        one.setdefault(i, []).append((-v, j))
+    assert {i: [j for _, j in sorted(v)] for i, v in one.items()} == want
+    assert found(neighbours.knn(df, "id", "e", 10, 24, min_sim=least)) == want
+    assert found(neighbours.knn(df, "id", "e", 10, 24, min_sim=least, block=40)) == want
+    assert found(neighbours.knn(df, "id", "e", 10, 24, min_sim=least, block=40, queries=F.col("id") % 2 == 0)) == {i: v for i, v in want.items() if i % 2 == 0}
+
+
+def test_products_stay_exact_in_many_dimensions():
+    x = np.ones((1, 2000), np.float32)
+    q, s, _ = neighbours._codes(x)
+    assert (q @ q.T)[0, 0] == 2000 * 127 * 127 and q.dtype == np.float64 and neighbours._codes(x[:, :64])[0].dtype == np.float32
+
+
 def test_knn_of_queries_and_nothing(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 41)], "id bigint, e array<float>")
     got = neighbours.knn(df, "id", "e", 3, 2, queries=F.col("id") % 20 == 0).collect()
@@ -377,7 +411,7 @@ def test_values_of_page_numbers(line, value):
 
 
 def test_long_decoration_is_no_page_number():
-    assert scans.page_number("-" * 200_000 + "x") is None and scans.page_number("12" + " " * 200_000 + "x") is None
+    assert scans.page_number("-" * 200_000 + "y") is None and scans.page_number("12" + " " * 200_000 + "x") is None
 
 
 def test_two_confusions_in_long_words():
