@@ -161,6 +161,8 @@ _AUDIT = f""", e AS (SELECT DISTINCT guid, trim(x) AS element, CASE WHEN trim(co
 SQL = {
     "footnotes_orphaned": _B + """ SELECT book_guid, count(DISTINCT block_id) AS blocks FROM normalized_block WHERE block_type IN ('page_footnote', 'footnote') AND book_guid IS NOT NULL
       AND lower(book_guid) NOT IN (SELECT guid FROM b) GROUP BY 1""",
+    "tags_edited": _B + f""", t AS (SELECT guid, {_TAGS} AS t FROM b), u AS (SELECT guid, list_filter(t, lambda x, i: list_position(t, x) = i) AS t FROM t)
+      SELECT guid, array_to_string(CASE WHEN list_contains(t, 'atlas') THEN t ELSE list_append(t, 'atlas') END, ',') AS with_atlas, array_to_string(list_filter(t, lambda x: x <> 'language'), ',') AS without_language FROM u""",
     "tags_known": _B + f""", v AS (SELECT DISTINCT unnest({_TAGS}) AS tag FROM b WHERE bucket = '馆藏'), e AS (SELECT guid, unnest({_TAGS}) AS tag FROM b)
       SELECT b.guid AS id, b.guid NOT IN (SELECT guid FROM e WHERE tag NOT IN (SELECT tag FROM v)) AS all_known FROM b""",
     "bucket_counts": _B + """ SELECT table_name, bucket, count(*) AS documents FROM (SELECT 'documents_book' AS table_name, bucket FROM b

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import collapse_whitespace, visible_len
-from quire.operators.chat import chat_format, clean, rounds, summaries, topic_switches
+from quire.operators.chat import A, B, chat_format, clean, rounds, summaries, topic_switches
 from quire.operators.chunking import Chunker, book_card, chunk_books
 from quire.operators.parsed import FOOTNOTES, FURNITURE, KNOWN, ALIASES, append_footnotes, box01, footnotes, image_types, product_form, skips_ocr, type_census
 from quire.session import spread_table, table
@@ -107,7 +107,10 @@ _T = _CANON.replace("{c}", "block_type")
 _FOOT = f"""f AS (SELECT book_guid, page_idx, array_to_string(list_transform(bbox01, lambda x: round(x, 4)::VARCHAR), ',') AS box, min(text) AS text FROM normalized_block
   WHERE text IS NOT NULL AND bbox01 IS NOT NULL AND ({_T} IN ({_IN(FOOTNOTES)}) OR ({_T} NOT IN ({_IN(FURNITURE)}) AND bbox01[2] >= 0.70
     AND NOT (length(trim(text)) < 3 OR regexp_matches(trim(text), '^[\\s·]*\\d+[\\s·]*$') OR regexp_matches(trim(text), '^\\(\\d+(?:,\\s*\\d+)*\\)$')))) GROUP BY ALL)"""
+_HAS = {f + k: f"regexp_matches(text, '(?im){v}')" for f, d in (("A", A), ("B", B)) for k, v in d.items()}
 SQL = {
+    "chat_formats": f"""SELECT CASE WHEN {_HAS["Auser"]} AND {_HAS["Aassistant"]} THEN 'A' WHEN {_HAS["Buser"]} AND {_HAS["Bassistant"]} THEN 'B' WHEN {_HAS["Auser"]} OR {_HAS["Aassistant"]} THEN 'A'
+      WHEN {_HAS["Buser"]} OR {_HAS["Bassistant"]} THEN 'B' ELSE 'unknown' END AS format, count(*) AS chats FROM documents WHERE text IS NOT NULL AND category = 'chat' GROUP BY 1""",
     "chunk_violations": "SELECT doc_id, 0 AS chunk_seq FROM documents WHERE false",
     "footnotes_found": f"WITH {_FOOT} FROM f",
     "footnotes_new": f"WITH {_FOOT} SELECT page_idx, count(*) AS footnotes FROM f WHERE page_idx >= 3 GROUP BY 1",

@@ -90,11 +90,34 @@ def _level_query(name: str, level: str):
     return run
 
 
+def _levels_query(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """How many elements each array level of a kind of file has."""
+        flat = flatten(table(spark, sf_dir, name), "file_id", "raw", fields="(?!)", order="produced_at")
+        return flat.groupBy("level_path").agg(F.count("*").alias("elements"), F.count_distinct("doc_key").alias("files"))
+
+    return run
+
+
 BRANCHES = ["preproc_blocks", "discarded_blocks"]
 QUERIES = {
-    "p5_found": p5_found, "p5_nodes": p5_nodes,
+    "p5_found": p5_found, "p5_nodes": p5_nodes, **{f"p5_{n}_levels": _levels_query(n) for n in FILES},
     # the typed child tables of all levels: blocks, lines and spans of both branches at any depth
     **{f"p5_{t}_table": _level_query("book_middle", t) for t in ("file", "page", "block", "line", "span", "rest")},
     **{f"p5_json_{t}_table": _level_query("middle_json", t) for t in ("file", "page", "block", "content", "rest")},
 }
-SQL: dict[str, str] = {}
+_TREE = """WITH t AS (SELECT 'book_middle' AS f, file_id, fullkey, type, atom FROM book_middle, json_tree(CASE WHEN json_valid(raw) THEN raw END)
+  UNION ALL SELECT 'middle_json', file_id, fullkey, type, atom FROM middle_json, json_tree(CASE WHEN json_valid(raw) THEN raw END))"""
+_INNER = "array_to_string(list_transform(regexp_extract_all(m.i, '\\d+'), lambda x: '/' || x), '')"
+SQL = {
+    # under the names that the test files use
+    "p5_found": _TREE + rf""", s AS (SELECT DISTINCT f, file_id, regexp_extract(fullkey,
+  '^\$\.pdf_info\[(\d+)\]\.(preproc_blocks|layout_blocks|discarded_blocks|abandoned_blocks)\[(\d+)\]((?:\.blocks\[\d+\])*)\.lines\[(\d+)\]\.spans\[(\d+)\]$', ['p', 'b', 'k', 'i', 'l', 's']) AS m FROM t WHERE f = 'book_middle'),
+c AS (SELECT DISTINCT f, file_id, regexp_extract(fullkey, '^\$\.(?:pages|page_list)\[(\d+)\]\.blocks\[(\d+)\]((?:\.(?:content|inline)|\[\d+\])+)$', ['p', 'k', 'i']) AS m FROM t
+  WHERE f = 'middle_json' AND type = 'VARCHAR' AND regexp_matches(json_extract_string(atom, '$'), '[^\s]'))
+SELECT f AS table_name, file_id, m.p::INT AS page_pos, CASE WHEN m.b IN ('preproc_blocks', 'layout_blocks') THEN 'preproc_blocks' ELSE 'discarded_blocks' END AS branch,
+  m.k || {_INNER} || '/l' || m.l || '/s' || m.s AS node_path FROM s WHERE m.p <> ''
+UNION SELECT f, file_id, m.p::INT, 'blocks', m.k || {_INNER} FROM c WHERE m.p <> ''""",
+    **{f"p5_{n}_levels": f"WITH t AS (SELECT DISTINCT file_id, fullkey FROM {n}, json_tree(CASE WHEN json_valid(raw) THEN raw END) WHERE fullkey = '$' OR ends_with(fullkey, ']')) "
+       r"SELECT regexp_replace(replace(fullkey, chr(34), ''), '\[\d+\]', '[]', 'g') AS level_path, count(*) AS elements, count(DISTINCT file_id) AS files FROM t GROUP BY 1" for n in FILES},
+}

@@ -197,6 +197,9 @@ SQL = {
       capped AS (SELECT *, row_number() OVER (PARTITION BY guid ORDER BY score DESC, chunk_id) AS rn FROM hits)
       SELECT chunk_id, guid, title, score, score_ft, score_vec, source, book_score, book_hit_count, length(content) AS content_chars
       FROM capped JOIN roll USING (guid) WHERE rn <= 3 ORDER BY score DESC, chunk_id LIMIT {K}""",
+    "engine_search": f"""WITH {_BOOK}, {_CHUNK}, {_DOC}, {_HIT}, f AS (SELECT * FROM ft ORDER BY score DESC, chunk_id LIMIT {3 * K}), fused AS (SELECT chunk_id, round(score, 4) AS score FROM f), {_ROLL},
+      capped AS (SELECT *, row_number() OVER (PARTITION BY guid ORDER BY score DESC, chunk_id) AS rn FROM hits)
+      SELECT chunk_id, guid, score, 'fulltext' AS source, book_score, 'vector: no embedder; rerank: no model' AS degraded FROM capped JOIN roll USING (guid) WHERE rn <= 3 ORDER BY score DESC, chunk_id LIMIT {K}""",
     "salvage_like": f"""SELECT chunk_id FROM documents_book_chunk WHERE chunk_id IS NOT NULL AND (contains(content, 'monastery') OR contains(content, '火山'))
       GROUP BY 1 ORDER BY min(strlen(content)), chunk_id LIMIT {K}""",
     "find_books_ranked": f"WITH {_BOOK}, {_CHUNK}, {_VEC}, {_CARD} SELECT * FROM bd ORDER BY distance, guid LIMIT {K}",

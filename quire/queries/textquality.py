@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import (collapse_whitespace, display_width, fold_kangxi, front_matter, has_cjk, has_pua, image_refs, kangxi_count, pua_count, sanitize_pua, snippet,
                                   strip_tags, token_estimate, utf16_length, visible_len, without_front_matter)
-from quire.functions.tokenizer import index_terms, index_text, is_stop_col, query_terms_col, segments
+from quire.functions.tokenizer import STOPWORDS, index_terms, index_text, is_stop_col, query_terms_col, segments
 from quire.operators.errata import SIGNALS, errata, fired, note
 from quire.queries.retrieval import _BOOK, _CHUNK, store, whole_chunks
 from quire.session import table
@@ -101,6 +101,8 @@ _PUA = r"\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}"
 _N = lambda p: f"len(regexp_extract_all(content, '{p}'))"
 _CYR, _LAT, _GRK = r"\x{0400}-\x{052F}\x{2DE0}-\x{2DFF}\x{A640}-\x{A69F}", r"A-Za-z\x{00C0}-\x{024F}\x{1E00}-\x{1EFF}", r"\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}"
 _L = r"[\p{L}\p{Nl}\p{No}]"
+_WIDE = r"\x{1100}-\x{115F}\x{2E80}-\x{303E}\x{3041}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE4F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}"
+_STOPPED = "(list_contains([" + ", ".join(f"'{w}'" for w in sorted(STOPWORDS)) + "], lower(x)) OR regexp_matches(x, '^[" + "".join(sorted(w for w in STOPWORDS if w > "\u3400")) + "]{2,}$'))"
 _SEGS = f"regexp_extract_all(content, '[{_HAN}]+|[^{_HAN}]+')"
 SQL = {
     "index_tokens": _C + f""", t AS (SELECT chunk_id, flatten(list_transform({_SEGS}, lambda s: CASE WHEN regexp_matches(s, '^[{_HAN}]')
@@ -121,6 +123,20 @@ SQL = {
           ELSE {_N(r'[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]{2,}')} END AS cjk_halluc FROM w""",
     "tags_stripped": _C + f" SELECT chunk_id, md5(trim(regexp_replace(regexp_replace(content, '<[^>]+>', ' ', 'g'), '{_SP}+', ' ', 'g'))) AS text_md5 FROM c WHERE contains(content, '<')",
     "images_in_text": _C + r""" SELECT chunk_id, refs FROM (SELECT chunk_id, array_to_string(list_concat(regexp_extract_all(content, '!\[[^\]]*\]\(([^)\s]+)', 1), regexp_extract_all(content, '<img[^>]+src=["'']([^"'']+)["'']', 1)), ' ') AS refs FROM c) WHERE refs <> ''""",
+    "widths": f"""WITH {_BOOK} SELECT guid, (length(r.c) + len(regexp_extract_all(r.c, '[{_WIDE}]')))::INT AS columns, (length(r.c) + len(regexp_extract_all(r.c, '[\\x{{10000}}-\\x{{10FFFF}}]')))::INT AS utf16
+      FROM book WHERE r.c IS NOT NULL""",
+    "query_terms": f"""WITH {_BOOK}, t AS (SELECT guid, flatten(list_transform(regexp_extract_all(r.c, '[{_HAN}]+|[^{_HAN}]+'), lambda s: CASE WHEN NOT regexp_matches(s, '^[{_HAN}]') THEN regexp_extract_all(s, '[\\p{{L}}\\p{{N}}_]+')
+        WHEN length(s) = 1 THEN [s] ELSE list_transform(range(1, length(s)), lambda i: substr(s, i, 2)) END)) AS t FROM book WHERE r.c IS NOT NULL),
+      u AS (SELECT guid, list_filter(t, lambda x, i: list_position(t, x) = i) AS t FROM t)
+      SELECT guid, array_to_string(list_filter(t, lambda x: NOT {_STOPPED}), ' ') AS kept, array_to_string(list_filter(t, lambda x: {_STOPPED}), ' ') AS pruned FROM u""",
+    "errata_notes": f"""SELECT CASE WHEN json_extract_string(j, '$.criteria_version') IS NULL THEN 'not computed' WHEN n <> '' THEN n ELSE 'computed, no signal; other errors remain possible' END AS note, count(*) AS books
+      FROM (SELECT DISTINCT guid, j, concat_ws(', ', {', '.join(f"CASE WHEN TRY_CAST(json_extract_string(j, '$.{x}') AS INT) > 0 THEN '{x}: ' || json_extract_string(j, '$.{x}') END" for x in SIGNALS)}) AS n
+        FROM (SELECT guid, CASE WHEN json_valid(coalesce(errata_stats, '')) THEN errata_stats END AS j FROM documents_book WHERE guid IS NOT NULL)) GROUP BY 1""",
+    "note_heads": r"""WITH d AS (SELECT doc_id, text, regexp_extract(text, '(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)', 1) AS head FROM documents WHERE text IS NOT NULL AND category = 'onenote'),
+      p AS (SELECT *, list_sort(list_distinct(list_transform(list_filter(string_split(head, chr(10)), lambda x: regexp_matches(x, '^[^:#\s][^:]*:')),
+        lambda x: {'k': trim(split_part(x, ':', 1)), 'v': regexp_replace(trim(regexp_replace(x, '^[^:]*:', '')), '^["'']|["'']$', '', 'g')}))) AS kv FROM d)
+      SELECT doc_id, '{' || array_to_string(list_transform(kv, lambda e: to_json(e.k)::VARCHAR || ':' || to_json(e.v)::VARCHAR), ',') || '}' AS front_matter,
+        length(regexp_replace(text, '(?s)\A---[ \t]*\n.*?\n---[ \t]*(?:\n|\z)', '')) AS body_chars FROM p""".replace("\\\\", "\\"),
     "dup_content": "SELECT md5(text) AS text_md5, count(*) AS copies, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
 }
 
@@ -133,4 +149,5 @@ def _fill() -> None:
 
 
 _fill()
-del _BOOK
+SQL["errata_fired"] = "WITH e AS (" + SQL["errata_counts"] + ") " + " UNION ALL ".join(f"SELECT '{x}' AS signal, count(*) AS chunks FROM e WHERE {x} > 0 HAVING count(*) > 0" for x in SIGNALS)
+
