@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.tags import any_tag
-from quire.functions.tokenizer import salvage_terms, split_terms
+from quire.functions.tokenizer import index_text, salvage_terms, split_terms
 from quire.operators.fulltext import postings, rank, rank_postings, substring_hits, write_postings
 from quire.operators.references import guid_key
 from quire.operators.vectors import cosine_distance, nearest, usable, weighted_mean
@@ -108,6 +108,43 @@ def engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.results.select("chunk_id", "guid", "score", "source", "book_score", F.lit("; ".join(r.meta["degraded"])).alias("degraded"))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Chats and notes as a store would hold them, without vectors."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select(
+        F.col("doc_id").cast("string").alias("guid"), "category", F.col("source").alias("bucket"), F.lit(None).cast("string").alias("tags"), F.col("text").alias("content"), "created_at",
+        index_text(F.col("text")).alias("content_tokenized"))
+    return {"chat": d.where("category = 'chat'"), "note": d.where("category = 'onenote'")}
+
+
+_SHOWN = ("category", "guid", "score", "source")
+
+
+def search_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(spark, _documents(spark, sf_dir)).search(QUERY, limit=K, category="chat").results.select(*_SHOWN)
+
+
+def search_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With what is shown of each document, in one bucket."""
+    r = Engine(spark, _documents(spark, sf_dir)).search(QUERY, limit=K, category="onenote").results
+    return r.select(*_SHOWN, "snippet", "bucket")
+
+
+def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of books, chats and notes in one order."""
+    return Engine(spark, store(spark, sf_dir) | _documents(spark, sf_dir)).search(QUERY, limit=K).results.select(*_SHOWN, "chunk_id")
+
+
+def _by_length(query: str, texts: list[str]) -> list[float]:
+    """Stands for a cross-encoder."""
+    return [len(t) / 1000 for t in texts]
+
+
+def rerank_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reranker decides the order and the books' scores; it sees the six best hits of each book."""
+    r = Engine(spark, store(spark, sf_dir), rerank=_by_length).search(QUERY, limit=K, fulltext_only=True).results
+    return r.select("chunk_id", "guid", "score", F.round("score_rerank", 6).alias("score_rerank"), "book_score", "book_hit_count")
+
+
 def _cards(t: dict[str, DataFrame]) -> DataFrame:
     """Books by the length-weighted mean of their chunks' vectors."""
     v = t["vec"].where(usable(F.col("embedding"), 64)).groupBy("chunk_id").agg(F.min_by("embedding", F.struct("indexed_at", "embedding")).alias("embedding"))
@@ -148,7 +185,7 @@ def fts_topk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_postings(spark.read.parquet(at), split_terms(QUERY)[0], K)
 
 
-QUERIES = {f.__name__: f for f in (fts_topk, fts_topk_index, fts_topk_bm25, fts_topk_tag, vector_topk, vector_topk_tag, hybrid_fused, hybrid_book_rollup, hybrid_search, salvage_like,
+QUERIES = {f.__name__: f for f in (fts_topk, fts_topk_index, fts_topk_bm25, search_chat, search_note, search_all, rerank_rollup, fts_topk_tag, vector_topk, vector_topk_tag, hybrid_fused, hybrid_book_rollup, hybrid_search, salvage_like,
                                    engine_search, find_books_ranked, find_books_signal, read_chunk_window, list_books)}
 
 _KEPT = ", ".join(f"'{t}'" for t in split_terms(QUERY)[0])
@@ -183,7 +220,34 @@ part AS (SELECT guid, length(content) AS w, unnest(e)::DOUBLE AS x, generate_sub
 m AS (SELECT guid, i, sum(w * x) / sum(w) AS x FROM part GROUP BY 1, 2),
 card AS (SELECT guid, list(x ORDER BY i) AS e FROM m GROUP BY 1),
 bd AS (SELECT guid, round(list_cosine_distance(e, list_transform(qv, lambda x: x::DOUBLE)), 5) AS distance FROM card, q)"""
+_HAN_ = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
+
+
+def _whole(name: str, category: str) -> str:
+    """The ranking of one kind of whole documents as a CTE `name` of (guid, score)."""
+    words = f"""list_filter(flatten(list_transform(regexp_extract_all(text, '[{_HAN_}]+|[^{_HAN_}]+'), lambda s: CASE WHEN regexp_matches(s, '^[{_HAN_}]')
+      THEN list_concat(list_transform(range(1, length(s) + 1), lambda i: substr(s, i, 1)), list_transform(range(1, length(s)), lambda i: substr(s, i, 2)))
+      ELSE regexp_extract_all(s, '[\\p{{L}}\\p{{N}}_]+') END)), lambda x: x <> '')"""
+    return f"""{name}_d AS (SELECT doc_id::VARCHAR AS guid, list_transform({words}, lambda x: {_FOLD.format(c='x')}) AS w FROM documents WHERE text IS NOT NULL AND category = '{category}'),
+{name}_h AS (SELECT guid, term, count(*) AS tf FROM (SELECT guid, unnest(w) AS term FROM {name}_d) WHERE term IN (SELECT {_FOLD.format(c='x')} FROM unnest([{_KEPT}]) u(x)) GROUP BY ALL),
+{name}_i AS (SELECT term, count(*) AS n FROM {name}_h GROUP BY 1),
+{name}_s AS (SELECT guid, round(sum(tf * log10(b.n / i.n) * log10(b.n / i.n)), 6) AS score FROM {name}_h JOIN {name}_i i USING (term), (SELECT count(*) AS n FROM {name}_d) b GROUP BY 1),
+{name} AS (SELECT '{category}' AS category, guid, round(score, 4) AS score, 'fulltext' AS source FROM (FROM {name}_s ORDER BY score DESC, guid LIMIT {2 * K}))"""
+
+
 SQL = {
+    "search_chat": f"WITH {_whole('chats', 'chat')} FROM chats ORDER BY score DESC, guid LIMIT {K}",
+    "search_note": f"""WITH {_whole('notes', 'onenote')} SELECT notes.*, substr(trim(regexp_replace(text, '[\\s\\x{{0B}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]+', ' ', 'g')), 1, 200) AS snippet, d.source AS bucket
+      FROM notes JOIN documents d ON d.doc_id::VARCHAR = guid ORDER BY score DESC, guid LIMIT {K}""",
+    "search_all": f"""WITH {_BOOK}, {_CHUNK}, {_DOC}, {_HIT}, f AS (SELECT * FROM ft ORDER BY score DESC, chunk_id LIMIT {3 * K}), fused AS (SELECT chunk_id, round(score, 4) AS score FROM f), {_ROLL},
+      capped AS (SELECT *, row_number() OVER (PARTITION BY guid ORDER BY score DESC, chunk_id) AS rn FROM hits), {_whole('chats', 'chat')}, {_whole('notes', 'onenote')}
+      SELECT 'book' AS category, guid, score, 'fulltext' AS source, chunk_id FROM capped WHERE rn <= 3 UNION ALL SELECT *, NULL FROM chats UNION ALL SELECT *, NULL FROM notes
+      ORDER BY score DESC, chunk_id NULLS FIRST, guid LIMIT {K}""",
+    "rerank_rollup": f"""WITH {_BOOK}, {_CHUNK}, {_DOC}, {_HIT}, f AS (SELECT * FROM ft ORDER BY score DESC, chunk_id LIMIT {3 * K}), fused AS (SELECT chunk_id, round(score, 4) AS score FROM f), {_ROLL},
+      six AS (SELECT *, round(length(substr(content, 1, 800)) / 1000, 6) AS score_rerank FROM (SELECT *, row_number() OVER (PARTITION BY guid ORDER BY score DESC, chunk_id) AS n FROM hits) WHERE n <= 6),
+      books AS (SELECT guid, round(max(score_rerank) + least(0.05 * (max(k) - 1), 0.2), 4) AS book_score, max(k) AS book_hit_count FROM six JOIN (SELECT guid, count(*) AS k FROM hits GROUP BY 1) USING (guid) GROUP BY 1),
+      capped AS (SELECT *, row_number() OVER (PARTITION BY guid ORDER BY score_rerank DESC, chunk_id) AS rn FROM six)
+      SELECT chunk_id, guid, score, score_rerank, book_score, book_hit_count FROM capped JOIN books USING (guid) WHERE rn <= 3 ORDER BY score_rerank DESC, chunk_id LIMIT {K}""",
     "fts_topk": f"WITH {_DOC}, {_HIT} SELECT * FROM ft ORDER BY score DESC, chunk_id LIMIT {K}",
     "fts_topk_index": f"WITH {_DOC}, {_HIT} SELECT * FROM ft ORDER BY score DESC, chunk_id LIMIT {K}",
     "fts_topk_bm25": f"""WITH {_DOC}, {_HIT} SELECT chunk_id, round(sum(ln(1 + (big - n.n + 0.5) / (n.n + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / al))), 5) AS score
