@@ -6,7 +6,7 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.operators.chat import clean, rounds, summaries
@@ -14,6 +14,10 @@ from quire.plans.store import Store
 from quire.sources.files import manifest_csv, manifest_jsonl
 
 
+#: what --untrusted notes where no text is given
+UNTRUSTED = "Scanned text that isn't to be trusted: check the context and other sources."
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quire")
     p.add_argument("store")
@@ -43,7 +47,9 @@ def parser() -> argparse.ArgumentParser:
     c = command("tag")
     c.add_argument("guid", nargs="?"), c.add_argument("--add", default=""), c.add_argument("--remove", default=""), c.add_argument("--audit", action="store_true"), c.add_argument("--sample", type=int, default=5)
     c = command("annotate", "note")
-    c.add_argument("--from", dest="manifest", required=True), c.add_argument("-y", "--yes", action="store_true")
+    c.add_argument("--from", dest="manifest"), c.add_argument("-g", "--guid", action="append", default=[]), c.add_argument("-p", "--path", action="append", default=[])
+    c.add_argument("-u", "--untrusted", nargs="?", const=UNTRUSTED), c.add_argument("--replace", action="store_true"), c.add_argument("--show", type=int, default=20)
+    c.add_argument("-y", "--yes", action="store_true")
     c = command("rm", "remove")
     c.add_argument("folder", nargs="?"), c.add_argument("--guid", action="append", default=[]), c.add_argument("--yes", action="store_true")
     command("emb").add_argument("--all", action="store_true")
@@ -86,14 +92,25 @@ def run(spark: SparkSession, args: list[str]) -> tuple[int, object]:
             return int(any(c["defect"] != "empty" for c in got)), {"counts": got, "samples": rows(samples)}
         return 0, s.tag(a.guid, a.add, a.remove)
     if name in ("annotate", "note"):
-        m = manifest_csv(spark, a.manifest) if a.manifest.endswith(".csv") else manifest_jsonl(spark, a.manifest)
-        for c, kind in (("glossary", "map<string,string>"), ("note", "string"), ("source", "string")):
+        direct = bool(a.guid or a.path)
+        if bool(a.manifest) == direct or direct and a.untrusted is None:
+            return 2, {"error": "a manifest, or guids and paths with --untrusted"}
+        if direct:
+            rows_ = [(g, None) for g in a.guid] + [(None, p) for p in a.path]
+            m = spark.createDataFrame([((g, None, p, None), None, None, a.untrusted, "annotate:--untrusted") for g, p in rows_],
+                                      "match struct<guid:string,content_md5:string,source_path:string,title:string>, errata map<string,int>, glossary map<string,string>, note string, source string")
+        else:
+            m = manifest_csv(spark, a.manifest) if a.manifest.endswith(".csv") else manifest_jsonl(spark, a.manifest)
+        for c, kind in (("errata", "map<string,int>"), ("glossary", "map<string,string>"), ("note", "string"), ("source", "string")):
             if c not in m.columns:
                 m = m.withColumn(c, F.lit(None).cast(kind))
         fields = {f.name for f in m.schema["match"].dataType.fields}
         m = m.withColumn("match", F.struct(*[(F.col(f"match.{k}") if k in fields else F.lit(None).cast("string")).alias(k) for k in ("guid", "content_md5", "source_path", "title")]))
-        plan = rows(s.annotate(m, apply=a.yes))
-        return int(any(r["state"] != "matched" for r in plan)), plan
+        plan = s.annotate(m, apply=a.yes, replace=a.replace).persist()
+        counts = {r["state"]: r["n"] for r in plan.groupBy("state").agg(F.count("*").alias("n")).collect()}
+        # the first of each state are shown, all are counted
+        first = plan.withColumn("_n", F.row_number().over(Window.partitionBy("state").orderBy("row"))).where(F.col("_n") <= a.show).drop("_n")
+        return int(any(k != "matched" for k in counts)), {"counts": counts, "plan": rows(first.orderBy("state", "row"))}
     if name in ("rm", "remove"):
         if bool(a.folder) == bool(a.guid):
             return 2, {"error": "a folder or guids, not both"}

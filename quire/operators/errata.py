@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,63 @@ HAN_LETTER = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}"
 SIGNALS = ["script_mix", "accented_latin", "hyphen_break", "cjk_halluc", "kangxi_radical", "pua"]
 
 
+#: what a signal means and why it matters to who quotes the text
+MEANING = {
+    "script_mix": ("words of several scripts", "letters of another script stand within a word", "searches for the word miss it and names may be wrong"),
+    "accented_latin": ("Latin accents in Cyrillic words", "a Cyrillic word holds an accented Latin vowel", "the accent may be a misread letter"),
+    "hyphen_break": ("words cut at a line end", "a word was cut and never joined", "searches for the whole word miss it"),
+    "cjk_halluc": ("Han runs in a text of another script", "runs of Han characters where the text has none", "they may have been made up in recognition"),
+    "kangxi_radical": ("radicals for characters", "radical forms stand for the characters they look like", "searches for the character miss it"),
+    "pua": ("private characters", "characters without a public meaning", "what they showed is lost"),
+}
+#: signals that are told as a share of the words too
+OF_WORDS = ("script_mix", "accented_latin", "hyphen_break")
+_OWN = ("criteria_version", "not_applicable", "chars", "words", "notes", "glossary", "unregistered", *SIGNALS)
+
+
+def read_stats(stats_json: str | None) -> dict:
+    """Statistics as stored; what isn't a JSON object counts as none."""
+    try:
+        got = json.loads(stats_json or "{}")
+    except ValueError:
+        return {}
+    return got if isinstance(got, dict) else {}
+
+
+def payload(stats: dict | None) -> dict:
+    """A book's statistics for who reads it: counts, notes and an explanation of each signal that fired. Empty if they were
+    never computed. Keys from outside are explained by the glossary they came with, or said to be unexplained."""
+    if not stats or not stats.get("criteria_version"):
+        return {}
+    off = set(stats.get("not_applicable") or [])
+    out = {"criteria_version": stats["criteria_version"], "counts": {k: stats[k] for k in ("chars", "words", *SIGNALS) if k in stats}}
+    out |= {k: list(stats[k]) for k in ("not_applicable", "notes") if stats.get(k)}
+    told = {k: dict(zip(("label", "what", "harm"), MEANING[k])) for k in SIGNALS if (stats.get(k) or 0) > 0 and k not in off}
+    own = stats.get("glossary") or {}
+    told |= {k: {"label": k, "what": own.get(k, "not registered; no explanation")} for k, v in stats.items() if k not in _OWN and (v or k in own)}
+    return out | ({"glossary": told} if told else {})
+
+
+def trust(stats: dict | None, parse_mode: str | None = None) -> str:
+    """What a reader is told about a book's text: how it was read, what was found and what people noted. No signal isn't the
+    same as no error, and not computed isn't the same as none."""
+    p = payload(stats)
+    if not p:
+        return "not computed: the absence of counts says nothing about errors"
+    how = {"txt": "text layer", "ocr": "recognised from images"}.get(parse_mode or "", parse_mode or "unknown way of reading")
+    found, words = [], stats.get("words") or 0
+    for k, g in p.get("glossary", {}).items():
+        v = stats.get(k)
+        if isinstance(v, int) and v > 0:
+            found.append(f"{g['label']}: {v}" + (f" ({100 * v / words:.1f} % of the words)" if k in OF_WORDS and words else ""))
+    lines = [f"{how}; " + ("; ".join(found) if found else "no signal, which covers the listed kinds of error alone")]
+    lines += [f"note ({n.get('source', '?')}): {n.get('text', '')}" for n in (stats.get("notes") or [])]
+    lines += [f"{k}: {g['what']}" + (f", so {g['harm']}" if "harm" in g else "") for k, g in p.get("glossary", {}).items()]
+    if stats.get("unregistered"):
+        lines.append("unexplained: " + ", ".join(sorted({str(u.get("key")) for u in stats["unregistered"]})))
+    return "\n".join(lines)
+
+
 def errata(c: Column) -> Column:
     """A struct of counts. Han runs are no error in a text that is Han anyway; the count is then 0 and listed as not
     applicable, which isn't the same as 0."""

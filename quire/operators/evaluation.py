@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import cut
+
 
 def length_stats(rows: DataFrame, text: str) -> DataFrame:
     """calls, distinct, shortest, upper median and longest length."""
@@ -35,8 +37,13 @@ def auroc(rows: DataFrame, score: str, label: str, higher_is_positive: bool = Tr
     s = F.col(score) if higher_is_positive else -F.col(score)
     g = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(s.alias("s")).agg(
         F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return g.withColumn("u", F.col("p") * (below + F.col("q") / 2)).agg(
+    # ranges of scores, each summed in its own task; what lies below a range is a sum over as many rows as there are ranges
+    parts = cut(g.repartitionByRange("s").withColumn("part", F.spark_partition_id()))
+    whole = parts.groupBy("part").agg(F.sum("q").alias("n"))
+    before = whole.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    own = F.sum("q").over(Window.partitionBy("part").orderBy("s")) - F.col("q")
+    below = parts.withColumn("own", own).join(F.broadcast(before), "part").withColumn("below", F.col("before") + F.col("own"))
+    return below.withColumn("u", F.col("p") * (F.col("below") + F.col("q") / 2)).agg(
         F.round(F.try_divide(F.sum("u"), F.sum("p") * F.sum("q")), 6).alias("auroc"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
 
 
@@ -61,13 +68,18 @@ def health_window(log: DataFrame, who: str, order: list[str], failed: Column, n:
     return log.withColumn("failures_in_window", F.sum(failed.cast("int")).over(w))
 
 
-def health_states(log: DataFrame, who: str, order: list[str], failed: Column, down_after: int = 4) -> DataFrame:
-    """healthy, degraded or down after each call: consecutive failures since the last success."""
-    w = Window.partitionBy(who).orderBy(*order)
-    since = F.sum((~failed).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    s = log.withColumn("_f", failed).withColumn("_g", since)
+def health_states(log: DataFrame, who: str, order: list[str], failed: Column, down_after: int = 4, refused: Column | None = None) -> DataFrame:
+    """State after each call. misconfigured: the call was refused for its credentials, which is no failure of the other side;
+    down or degraded: so many failures since the last success; healthy; unknown: no outcome so far (null isn't one)."""
+    no = F.lit(False)
+    bad = F.coalesce(refused, no) if refused is not None else no
+    w = Window.partitionBy(who).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    s = log.withColumn("_f", F.coalesce(failed, no) & ~bad).withColumn("_r", bad).withColumn("_ok", F.coalesce(~failed, no) & ~bad)
+    s = s.withColumn("_g", F.sum((F.col("_ok") | F.col("_r")).cast("int")).over(w)).withColumn("_n", F.sum(F.col("_ok").cast("int")).over(w))
     run = F.sum(F.col("_f").cast("int")).over(Window.partitionBy(who, "_g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return s.withColumn("consecutive", run).withColumn("state", F.when(F.col("consecutive") >= down_after, "down").when(F.col("consecutive") > 0, "degraded").otherwise("healthy")).drop("_f", "_g")
+    state = (F.when(F.col("_r"), "misconfigured").when(F.col("consecutive") >= down_after, "down").when(F.col("consecutive") > 0, "degraded")
+             .when(F.col("_n") > 0, "healthy").otherwise("unknown"))
+    return s.withColumn("consecutive", run).withColumn("state", state).drop("_f", "_r", "_ok", "_g", "_n")
 
 
 def errors(rows: DataFrame, kind: str, message: str, example: str) -> DataFrame:

@@ -104,11 +104,14 @@ def orphan_cascade(entities: list[Entity], fks: list[ForeignKey], max_rounds: in
             child = records[n].select("_key", "_ts", F.col(f"_ref{i}").alias("_ref")).where("_ref is not null")
             parent = records[fk.parent].select(F.col("_key").alias("_ref"), F.col("_ts").alias("_parent_ts"), F.lit(True).alias("_found"))
             child, parent, extra = _spread(child, parent, fk.salt)
-            found = child.join(parent, ["_ref", *extra], "left")
+            # a parent that isn't salted is as large as its children: merged, never broadcast
+            found = child.join(parent if extra else parent.hint("merge"), ["_ref", *extra], "left")
             found = found.where("_found is null or _parent_ts > _ts")
             if fk.deleted is not None:
-                gone = fk.deleted.select(F.col(fk.deleted.columns[0]).alias("_ref")).where("_ref is not null").distinct()
-                found = found.join(gone.withColumn("_gone", F.lit(True)), "_ref", "left")
+                gone = fk.deleted.select(F.col(fk.deleted.columns[0]).alias("_ref")).where("_ref is not null").distinct().withColumn("_gone", F.lit(True))
+                # the children of one deleted parent are spread as before
+                gone = gone.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(fk.salt - 1)))) if extra else gone
+                found = found.join(gone, ["_ref", *extra], "left")
             else:
                 found = found.withColumn("_gone", F.lit(None).cast("boolean"))
             out.append(found.select(
@@ -125,8 +128,8 @@ def orphan_cascade(entities: list[Entity], fks: list[ForeignKey], max_rounds: in
     def heirs(n: str, fk: ForeignKey, i: int, affected: DataFrame) -> DataFrame:
         child = records[n].select("_key", "_ts", F.col(f"_ref{i}").alias("_ref")).where("_ref is not null")
         child, keys, extra = _spread(child, affected.withColumnRenamed("_key", "_ref"), fk.salt)
-        return child.join(keys, ["_ref", *extra], "left_semi").join(
-            directs[n][i].select(F.col("row_key").alias("_dk")), F.col("_key").cast("string") == F.col("_dk"), "left_anti"
+        return child.join(keys.hint("merge"), ["_ref", *extra], "left_semi").join(
+            directs[n][i].select(F.col("row_key").alias("_dk")).hint("merge"), F.col("_key").cast("string") == F.col("_dk"), "left_anti"
         ).select(F.lit(n).alias("table_name"), F.col("_key").cast("string").alias("row_key"), F.lit(fk.parent).alias("parent_table"),
                  F.col("_ref").cast("string").alias("ref_key"), F.lit("inherited").alias("ref_state"),
                  F.lit("inherited").alias("orphan_kind"), F.col("_ts").alias("earliest_ts"))

@@ -21,7 +21,7 @@ from quire.functions.text import front_matter, path_key, snippet, without_front_
 from quire.operators.chat import clean, rounds, summaries
 from quire.operators.chunking import Chunker, book_card
 from quire.operators.embedding import embed_texts
-from quire.operators.errata import merge_stats, note
+from quire.operators.errata import merge_stats, note, payload, read_stats, trust
 from quire.operators.fulltext import postings, write_postings
 from quire.operators.ledger import alive, deletion, match_manifest, missing_guids, tag_audit, tag_cloud, with_counts
 from quire.plans.search import Engine, SearchResult
@@ -281,11 +281,12 @@ class Store:
         b = self.table("book").where(F.lower("guid") == guid.lower())
         c = self.table("chunk").where((F.lower("guid") == guid.lower()) & F.col("chunk_seq").between(max(1, seq - k), seq + k))
         raw = F.when(F.col("has_pua"), F.expr("substring(whole, cast(char_start as int) + 1, char_len)")).otherwise(F.col("content"))
-        j = c.join(b.select("guid", F.col("content").alias("whole"), "source_path", note(F.col("errata_stats")).alias("trust")), "guid")
-        got = j.select("chunk_seq", "heading_path", raw.alias("text"), "source_path", "trust").orderBy("chunk_seq").collect()
+        j = c.join(b.select("guid", F.col("content").alias("whole"), "source_path", note(F.col("errata_stats")).alias("trust"), "errata_stats"), "guid")
+        got = j.select("chunk_seq", "heading_path", raw.alias("text"), "source_path", "trust", "errata_stats").orderBy("chunk_seq").collect()
         if not any(r["chunk_seq"] == seq for r in got):
             return {"error": f"no chunk {seq} in {guid}"}
-        return {"chunks": [{"chunk_seq": r["chunk_seq"], "heading_path": r["heading_path"], "text": r["text"]} for r in got], "book_path": got[0]["source_path"], "text_trust": got[0]["trust"]}
+        return {"chunks": [{"chunk_seq": r["chunk_seq"], "heading_path": r["heading_path"], "text": r["text"]} for r in got], "book_path": got[0]["source_path"],
+                "text_trust": got[0]["trust"], "text_errata": payload(stats := read_stats(got[0]["errata_stats"])), "text_note": trust(stats)}
 
     # changes
 
@@ -320,8 +321,9 @@ class Store:
     def audit_tags(self, samples: int = 5) -> tuple[DataFrame, DataFrame]:
         return tag_audit(self.table("book"), G.reserved_words(self.spark), samples)
 
-    def annotate(self, manifest: DataFrame, apply: bool = False) -> DataFrame:
-        """The plan of an annotation manifest, and its application if asked. manifest as the sources read it."""
+    def annotate(self, manifest: DataFrame, apply: bool = False, replace: bool = False) -> DataFrame:
+        """The plan of an annotation manifest, and its application if asked, upon what is known or in place of it. manifest as
+        the sources read it."""
         m = manifest.withColumn("row", F.monotonically_increasing_id().cast("string"))
         m = m.select("row", *[F.col(f"match.{k}").alias(k) for k in ("guid", "content_md5", "source_path", "title")], "errata", "glossary", "note", "source")
         b = self.table("book").withColumn("content_md5", F.md5("content"))
@@ -330,7 +332,7 @@ class Store:
             @F.pandas_udf("string")
             def merged(old: pd.Series, changes: pd.Series) -> pd.Series:
                 def one(o, cs):
-                    got = json.loads(o or "{}")
+                    got = {} if replace else read_stats(o)
                     for c in cs:
                         got = merge_stats(got, json.loads(c["errata"] or "null"), c["source"] or "annotate:", c["note"], json.loads(c["glossary"] or "null"))
                     return json.dumps(got, ensure_ascii=False, sort_keys=True)

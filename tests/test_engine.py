@@ -1,6 +1,7 @@
 import base64
 import io
 import json
+import random
 import re
 import zipfile
 
@@ -15,7 +16,7 @@ from quire.functions.tokenizer import index_terms, query_terms_col, raw_terms, s
 from quire.operators.chat import chat_format, clean, clean_lines, rounds, summaries
 from quire.operators.chunking import Chunker, seen_len, sections
 from quire.operators.errata import errata, fired, note
-from quire.operators.evaluation import auroc
+from quire.operators.evaluation import auroc, health_states
 from quire.operators.fulltext import postings, rank, rank_postings, write_postings
 from quire.operators.ledger import match_manifest, reconcile
 from quire.operators.parsed import box01, inline_text, is_footnote
@@ -296,3 +297,18 @@ def test_postings_equal_the_scan(spark, tmp_path):
         assert want and sorted(map(tuple, rank_postings(index, ["b", "c", "a"], None, mode=mode).collect())) == want
     assert rank_postings(index, [], None).count() == 0 and index.where("part = -1").count() == 4
     write_postings(postings(fts.limit(0)), str(tmp_path / "q"))
+
+
+def test_states_of_health(spark):
+    log = [("a", i, o) for i, o in enumerate([None, "bad", "bad", "refused", "bad", "ok", "bad", "bad", "bad", "bad", "ok"])] + [("b", 0, "ok")]
+    df = spark.createDataFrame(log, "who string, at int, outcome string")
+    got = health_states(df, "who", ["at"], F.col("outcome") == "bad", refused=F.col("outcome") == "refused").where("who = 'a'").orderBy("at").collect()
+    assert [r["state"] for r in got] == ["unknown", "degraded", "degraded", "misconfigured", "degraded", "healthy", "degraded", "degraded", "degraded", "down", "healthy"]
+
+
+def test_auroc_over_many_ranges(spark):
+    rng = random.Random(5)
+    data = [(rng.choice([rng.random(), 0.5, 0.25]), rng.random() < 0.4) for _ in range(400)]
+    want = sum((a > b) + (a == b) / 2 for a, x in data if x for b, y in data if not y) / (sum(x for _, x in data) * sum(not x for _, x in data))
+    df = spark.createDataFrame(data + [(None, True), (0.1, None)], "s double, l boolean")
+    assert abs(auroc(df, "s", "l").first()["auroc"] - want) < 1e-6 and auroc(df.limit(0), "s", "l").first()["auroc"] is None

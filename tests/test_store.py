@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import quire.plans.store as stores
 from quire.cli import run
-from quire.operators.errata import merge_stats
+from quire.operators.errata import merge_stats, payload, read_stats, trust
 from quire.operators.fulltext import rank, rank_postings
 from quire.operators.images import best_reading, ocr, references, remap, resolve, with_ocr
 from quire.plans.store import Store
@@ -41,8 +41,12 @@ def test_life_of_a_store(spark, store):
     assert {(t["tag"], t["n"]) for t in run(spark, [at, "tags"])[1]} == {("geology", 2), ("minerals", 1), ("rocks", 1)}
     m = tmp / "m.jsonl"
     m.write_text(json.dumps({"match": {"guid": guid}, "errata": {"pua": 9, "odd": 1}, "note": "n", "source": "import:a"}) + "\n")
-    assert run(spark, [at, "annotate", "--from", str(m), "--yes"])[1][0]["state"] == "matched"
-    assert "pua: 9" in run(spark, [at, "read", guid, "1"])[1]["text_trust"]
+    assert run(spark, [at, "annotate", "--from", str(m), "--yes"])[1]["counts"] == {"matched": 1}
+    r = run(spark, [at, "read", guid, "1"])[1]
+    assert "pua: 9" in r["text_trust"] and r["text_errata"]["counts"]["pua"] == 9 and r["text_errata"]["glossary"]["pua"]["label"] == "private characters" and "note (import:a): n" in r["text_note"]
+    assert run(spark, [at, "annotate", "-g", guid])[0] == 2 and run(spark, [at, "annotate", "-g", "none", "-u"])[0] == 1
+    assert run(spark, [at, "annotate", "-p", str(tmp / "shelf/geology/stones.md"), "-u", "by hand", "--replace", "-y"])[1]["counts"] == {"matched": 1}
+    assert run(spark, [at, "read", guid, "1"])[1]["text_note"].startswith("not computed")
     assert run(spark, [at, "rm", "--guid", guid])[1]["removed"]["book"] == 1 and len(run(spark, [at, "list"])[1]) == 2
     assert run(spark, [at, "rm", "--guid", guid, "--yes"])[0] == 0 and len(run(spark, [at, "list"])[1]) == 1
     assert run(spark, [at, "rm"])[0] == 2 and run(spark, [at, "reset"])[0] == 1 and run(spark, [at, "reset", "--yes"])[0] == 0 and run(spark, [at, "buckets"])[1] == []
@@ -59,6 +63,15 @@ def test_chats_and_notes(spark, tmp_path):
     assert run(spark, [at, "clean-chat", str(tmp_path / "c/a.md")])[1]["summary"] == "Hello?"
 
 
+def test_payload_and_note():
+    s = {"criteria_version": "v1", "words": 200, "hyphen_break": 3, "pua": 0, "cjk_halluc": 5, "not_applicable": ["cjk_halluc"], "mine": 2, "glossary": {"mine": "own"}, "notes": [{"source": "a", "text": "b"}]}
+    p = payload(s)
+    assert set(p["glossary"]) == {"hyphen_break", "mine"} and p["notes"] and payload({}) == {} == payload(None) and read_stats("[1]") == {} == read_stats("{")
+    t = trust(s, "ocr")
+    assert "words cut at a line end: 3 (1.5 % of the words)" in t and t.startswith("recognised from images") and "note (a): b" in t and trust({}).startswith("not computed")
+    assert "no signal" in trust({"criteria_version": "v1"}, "txt")
+
+
 def test_merge_stats():
     a = merge_stats({"pua": 1}, {"pua": 3, "odd": 2, "mine": 4}, "s", "text", {"mine": "why"})
     assert a["pua"] == 3 and a["mine"] == 4 and a["unregistered"] == [{"key": "odd", "value": 2, "source": "s"}]
