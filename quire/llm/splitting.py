@@ -6,7 +6,7 @@ rightmost of equal ones; the next piece begins the overlap's tokens before the c
 their own; if one is then over the limit, its window is shortened by the excess.
 
 Defined results: null, empty and short texts have no pieces; a text without any boundary is cut between characters; a
-cut never splits a character; repeated rows are pieces of their own keys; extra columns are ignored; texts of any
+cut never splits a character; only a single character of more tokens than the limit is over it; repeated rows are pieces of their own keys; extra columns are ignored; texts of any
 length are processed whole.
 """
 
@@ -45,12 +45,13 @@ def strengths(text: str) -> np.ndarray:
 class RangeMax:
     """The position of the greatest value in a range, the rightmost of equal ones."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, longest: int | None = None):
+        """`longest`: no range that is asked for is longer, so tables of longer ones aren't needed."""
         n = len(values)
         self.n, v = n, values.astype(np.int64) * (n + 1) + np.arange(n)
         self.rows = [v]
         k = 1
-        while 2 * k <= n:
+        while 2 * k <= min(n, longest or n):
             v = np.maximum(v[:-k], v[k:])
             self.rows.append(v)
             k *= 2
@@ -75,7 +76,7 @@ def pieces(text: str, limit: int, overlap: int, path: str, shortest: float = 0.5
     char = np.searchsorted(starts, ends)
     whole = starts[np.minimum(char, len(starts) - 1)] == ends
     s = np.where(whole, strengths(text)[np.minimum(char, len(text))], -1)
-    table, out, a = RangeMax(s), [], 0
+    table, out, a = RangeMax(s, limit + 1), [], 0
     while True:
         if n - a <= limit:
             m = len(e.encode_ordinary(text[char[a]:]))
@@ -89,10 +90,18 @@ def pieces(text: str, limit: int, overlap: int, path: str, shortest: float = 0.5
             if s[b] < 0:  # no whole character within the window
                 b = next((x for x in range(hi, a, -1) if whole[x]), hi)
             m = len(e.encode_ordinary(text[char[a] : char[b]]))
-            if m <= limit or most <= overlap + 2:
+            if m <= limit:
                 break
             most -= max(m - limit, 1)
+            if most <= overlap + 2:
+                # no window is left: the longest piece of whole characters within the limit, one character at least
+                fits = (x for x in range(a + min(limit, n - a), a, -1) if whole[x] and char[x] > char[a] and len(e.encode_ordinary(text[char[a] : char[x]])) <= limit)
+                b = next(fits, None) or next((x for x in range(a + 1, n + 1) if whole[x] and char[x] > char[a]), n)
+                m = len(e.encode_ordinary(text[char[a] : char[b]]))
+                break
         out.append((int(char[a]), int(char[b]), m, int(s[b])))
+        if b >= n:
+            return out
         nxt = b - overlap
         while nxt > a and not whole[nxt]:
             nxt -= 1
