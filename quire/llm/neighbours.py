@@ -26,6 +26,8 @@ from quire.session import cut
 #: rows of a block: two blocks are held by one task
 BLOCK = 32_768
 _ROWS, _COLS, _PAIRS = 512, 4_096, 65_536
+#: below every similarity
+NO_BOUND = -2.0
 
 
 def usable(df: DataFrame, key: str, vec: str, ts: str | None, dims: int) -> DataFrame:
@@ -43,14 +45,12 @@ def usable(df: DataFrame, key: str, vec: str, ts: str | None, dims: int) -> Data
     return first.mapInArrow(pack, "id bigint, vec binary")
 
 
-def _codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes, scales and the length of what is lost. Codes are held as float32 while the sums of their products stay exact
-    in it (127 * 127 * dims below 2**24), else as float64."""
-    s = np.abs(x).max(axis=1) / 127
-    s[s == 0] = 1
-    q = np.rint(x / s[:, None])
-    q = q if 127 * 127 * x.shape[1] < 1 << 24 else q.astype(np.float64)
-    return q, s, np.linalg.norm(x - q * s[:, None], axis=1) + 1e-6
+def _codes(x: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """int8 codes of `x` in steps of `scale`, and the length of what each row loses. Codes are held as float32 while the sums of
+    their products stay exact in it (127 * 127 * dims below 2**24), else as float64."""
+    q = np.rint(x / scale)
+    lost = np.linalg.norm(x - q * scale, axis=1) + 1e-6
+    return q.astype(np.float32 if 127 * 127 * x.shape[1] < 1 << 24 else np.float64), lost
 
 
 def _best(row: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
@@ -65,50 +65,52 @@ def _best(row: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> np.nda
 def tile(li: np.ndarray, lv: np.ndarray, ri: np.ndarray, rv: np.ndarray, k: int, min_sim: float | None, both: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, other, sim): the k best in `ri` of each of `li` and, with both, the k best in `li` of each of `ri`."""
     lv64, rv64 = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (lv.astype(np.float64), rv.astype(np.float64)))
-    ql, sl, el = _codes(lv64.astype(np.float32))
-    qr, sr, er = _codes(rv64.astype(np.float32))
+    # one step for both sides, so the products compare as they are, without being scaled first
+    scale = max(np.abs(lv64).max(initial=0), np.abs(rv64).max(initial=0)) / 127 or 1.0
+    (ql, el), (qr, er) = _codes(lv64, scale), _codes(rv64, scale)
+    unit = scale * scale
     kept: list[tuple[np.ndarray, ...]] = []
-    kth_l = np.full(len(li), -2.0 if min_sim is None else min_sim, dtype=np.float32)
-    kth_r = np.full(len(ri), -2.0 if min_sim is None else min_sim, dtype=np.float32)
+    kth_l = np.full(len(li), NO_BOUND if min_sim is None else min_sim, dtype=np.float32)
+    kth_r = np.full(len(ri), NO_BOUND if min_sim is None else min_sim, dtype=np.float32)
     # where each of `li` stands in `ri` (or -1): no row is its own neighbour, so its own product must not raise a bound either
     order = np.argsort(ri)
     at = order[np.minimum(np.searchsorted(ri, li, sorter=order), len(ri) - 1)] if len(ri) else np.zeros(len(li), np.int64)
     self_at = np.where(ri[at] == li, at, -1) if len(ri) else at - 1
 
-    def raise_(kth: np.ndarray, at: slice, low: np.ndarray, axis: int, mask: np.ndarray) -> None:
+    def raise_(kth: np.ndarray, start: int, part: np.ndarray, dense: np.ndarray, slack: float) -> None:
         """The k-th best lower bound within this part is a bound for the whole."""
-        n = mask.sum(axis=axis)
-        dense = np.flatnonzero(n > 4 * k)
-        if len(dense):
-            part = low[dense] if axis == 1 else low[:, dense].T
-            if part.shape[1] > k:
-                got = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k]
-                idx = dense + at.start
-                kth[idx] = np.maximum(kth[idx], got)
+        if len(dense) and part.shape[1] > k:
+            low = np.partition(part[dense], part.shape[1] - k, axis=1)[:, part.shape[1] - k] * unit - slack
+            kth[dense + start] = np.maximum(kth[dense + start], low)
+
+    def many(rows: np.ndarray, n: int) -> np.ndarray:
+        return np.flatnonzero(np.bincount(rows, minlength=n) > 4 * k)
 
     for a in range(0, len(li), _ROWS):
         sa = slice(a, min(a + _ROWS, len(li)))
         for b in range(0, len(ri), _COLS):
             sb = slice(b, min(b + _COLS, len(ri)))
             s = ql[sa] @ qr[sb].T
-            s *= sl[sa, None]
-            s *= sr[None, sb]
             own = np.flatnonzero((self_at[sa] >= b) & (self_at[sa] < sb.stop))
             s[own, self_at[sa][own] - b] = -np.inf
             bound = el[sa].max() + er[sb].max() + el[sa].max() * er[sb].max()
+            # rows without any bound get one first, else all of their cells would be candidates
+            raise_(kth_l, a, s, np.flatnonzero(kth_l[sa] <= NO_BOUND), bound)
+            if both:
+                raise_(kth_r, b, s.T, np.flatnonzero(kth_r[sb] <= NO_BOUND), bound)
             base = min(kth_l[sa].min(), kth_r[sb].min()) if both else kth_l[sa].min()
-            if s.max() + bound < base:
+            # 1e-6: thresholds are float32
+            at = np.flatnonzero(s.ravel() >= (base - bound - 1e-6) / unit)
+            if not len(at):
                 continue
-            up = s + bound
-            wl = up >= kth_l[sa, None]
-            raise_(kth_l, sa, s - bound, 1, wl)
-            want = up >= kth_l[sa, None]
+            r, c = np.divmod(at, s.shape[1])
+            up = s.ravel()[at] * unit + bound + 1e-6
+            raise_(kth_l, a, s, many(r[up >= kth_l[sa][r]], s.shape[0]), bound)
+            want = up >= kth_l[sa][r]
             if both:
-                wr = up >= kth_r[None, sb]
-                raise_(kth_r, sb, s - bound, 0, wr)
-                want |= up >= kth_r[None, sb]
-            r, c = np.nonzero(want)
-            r, c = r + a, c + b
+                raise_(kth_r, b, s.T, many(c[up >= kth_r[sb][c]], s.shape[1]), bound)
+                want |= up >= kth_r[sb][c]
+            r, c = r[want] + a, c[want] + b
             for p in range(0, len(r), _PAIRS):
                 x, y = r[p : p + _PAIRS], c[p : p + _PAIRS]
                 sim = np.round(np.einsum("ij,ij->i", lv64[x], rv64[y]), 7)

@@ -211,9 +211,9 @@ def test_groups_of_near_copies_in_every_mode(spark, copies, least):
 
 
 def test_products_stay_exact_in_many_dimensions():
-    x = np.ones((1, 2000), np.float32)
-    q, s, _ = neighbours._codes(x)
-    assert (q @ q.T)[0, 0] == 2000 * 127 * 127 and q.dtype == np.float64 and neighbours._codes(x[:, :64])[0].dtype == np.float32
+    x = np.ones((1, 2000))
+    q, _ = neighbours._codes(x, 1 / 127)
+    assert (q @ q.T)[0, 0] == 2000 * 127 * 127 and q.dtype == np.float64 and neighbours._codes(x[:, :64], 1 / 127)[0].dtype == np.float32
 
 
 def test_knn_of_queries_and_nothing(spark):
