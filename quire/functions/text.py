@@ -87,6 +87,17 @@ def utf16_length(c: Column) -> Column:
     return (F.length(F.encode(c, "UTF-16LE")) / 2).cast("int")
 
 
+def composed(c: Column) -> Column:
+    """Canonical composed form (names of files come decomposed from some systems). Only text with combining marks meets Python."""
+
+    @F.pandas_udf("string")
+    def nfc(s):
+        return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    plain = ~c.rlike(r"[\p{M}\x{1100}-\x{11FF}]")
+    return F.when(plain, c).otherwise(nfc(F.when(plain, None).otherwise(c)))
+
+
 def windows_path(c: Column) -> Column:
     """/mnt/x/a/b -> X:\\a\\b; other paths with backslashes become as they are."""
     drive = F.regexp_extract(c, r"^/mnt/([A-Za-z])(?:/|$)", 1)

@@ -104,8 +104,8 @@ def orphan_cascade(entities: list[Entity], fks: list[ForeignKey], max_rounds: in
             child = records[n].select("_key", "_ts", F.col(f"_ref{i}").alias("_ref")).where("_ref is not null")
             parent = records[fk.parent].select(F.col("_key").alias("_ref"), F.col("_ts").alias("_parent_ts"), F.lit(True).alias("_found"))
             child, parent, extra = _spread(child, parent, fk.salt)
-            # a parent that isn't salted is as large as its children: merged, never broadcast
-            found = child.join(parent if extra else parent.hint("merge"), ["_ref", *extra], "left")
+            # parents grow with the data: merged, never broadcast
+            found = child.join(parent.hint("merge"), ["_ref", *extra], "left")
             found = found.where("_found is null or _parent_ts > _ts")
             if fk.deleted is not None:
                 gone = fk.deleted.select(F.col(fk.deleted.columns[0]).alias("_ref")).where("_ref is not null").distinct().withColumn("_gone", F.lit(True))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.tags import any_tag, for_query
 from quire.functions.text import snippet
-from quire.functions.tokenizer import raw_terms, salvage_terms, split_terms
+from quire.functions.tokenizer import STOPWORDS, raw_terms, salvage_terms, split_terms
 from quire.operators.fulltext import rank, rank_postings, substring_hits
 from quire.operators.vectors import nearest
 
@@ -98,8 +98,9 @@ class Engine:
     a score; both are optional and their absence or failure is reported, never silent."""
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], embed: Callable[[str], list[float]] | None = None,
-                 rerank: Callable[[str, list[str]], list[float]] | None = None, max_per_book: int = DEFAULT_MAX_PER_BOOK, dims: int = 64):
-        self.spark, self.t, self.embed, self.rerank, self.max_per_book, self.dims = spark, tables, embed, rerank, max_per_book, dims
+                 rerank: Callable[[str, list[str]], list[float]] | None = None, max_per_book: int = DEFAULT_MAX_PER_BOOK, dims: int = 64,
+                 stopwords: frozenset[str] = STOPWORDS):
+        self.spark, self.t, self.embed, self.rerank, self.max_per_book, self.dims, self.stopwords = spark, tables, embed, rerank, max_per_book, dims, stopwords
         self.default_tags: str | None = None
 
     def set_default_tags(self, tags: str = "") -> str | None:
@@ -124,7 +125,7 @@ class Engine:
         if category not in (None, "book", *WHOLE):
             raise ValueError(f"category: book, {', '.join(WHOLE)} or none")
         wanted = for_query(tags if tags is not None else self.default_tags)
-        kept, pruned = split_terms(query)
+        kept, pruned = split_terms(query, self.stopwords)
         meta = {"mode": "hybrid", "fallback": None, "degraded": [], "salvaged": False, "retried_unpruned": False, "query_terms": {"kept": kept, "pruned": pruned}}
         if pruned and len(pruned) >= len(kept):
             meta["degraded"].append("most of the query's words were pruned")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import tags as G
-from quire.functions.tokenizer import index_text
+from quire.functions.tokenizer import STOPWORDS, index_text
 from quire.functions.text import front_matter, path_key, snippet, without_front_matter
 from quire.operators.chat import clean, rounds, summaries
 from quire.operators.chunking import Chunker, book_card
@@ -24,7 +24,8 @@ from quire.operators.embedding import embed_texts
 from quire.operators.errata import merge_stats, note, payload, read_stats, trust
 from quire.operators.fulltext import postings, write_postings
 from quire.operators.ledger import alive, deletion, match_manifest, missing_guids, tag_audit, tag_cloud, with_counts
-from quire.plans.search import Engine, SearchResult
+from quire.plans.search import DEFAULT_MAX_PER_BOOK, Engine, SearchResult
+from quire.sources.config import Config
 from quire.sources.files import binary_files, chats, importable, notes, utf8
 from quire.streaming.ingest import books_of, import_books
 
@@ -49,7 +50,9 @@ NAMED = 1000
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, embed=None, rerank=None, dims: int = 64):
+    def __init__(self, spark: SparkSession, path: str, embed=None, rerank=None, dims: int = 64, config: Config | None = None):
+        """config: `search.default_tags`, `search.stopwords` (a list) and `chunking.max_per_book` are read from it."""
+        self.config = config or Config({})
         self.spark, self.path, self.embed, self.rerank, self.dims = spark, path.rstrip("/"), embed, rerank, dims
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         self._p = jvm.org.apache.hadoop.fs.Path
@@ -224,7 +227,10 @@ class Store:
         # ids first, texts of the hits last
         t["text"] = t["chunk"].select("chunk_id", F.lit(0).alias("first"), "content")
         t["chunk"] = t["chunk"].drop("content")
-        return Engine(self.spark, t, self.embed, self.rerank, dims=self.dims)
+        words = self.config.get("search.stopwords")
+        e = Engine(self.spark, t, self.embed, self.rerank, int(self.config.get("chunking.max_per_book", DEFAULT_MAX_PER_BOOK)), self.dims, STOPWORDS if words is None else frozenset(words))
+        e.set_default_tags(self.config.get("search.default_tags", "") or "")
+        return e
 
     def search(self, query: str, **kw) -> SearchResult:
         return self.engine().search(query, **kw)

@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none (tests)."""
+    """The folder all executors share, which the session names. Where it names none, as in tests on one machine, a folder of
+    our own that goes with the driver; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + os.path.join(tempfile.gettempdir(), "quire-shared")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="quire-shared-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        where = "file://" + _own[app]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
+#: folders of our own by application
+_own: dict[str, str] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and continue from there, so that it is computed once and
     survives the loss of an executor."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quire.functions.text import collapse_whitespace, windows_path
+from quire.functions.text import collapse_whitespace, composed, windows_path
 from quire.functions.tokenizer import index_text
 from quire.operators.chunking import Chunker, chunk_books
 from quire.operators.errata import errata
@@ -27,7 +27,7 @@ def books_of(files: DataFrame) -> DataFrame:
     packed = archive_members(f).where(F.col("member") == MARKER).select("path", text_of(F.col("bytes")).alias("text"))
     every = text.unionByName(packed).unionByName(epub_text(f).where("text is not null"))
     plain = F.regexp_replace("path", "^file:/*", "/")
-    return every.select(F.md5(windows_path(plain)).alias("guid"), plain.alias("source_path"), F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("title"),
+    return every.select(F.md5(windows_path(plain)).alias("guid"), plain.alias("source_path"), composed(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)).alias("title"),
                         collapse_whitespace(F.col("text")).alias("content")).withColumn("errata_stats", F.to_json(errata(F.col("content"))))
 
 

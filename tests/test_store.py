@@ -11,6 +11,7 @@ from quire.operators.errata import merge_stats, payload, read_stats, trust
 from quire.operators.fulltext import rank, rank_postings
 from quire.operators.images import best_reading, ocr, references, remap, resolve, with_ocr
 from quire.plans.store import Store
+from quire.sources.config import Config
 from quire.sources.files import binary_files, refused
 
 
@@ -170,3 +171,15 @@ def test_search_of_all_kinds_of_documents(spark, tmp_path):
     assert run(spark, [s.path, "find-book", "slate"])[0] == 1
     s.remove(s.under(str(tmp_path / "b")))
     assert s.table("card").count() == s.table("posting").count() == 0
+
+
+def test_settings_and_composed_titles(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b/café.md").write_text("slate of the quarry"), (tmp_path / "b/plain.md").write_text("slate")
+    s = Store(spark, str(tmp_path / "s"), config=Config({"search": {"stopwords": ["slate"], "default_tags": "kept"}, "chunking": {"max_per_book": 1}}))
+    s.import_books(str(tmp_path / "b"), "shelf", tags="kept", directory_tag=False)
+    assert {r["title"] for r in s.table("book").select("title").collect()} == {"café", "plain"}
+    r = s.search("slate quarry")
+    assert r.meta["query_terms"] == {"kept": ["quarry"], "pruned": ["slate"]} and r.results.count() == 1
+    s.config.values["search"]["default_tags"] = "other"
+    assert s.search("quarry").results.count() == 0 and s.search("quarry", tags="kept").results.count() == 1
