@@ -36,5 +36,5 @@ def p9_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd.unionByName(far)
 
 
-QUERIES = {"p9_violations": p9_violations, "p9_chosen": p9_chosen, "p9_shares": p9_shares}
+QUERIES = {"p9_chosen": p9_chosen, "p9_shares": p9_shares, "p9_violations": p9_violations}
 SQL = {"p9_violations": "SELECT source, 'record' AS what FROM mix_targets WHERE false"}
