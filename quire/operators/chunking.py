@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import bisect
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -30,28 +32,30 @@ _SENTENCE = re.compile(r"[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]
 _PUA = re.compile("[-\U000f0000-\U000ffffd\U00100000-\U0010fffd]")
 
 
-class _Seen(dict):
-    """1 for visible characters, 0 for separators, controls, formats and surrogates; looked up once per character."""
+#: by code point: 1 for visible characters, 0 for separators, controls, formats and surrogates, -1 while not looked up
+_SEEN = np.full(sys.maxunicode + 1, -1, np.int8)
 
-    def __missing__(self, c: str) -> int:
-        k = unicodedata.category(c)
-        self[c] = got = int(not (k[0] == "Z" or k in ("Cc", "Cf", "Cs")))
-        return got
 
+def _codes(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
 
-class _Bytes(dict):
-    def __missing__(self, c: str) -> int:
-        self[c] = got = len(c.encode("utf-8", "surrogatepass"))
-        return got
+
+def _visible(code: np.ndarray) -> np.ndarray:
+    got = _SEEN[code]
+    if (got < 0).any():
+        for c in np.unique(code[got < 0]).tolist():
+            k = unicodedata.category(chr(c))
+            _SEEN[c] = not (k[0] == "Z" or k in ("Cc", "Cf", "Cs"))
+        got = _SEEN[code]
+    return got
 
 
-_SEEN, _BYTES = _Seen(), _Bytes()
 #: characters that may share a grapheme with a neighbour
 _JOINING = regex.compile(r"[\p{M}\r\u200d\u1100-\u11ff\ua960-\ua97f\uac00-\ud7ff\U0001f1e6-\U0001f1ff\U0001f3fb-\U0001f3ff\U000e0020-\U000e007f\u0600-\u0605\u06dd\u070f\u0e33\u0eb3\u200c]")
 
 
 def seen_len(s: str) -> int:
-    return sum(map(_SEEN.__getitem__, s))
+    return int(_visible(_codes(s)).sum())
 
 
 class Text:
@@ -59,10 +63,19 @@ class Text:
 
     def __init__(self, text: str):
         self.text = text
-        self.visible = [0, *accumulate(map(_SEEN.__getitem__, text))]
-        self.bytes = [0, *accumulate(map(_BYTES.__getitem__, text))]
+        code = _codes(text)
+        self.visible = np.concatenate(([0], np.cumsum(_visible(code), dtype=np.int64)))
+        self.bytes = np.concatenate(([0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF), dtype=np.int64)))
         self.cells = [m.start() for m in regex.finditer(r"\X", text)] + [len(text)] if _JOINING.search(text) else range(len(text) + 1)
 
+    def seen(self, a: int, n: int) -> int:
+        """Visible characters among the `n` from `a`."""
+        return int(self.visible[a + n] - self.visible[a])
+
+    def reach(self, a: int, seen: int) -> int:
+        """The farthest place that has at most `seen` visible characters since `a`."""
+        return int(np.searchsorted(self.visible, self.visible[a] + seen, side="right")) - 1
+
     def floor(self, at: int) -> int:
         """The grapheme boundary at or before `at`."""
         return self.cells[bisect.bisect_right(self.cells, at) - 1]
@@ -146,7 +159,7 @@ class Chunker:
 
         size = 0
         for s in sections(text):
-            n = seen_len(s.body)
+            n = t.seen(s.start, len(s.body))
             if s.chapter:
                 flush()
                 chapter = s.heading
@@ -168,73 +181,69 @@ class Chunker:
                 out[-2:] = [Piece(a.path, f"{a.content}\n\n{b.content}", a.start, b.end)]
         return out
 
-    def units(self, body: str, start: int, t: Text) -> Iterator[tuple[str, int]]:
-        """Paragraphs, and the parts of those that are too long."""
-        at = 0
+    def units(self, body: str, start: int, t: Text) -> Iterator[tuple[int, int]]:
+        """(from, to) of paragraphs, and of the parts of those that are too long."""
+        at = start
         for para in body.split("\n\n"):
             bare = para.strip()
             if bare:
-                where = start + at + len(para) - len(para.lstrip())
-                if seen_len(bare) > self.most or len(bare) > MOST_POINTS:
-                    yield from self.giant(bare, where, t)
+                a = at + len(para) - len(para.lstrip())
+                if t.seen(a, len(bare)) > self.most or len(bare) > MOST_POINTS:
+                    yield from self.giant(a, a + len(bare), t)
                 else:
-                    yield bare, where
+                    yield a, a + len(bare)
             at += len(para) + 2
 
-    def giant(self, para: str, start: int, t: Text) -> Iterator[tuple[str, int]]:
-        """Sentences put together up to the limit; a sentence beyond it is cut between graphemes."""
-        held, at = "", start
-        for m in _SENTENCE.finditer(para):
-            s, where = m[0], start + m.start()
-            if held and (seen_len(held) + seen_len(s) > self.most or len(held) + len(s) > MOST_POINTS):
-                yield held, at
-                held = ""
-            if seen_len(s) > self.most or len(s) > MOST_POINTS:
-                a, end = where, where + len(s)
-                while a < end:
-                    b = min(bisect.bisect_left(t.visible, t.visible[a] + self.most), a + MOST_POINTS, end)
-                    b = end if b >= end else max(t.floor(b), a + 1)
-                    yield t.text[a:b], a
-                    a = b
+    def giant(self, a: int, end: int, t: Text) -> Iterator[tuple[int, int]]:
+        """Each part reaches to the last end of a sentence within the limits, which the running sums tell; a sentence beyond
+        them is cut between graphemes."""
+        ends = [m.end() for m in _SENTENCE.finditer(t.text, a, end)]
+        i = 0
+        while i < len(ends):
+            j = bisect.bisect_right(ends, min(t.reach(a, self.most), a + MOST_POINTS), i)
+            if j > i:
+                yield a, ends[j - 1]
+                a, i = ends[j - 1], j
                 continue
-            if not held:
-                at = where
-            held += s
-        if held:
-            yield held, at
+            while a < ends[i]:
+                b = min(int(np.searchsorted(t.visible, t.visible[a] + self.most)), a + MOST_POINTS, ends[i])
+                b = b if b >= ends[i] else max(t.floor(b), a + 1)
+                yield a, b
+                a = b
+            i += 1
 
     def long(self, body: str, start: int, t: Text) -> Iterator[tuple[str, int, int]]:
-        """Units packed to the target; each piece begins with the last sentences of the one before."""
-        held: list[tuple[str, int]] = []
-        size = points = 0
-        for unit, where in self.units(body, start, t):
-            n = seen_len(unit)
-            if held and (size + n + 2 > self.target or points + len(unit) + 2 > MOST_POINTS):
-                end = held[-1][1] + len(held[-1][0])
-                yield "\n\n".join(u for u, _ in held), held[0][1], end
-                tail = self.tail(held, t)
-                fits = tail and seen_len(tail[0]) + n + 2 <= self.most and len(tail[0]) + len(unit) + 2 <= MOST_POINTS
-                held = [tail] if fits else []
-                size, points = (seen_len(tail[0]), len(tail[0])) if fits else (0, 0)
-            size, points = size + n + 2 * bool(held), points + len(unit) + 2 * bool(held)
-            held.append((unit, where))
-        if held:
-            yield "\n\n".join(u for u, _ in held), held[0][1], held[-1][1] + len(held[-1][0])
-
-    def tail(self, held: list[tuple[str, int]], t: Text) -> tuple[str, int] | None:
-        """Whole sentences within the last `overlap` characters of the last unit, mapped through its own offset."""
-        unit, where = held[-1]
-        cut = max(0, len(unit) - self.overlap)
+        """Units packed to the target: running sums over the units tell where a piece ends, and each begins with the last
+        sentences of the one before where they fit."""
+        units = list(self.units(body, start, t))
+        # two for the empty line before each unit
+        seen = [0, *accumulate(t.seen(a, b - a) + 2 for a, b in units)]
+        points = [0, *accumulate(b - a + 2 for a, b in units)]
+        i, lead = 0, None
+        while i < len(units):
+            n, m = (seen_len(lead[0]) + 2, len(lead[0]) + 2) if lead else (0, 0)
+            j = max(i + 1, min(bisect.bisect_right(seen, seen[i] + self.target + 2 - n), bisect.bisect_right(points, points[i] + MOST_POINTS + 2 - m)) - 1)
+            texts = [t.text[a:b] for a, b in units[i:j]]
+            yield "\n\n".join([lead[0], *texts] if lead else texts), lead[1] if lead else units[i][0], units[j - 1][1]
+            lead = self.tail(*units[j - 1], t)
+            if j < len(units) and lead:
+                a, b = units[j]
+                lead = lead if seen_len(lead[0]) + t.seen(a, b - a) + 2 <= self.most and len(lead[0]) + b - a + 2 <= MOST_POINTS else None
+            i = j
+
+    def tail(self, where: int, end: int, t: Text) -> tuple[str, int] | None:
+        """Whole sentences within the last `overlap` characters of a unit, mapped through its own offset."""
         if self.overlap <= 0:
             return None
-        if cut:
-            m = re.search(r"[。！？!?；;]", unit[cut:])
-            if m and cut + m.end() < len(unit):
-                cut += m.end()
-        cut = t.floor(where + cut) - where
-        text = unit[cut:]
+        cut = max(where, end - self.overlap)
+        if cut > where:
+            m = re.compile(r"[。！？!?；;]").search(t.text, cut, end)
+            if m and m.end() < end:
+                cut = m.end()
+        cut = t.floor(cut)
+        text = t.text[cut:end]
         lead = len(text) - len(text.lstrip())
-        return (text[lead:], where + cut + lead) if text.strip() else None
+        return (text[lead:], cut + lead) if text.strip() else None
 
     def chunks(self, text: str) -> list[dict]:
         t, out = Text(text), []
@@ -244,8 +253,8 @@ class Chunker:
                 raise ValueError(f"chunk {i} breaks its limits at {p.path!r}")
             out.append({
                 "chunk_seq": i, "heading_path": p.path, "content": content, "char_start": p.start, "char_len": p.end - p.start,
-                "visible_start": t.visible[p.start], "visible_len": t.visible[p.end] - t.visible[p.start], "byte_start": t.bytes[p.start],
-                "byte_len": t.bytes[p.end] - t.bytes[p.start], "grapheme_len": t.graphemes(p.start, p.end), "has_pua": content != p.content})
+                "visible_start": int(t.visible[p.start]), "visible_len": t.seen(p.start, p.end - p.start), "byte_start": int(t.bytes[p.start]),
+                "byte_len": int(t.bytes[p.end] - t.bytes[p.start]), "grapheme_len": t.graphemes(p.start, p.end), "has_pua": content != p.content})
         return out
 
 
