@@ -52,6 +52,7 @@ _CUTS = frozenset("-‐‑¬\xad")
 _BEGIN = re.compile(rf"^[ \t]*([^\W\d_{_HAN}]+)")
 _SOFT = re.compile("\xad(?=[ \t]*\n)")
 _SIGNS = re.compile(r"[<&\\$`{]|\]\(|~~~")
+_CUT_END = re.compile("[-‐‑¬­][ \t]*\n")
 _BROKEN = re.compile(rf"[^\W_{_HAN}]+[-‐‑¬­][ \t]*\n\s*[^\W_{_HAN}]+")
 _SIGN = "-–—−‐~·•|*_<>[]()（）【】"
 _PAGE = re.compile(
@@ -95,10 +96,13 @@ def page_lines(lines: list[str]) -> dict[int, tuple[int, bool]]:
     return {i: (v, short and not (i in bare and (i - 1 in figures or i + 1 in figures))) for i, (v, short) in got.items()}
 
 
-_NO_WORD = re.compile(r"[\W_]+")
+_LETTERS = re.compile(r"[^\W_]+")
+#: what usually stands behind a line's last letter or figure
+_BEHIND = " \t.,:;!?'\"()[]{}»”’*_|·•—–-…"
 _FOLDS = (("ii", "u"), ("ri", "n"), ("rn", "m"), ("cl", "d"), ("vv", "w"))
 _FOLD = str.maketrans({"e": "c", "é": "c", "6": "c", "t": "f", "1": "i", "l": "i", "0": "o", "5": "s", "h": "b", "8": "b", "9": "g", "п": "н", "л": "н", "и": "й",
                        "ó": "o", "á": "a", "3": "з", "б": "c"})
+_FOLD |= {o: _FOLD.get(ord(c), c) for o, c in SMALL.items() if o not in _FOLD}
 #: keys beyond this length are told apart by their hash
 LONG_KEY = 40
 
@@ -113,10 +117,15 @@ def folded(text: str) -> str:
 def line_key(line: str) -> tuple[str, bool]:
     """(fuzzy key, had a number): what stays of a folded line without page number, chapter number and look of characters."""
     t = line.strip()
-    core = _CHAPTER.sub("", t)
-    less = _TAIL.sub("", _LEAD.sub("", core))
+    m = _CHAPTER.match(t)
+    core = t[m.end():] if m else t
+    m = _LEAD.match(core)
+    less = core[m.end():] if m else core
+    end = less.rstrip(_BEHIND)[-1:]
+    if end.isdigit() or not end.isalnum():
+        less = _TAIL.sub("", less)
     numbered = less != core
-    k = _NO_WORD.sub("", less).translate(SMALL)
+    k = "".join(_LETTERS.findall(less))
     for a, b in _FOLDS:
         k = k.replace(a, b)
     k = k.translate(_FOLD)
@@ -153,18 +162,17 @@ def broken_words(lines: list[str], skip: set[int]) -> list[tuple[int, str, str,
 
 def plain(t: str) -> str:
     """Folded text without markup and without words that are cut at a line end."""
-    if "\n" in t:
+    if "\n" in t and _CUT_END.search(t):
         t = _BROKEN.sub(" ", t)
     return _STRIP.sub(" ", t) if _SIGNS.search(t) else t
 
 
-def word_counts(text: str) -> Counter:
-    """Of folded text."""
-    out = Counter(_WORD.findall(plain(text)))
-    for w in [w for w in out if "-" in w or "'" in w or "’" in w]:
+def with_parts(counts: Counter) -> Counter:
+    """Word counts in which the parts of compounds count too."""
+    for w in [w for w in counts if "-" in w or "'" in w or "’" in w]:
         for part in _PART.findall(w):
-            out[part] += out[w]
-    return out
+            counts[part] += counts[w]
+    return counts
 
 
 _FACTS = "fact string, table_name string, row_id bigint, line int, book string, key string, other string, n bigint, page int"
@@ -189,7 +197,7 @@ def facts(rows: DataFrame) -> DataFrame:
                 if not text or text.isspace():
                     continue
                 low = folded(text)
-                counts.update(word_counts(low))
+                counts.update(_WORD.findall(plain(low)))
                 lines, lows = text.split("\n"), low.split("\n")
                 pages = page_lines(lines)
                 out += [("page", table, row, i, book, None, None if sure else "?" if margin else "-", v, page) for i, (v, sure) in pages.items()]
@@ -204,7 +212,7 @@ def facts(rows: DataFrame) -> DataFrame:
                         if len(k) >= 2:
                             end = margin is None and (at in (0, len(full) - 1) or full[at - 1] in pages or full[at + 1] in pages)
                             out.append(("line", table, row, i, book, k, None, NUMBERED * numbered + END * end + MARGIN * bool(margin), page))
-            out += [("word", None, None, None, None, w, None, n, None) for w, n in counts.items()]
+            out += [("word", None, None, None, None, w, None, n, None) for w, n in with_parts(counts).items()]
             out += [("head", None, None, None, bk, k, None, None, None) for bk, k in heads if k]
             cols = list(zip(*out)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
