@@ -54,7 +54,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("folder", nargs="?"), c.add_argument("--guid", action="append", default=[]), c.add_argument("--yes", action="store_true")
     command("emb").add_argument("--all", action="store_true")
     command("clean-chat").add_argument("input")
-    command("vacuum")
+    command("vacuum"), command("images", "cleanup-images").add_argument("--yes", action="store_true")
     command("reset").add_argument("--yes", action="store_true")
     return p
 
@@ -123,6 +123,8 @@ def run(spark: SparkSession, args: list[str]) -> tuple[int, object]:
         f = spark.read.text(a.input, wholetext=True).select(F.lit(1).alias("id"), F.col("value").alias("text"))
         c = clean(f, "id", "text")
         return 0, {"cleaned": c.first()["cleaned"], "summary": summaries(rounds(c, "id"), f, "id").first()["summary"]}
+    if name in ("images", "cleanup-images"):
+        return 0, {"images": s.table("image").count(), "unused": s.clean_images(dry_run=not a.yes), "removed": a.yes}
     if name == "vacuum":
         return 0, {"folders": s.vacuum()}
     if not a.yes:

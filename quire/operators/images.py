@@ -89,3 +89,16 @@ def with_ocr(text: str, readings: dict[str, str]) -> str:
         for ref in [r for r in left if r in line]:
             out.append("> 📝 OCR: " + " ".join(left.pop(ref).split()))
     return "\n".join(out)
+
+
+def with_readings(docs: DataFrame, readings: DataFrame, key: str, text: str) -> DataFrame:
+    """Documents with the OCR text of their images (key, ref, ocr_text) below the references; a document has few references,
+    so they are gathered per document, and those without any never meet Python."""
+    full = readings.where("trim(ocr_text) <> ''").groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("ref", "ocr_text")))).alias("_m"))
+
+    @F.pandas_udf("string")
+    def put(t: pd.Series, maps: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else with_ocr(x, dict(m)) for x, m in zip(t, maps)], index=t.index, dtype=object)
+
+    new = docs.select(key, text).join(full, key).select(key, put(text, "_m").alias("_t"))
+    return docs.join(new, key, "left").withColumn(text, F.coalesce("_t", text)).drop("_t")

@@ -64,8 +64,9 @@ def deletion(tables: dict[str, DataFrame], guids: DataFrame) -> dict[str, DataFr
     lost = chunks.join(gone, F.lower(chunks["guid"]) == gone["guid"], "left_semi").select("chunk_id")
     out = {n: tables[n].join(lost, "chunk_id", "left_anti") for n in ("fts", "posting", "vec") if n in tables}
     out["chunk"] = chunks.join(gone, F.lower(chunks["guid"]) == gone["guid"], "left_anti")
-    if "card" in tables:
-        out["card"] = tables["card"].join(gone, F.lower(tables["card"]["guid"]) == gone["guid"], "left_anti")
+    for n in ("card", "image_ref"):
+        if n in tables:
+            out[n] = tables[n].join(gone, F.lower(tables[n]["guid"]) == gone["guid"], "left_anti")
     if "footnote" in tables:
         out["footnote"] = tables["footnote"].join(gone, F.lower(tables["footnote"]["book_guid"]) == gone["guid"], "left_anti")
     out["book"] = books.join(gone, F.lower(books["guid"]) == gone["guid"], "left_anti")

@@ -21,12 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.drift import first_readable, one_copy, tag
-from quire.session import bounded_rows
 
 ROOT = "$"
 _SCHEMA = "doc_key string, level_path string, node_key string, parent_key string, ordinal int, ordinals array<int>, tags map<string,string>, fields map<string,string>"
-#: more scalar fields at one level than any schema has
-MOST_FIELDS = 20_000
+#: scalar fields of one level that become columns, the most frequent first; further ones (ids as keys) stay together in a map
+MOST_FIELDS = 2_000
 
 
 def _text(v) -> str | None:
@@ -104,10 +103,12 @@ def child_table(flat: DataFrame, level_path: str) -> DataFrame:
 
 
 def typed(part: DataFrame, what: str, *more: str) -> DataFrame:
-    """The typed table of some levels' elements, with the columns `more`; a field has one type in all of them."""
+    """The typed table of some levels' elements, with the columns `more`; a field has one type in all of them. Beyond MOST_FIELDS
+    fields the rarer ones are in the map more_fields."""
     one = part.withColumn("level_path", F.lit(what))
-    rows = bounded_rows(merged_schema(one).select("field", "spark_type"), MOST_FIELDS, f"fields of {what}")
-    taken, cols = {"node_key", "parent_key", "ordinal", "doc_key", *more}, []
+    found = merged_schema(one).orderBy(F.col("rows").desc(), "field").select("field", "spark_type").limit(MOST_FIELDS + 1).collect()
+    rows, beyond = found[:MOST_FIELDS], len(found) > MOST_FIELDS
+    taken, cols = {"node_key", "parent_key", "ordinal", "doc_key", "more_fields", *more}, []
     for f, t in sorted(map(tuple, rows)):
         name, n = f.replace(".", "_"), 1
         while name.lower() in taken:
@@ -116,4 +117,6 @@ def typed(part: DataFrame, what: str, *more: str) -> DataFrame:
         taken.add(name.lower())
         v = F.try_element_at("fields", F.lit(f))
         cols.append((v if t == "string" else v.try_cast(t)).alias(name))
+    if beyond:
+        cols.append(F.map_filter("fields", lambda k, v: ~k.isin([f for f, _ in rows])).alias("more_fields"))
     return part.select("doc_key", "node_key", "parent_key", "ordinal", *more, *cols)

@@ -23,11 +23,12 @@ from quire.operators.chunking import Chunker, book_card
 from quire.operators.embedding import embed_texts
 from quire.operators.errata import merge_stats, note, payload, read_stats, trust
 from quire.operators.fulltext import postings, write_postings
-from quire.operators.ledger import alive, deletion, match_manifest, missing_guids, tag_audit, tag_cloud, with_counts
+from quire.operators.images import ocr, with_readings
+from quire.operators.ledger import alive, deletion, match_manifest, missing_guids, orphan_images, tag_audit, tag_cloud, with_counts
 from quire.plans.search import DEFAULT_MAX_PER_BOOK, Engine, SearchResult
 from quire.sources.config import Config
-from quire.sources.files import binary_files, chats, importable, notes, utf8
-from quire.streaming.ingest import books_of, import_books
+from quire.sources.files import binary_files, chats, image_suffix, importable, inline_images, notes, utf8
+from quire.streaming.ingest import books_of, import_books, pictures_of
 
 SCHEMAS = {
     "book": "guid string, source_path string, title string, content string, errata_stats string, expected_chunks bigint, status string, bucket string, tags string, created_at timestamp",
@@ -37,6 +38,8 @@ SCHEMAS = {
     "posting": "term string, chunk_id bigint, tf bigint, len int, part int",
     "vec": "chunk_id bigint, embedding array<float>, indexed_at timestamp",
     "card": "guid string, card string, embedding array<float>, created_at timestamp",
+    "image": "md5 string, suffix string, bytes binary, ocr_text string",
+    "image_ref": "guid string, ref string, md5 string",
     "footnote": "book_guid string, page_idx int, box string, text string, judge_version string",
     "cache": "text_hash string, model string, embedding array<float>, expires_at timestamp",
     "chat": "guid string, source_path string, content string, summary string, bucket string, tags string, created_at timestamp, content_tokenized string, embedding array<float>",
@@ -50,9 +53,9 @@ NAMED = 1000
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, embed=None, rerank=None, dims: int = 64, config: Config | None = None):
-        """config: `search.default_tags`, `search.stopwords` (a list) and `chunking.max_per_book` are read from it."""
-        self.config = config or Config({})
+    def __init__(self, spark: SparkSession, path: str, embed=None, rerank=None, dims: int = 64, config: Config | None = None, reader=None):
+        """reader: the text of an image's bytes. config: `search.default_tags`, `search.stopwords` (a list) and `chunking.max_per_book` are read from it."""
+        self.config, self.reader = config or Config({}), reader
         self.spark, self.path, self.embed, self.rerank, self.dims = spark, path.rstrip("/"), embed, rerank, dims
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         self._p = jvm.org.apache.hadoop.fs.Path
@@ -153,7 +156,8 @@ class Store:
     def import_books(self, folder: str, bucket: str, tags: str = "", recursive: bool = True, force: bool = False, directory_tag: bool = True, chunker: Chunker | None = None) -> int:
         """Books that aren't stored whole yet; their chunks and index rows are stored before they are."""
         tags = G.for_write(tags)
-        new = books_of(importable(binary_files(self.spark, folder, recursive)))
+        files = importable(binary_files(self.spark, folder, recursive))
+        new = books_of(files)
         folder_tag = F.regexp_extract("source_path", r"([^/]+)/[^/]+$", 1) if directory_tag else F.lit("")
         own = F.array_join(F.array_distinct(F.concat(G.split_col(F.lit(tags)), F.filter(F.array(folder_tag), lambda x: (x != "") & ~x.contains(",")))), ",")
         if force:
@@ -162,6 +166,7 @@ class Store:
             whole = with_counts(self.table("book"), self.table("chunk")).where("status = 'done' and actual = expected_chunks").select("guid")
             new = new.join(whole, "guid", "left_anti")
         stage = f"{self.path}/stage/{uuid.uuid4().hex}"
+        new = self._illustrated(new, files, stage)
         import_books(self.spark, new, stage, 0, chunker, force=True)
         read = lambda n: self.spark.read.parquet(f"{stage}/{n}").drop("batch")
         got = read("book").withColumn("bucket", F.lit(bucket)).withColumn("tags", own).withColumn("created_at", F.current_timestamp())
@@ -178,6 +183,35 @@ class Store:
         self._fs.delete(self._p(stage), True)
         return n
 
+    def _illustrated(self, new: DataFrame, files: DataFrame, stage: str) -> DataFrame:
+        """The books, read once, with their images stored: those of archives and those that stand in the text itself, which
+        become references. With a reader each distinct image that isn't stored yet is read once, and what it says stands below it."""
+        new.write.parquet(f"{stage}/new")
+        new = self.spark.read.parquet(f"{stage}/new")
+        inside, new = inline_images(new, "guid", "content")
+        inside = inside.select("guid", F.concat(F.lit("images/"), "md5").alias("ref"), "md5", image_suffix(F.col("bytes")).alias("suffix"), "bytes")
+        pictures_of(files).join(new.select("guid"), "guid", "left_semi").unionByName(inside).write.parquet(f"{stage}/picture")
+        found = self.spark.read.parquet(f"{stage}/picture")
+        have = self.table("image").select("md5")
+        fresh = found.select("md5", "suffix", "bytes").join(have, "md5", "left_anti").groupBy("md5").agg(F.min("suffix").alias("suffix"), F.min("bytes").alias("bytes"))
+        texts = ocr(fresh.select("md5", "bytes"), self.reader)
+        fresh.join(texts, "md5", "left").write.parquet(f"{stage}/image")
+        if not found.isEmpty():
+            self.append("image", self.spark.read.parquet(f"{stage}/image"))
+            self.append("image_ref", found.select("guid", "ref", "md5").distinct())
+        if self.reader is None:
+            return new
+        said = found.select("guid", "ref", "md5").distinct().join(self.table("image").select("md5", "ocr_text"), "md5")
+        return with_readings(new, said, "guid", "content")
+
+    def clean_images(self, dry_run: bool = True) -> int:
+        """Images that no book refers to; they go unless it is a dry run."""
+        lost = orphan_images(self.table("image"), self.table("image_ref")).select("md5")
+        n = lost.count()
+        if n and not dry_run:
+            self.change("image", lambda now: now.join(self.table("image_ref").select("md5").distinct(), "md5", "left_semi").select(*now.columns))
+        return n
+
     def _vectors(self, chunks: DataFrame, model: str = "default", days: int | None = None) -> DataFrame:
         """Cached vectors by the text's hash; only the rest is embedded, in batches and with the model's limit in mind."""
         embed = self.embed
@@ -299,14 +333,14 @@ class Store:
     def remove(self, guids: DataFrame, dry_run: bool = False) -> dict:
         """Books and all that belongs to them; the missing ones are named, all of them as a table."""
         lacking = missing_guids(guids, self.table("book"))
-        names = ("book", "chunk", "fts", "posting", "vec", "card", "footnote")
+        names = ("book", "chunk", "fts", "posting", "vec", "card", "image_ref", "footnote")
         t = {n: self.table(n) for n in names}
         left = deletion(t, guids)
         removed = {n: t[n].count() - left[n].count() for n in names}
         out = {"missing": [r[0] for r in lacking.orderBy(lacking.columns[0]).limit(NAMED).collect()], "missing_count": lacking.count(), "removed": removed}
         if not dry_run:
             # each table is what is left of its own state by then; books go last, as they tell what belongs to them
-            for n in ("fts", "posting", "vec", "chunk", "card", "footnote", "book"):
+            for n in ("fts", "posting", "vec", "chunk", "card", "image_ref", "footnote", "book"):
                 if removed[n]:
                     self.change(n, lambda now, n=n: deletion(t | {n: now}, guids)[n])
         return out

@@ -67,7 +67,10 @@ def ledger_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates(table(spark, sf_dir, "documents_book"), "source_path_hash", "guid")
+    """Books of one path, and documents of one text."""
+    books = duplicates(table(spark, sf_dir, "documents_book"), "source_path_hash", "guid").withColumnRenamed("source_path_hash", "key")
+    d = table(spark, sf_dir, "documents").select(F.md5("text").alias("key"), F.col("doc_id").cast("string").alias("doc_id"))
+    return books.withColumn("table_name", F.lit("documents_book")).unionByName(duplicates(d, "key", "doc_id").withColumn("table_name", F.lit("documents")))
 
 
 def ledger_untagged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,9 +137,9 @@ def images_referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def footnotes_orphaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Footnote blocks of books that aren't stored, by book."""
+    """Footnote blocks of books that aren't stored whole, by book."""
     f = table(spark, sf_dir, "normalized_block").where("block_type in ('page_footnote', 'footnote') and book_guid is not null").select("book_guid", "block_id").distinct()
-    return orphan_footnotes(f, store(spark, sf_dir)["book"]).groupBy("book_guid").agg(F.count("*").alias("blocks"))
+    return orphan_footnotes(f, store(spark, sf_dir)["book"].where("status = 'done'")).groupBy("book_guid").agg(F.count("*").alias("blocks"))
 
 
 def tags_known(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +163,7 @@ _AUDIT = f""", e AS (SELECT DISTINCT guid, trim(x) AS element, CASE WHEN trim(co
   FROM (SELECT guid, tags, unnest(string_split(coalesce(tags, ''), ',')) AS x FROM b))"""
 SQL = {
     "footnotes_orphaned": _B + """ SELECT book_guid, count(DISTINCT block_id) AS blocks FROM normalized_block WHERE block_type IN ('page_footnote', 'footnote') AND book_guid IS NOT NULL
-      AND lower(book_guid) NOT IN (SELECT guid FROM b) GROUP BY 1""",
+      AND lower(book_guid) NOT IN (SELECT guid FROM b WHERE status = 'done') GROUP BY 1""",
     "tags_edited": _B + f""", t AS (SELECT guid, {_TAGS} AS t FROM b), u AS (SELECT guid, list_filter(t, lambda x, i: list_position(t, x) = i) AS t FROM t)
       SELECT guid, array_to_string(CASE WHEN list_contains(t, 'atlas') THEN t ELSE list_append(t, 'atlas') END, ',') AS with_atlas, array_to_string(list_filter(t, lambda x: x <> 'language'), ',') AS without_language FROM u""",
     "tags_known": _B + f""", v AS (SELECT DISTINCT unnest({_TAGS}) AS tag FROM b WHERE bucket = '馆藏'), e AS (SELECT guid, unnest({_TAGS}) AS tag FROM b)
@@ -177,7 +180,8 @@ SQL = {
       SELECT guid, expected_chunks, coalesce(n, 0) AS actual FROM b LEFT JOIN n USING (guid) WHERE coalesce(n, 0) <> expected_chunks""",
     "ledger_complete": _BC + """, n AS (SELECT guid, count(*) AS n FROM chunk GROUP BY 1)
       SELECT coalesce(status = 'done' AND coalesce(n, 0) = expected_chunks, false) AS complete, count(*) AS books FROM b LEFT JOIN n USING (guid) GROUP BY 1""",
-    "ledger_dupes": "SELECT source_path_hash, count(DISTINCT guid) AS n, concat_ws(',', min(guid), max(guid)) AS labels FROM documents_book WHERE source_path_hash IS NOT NULL GROUP BY 1 HAVING count(DISTINCT guid) > 1",
+    "ledger_dupes": """SELECT 'documents_book' AS table_name, source_path_hash AS key, count(DISTINCT guid) AS n, concat_ws(',', min(guid), max(guid)) AS labels FROM documents_book WHERE source_path_hash IS NOT NULL GROUP BY 2
+      HAVING count(DISTINCT guid) > 1 UNION ALL SELECT 'documents', md5(text), count(DISTINCT doc_id), concat_ws(',', min(doc_id::VARCHAR), max(doc_id::VARCHAR)) FROM documents WHERE text IS NOT NULL GROUP BY 2 HAVING count(DISTINCT doc_id) > 1""",
     "ledger_untagged": _B + " SELECT guid, title FROM b WHERE trim(coalesce(tags, '')) = ''",
     "ledger_reconcile": _B + f""", f AS (SELECT DISTINCT {_KEY} AS path FROM b WHERE guid IN (SELECT lower(book_guid) FROM book_middle) AND source_path IS NOT NULL),
       k AS (SELECT DISTINCT {_KEY} AS path FROM b WHERE bucket IS NOT NULL AND source_path IS NOT NULL)

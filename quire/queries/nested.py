@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.operators.drift import drift
 from quire.operators.nested import flatten, typed
 from quire.queries.drift import FILES
-from quire.session import spread, table
+from quire.session import cut, spread, table
 
 _BLANK = r"^[\p{IsWhite_Space}\x1c-\x1f]*$"
 
@@ -80,7 +80,8 @@ def level_rows(df: DataFrame, name: str, tables: list[str], fields: str | None =
 
 def level_table(df: DataFrame, name: str, level: str) -> DataFrame:
     """A typed child table of one kind of file with the path of each row's level and, below a page, its branch."""
-    return typed(level_rows(df, name, [level]), f"{name} {level}", "level_path", "branch")
+    # the rows of the level are read twice: for the merged schema and for the table
+    return typed(cut(level_rows(df, name, [level])), f"{name} {level}", "level_path", "branch")
 
 
 def _level_query(name: str, level: str):

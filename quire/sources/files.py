@@ -222,4 +222,6 @@ def inline_images(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Data
 
         return s.map(lambda t: re.sub(pat, ref, t), na_action="ignore")
 
-    return images, docs.withColumn(text, rewritten(F.col(text)))
+    # only texts that hold one meet Python
+    has = F.coalesce(F.col(text).contains("data:image/"), F.lit(False))
+    return images, docs.withColumn(text, F.when(has, rewritten(F.when(has, F.col(text)))).otherwise(F.col(text)))

@@ -14,7 +14,7 @@ from quire.functions.text import collapse_whitespace, composed, windows_path
 from quire.functions.tokenizer import index_text
 from quire.operators.chunking import Chunker, chunk_books
 from quire.operators.errata import errata
-from quire.sources.files import MARKER, archive_members, epub_text, text_of
+from quire.sources.files import MARKER, archive_members, epub_text, image_suffix, text_of
 
 FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -31,6 +31,13 @@ def books_of(files: DataFrame) -> DataFrame:
                         collapse_whitespace(F.col("text")).alias("content")).withColumn("errata_stats", F.to_json(errata(F.col("content"))))
 
 
+def pictures_of(files: DataFrame) -> DataFrame:
+    """guid, ref, md5, suffix, bytes of the images in archives, by the name under which their book refers to them."""
+    plain = F.regexp_replace("path", "^file:/*", "/")
+    got = archive_members(files.where(~F.col("path").rlike(r"/\.[^/]+$"))).withColumn("suffix", image_suffix(F.col("bytes"))).where("suffix <> '.img'")
+    return got.select(F.md5(windows_path(plain)).alias("guid"), F.col("member").alias("ref"), F.md5("bytes").alias("md5"), "suffix", "bytes")
+
+
 def import_books(spark: SparkSession, books: DataFrame, out: str, batch: int | str, chunker: Chunker | None = None, force: bool = False) -> None:
     """Chunks, then index rows, then books."""
     if not force:

@@ -183,6 +183,14 @@ class TestNested:
         t = child_table(flat, "$.a[]")
         assert "node_key_2" in t.columns and rows(t.select("ordinal", "x").where("x is not null")) == [(0, 1.0), (1, 2.5)]
 
+    def test_more_fields_than_columns(self, spark, monkeypatch):
+        from quire.operators import nested
+
+        monkeypatch.setattr(nested, "MOST_FIELDS", 1)
+        flat = flatten(spark.createDataFrame([("d", '{"a": [{"x": 1, "id7": "p"}, {"x": 2, "id8": "q"}]}')], "k string, raw string"), "k", "raw")
+        t = child_table(flat, "$.a[]").orderBy("ordinal")
+        assert [(r["x"], r["more_fields"]) for r in t.collect()] == [(1, {"id7": "p"}), (2, {"id8": "q"})]
+
     def test_child_tables_of_all_levels(self, spark):
         from quire.queries.nested import level_table
 

@@ -1,3 +1,5 @@
+import base64
+import hashlib
 import io
 import json
 import zipfile
@@ -183,3 +185,26 @@ def test_settings_and_composed_titles(spark, tmp_path):
     assert r.meta["query_terms"] == {"kept": ["quarry"], "pruned": ["slate"]} and r.results.count() == 1
     s.config.values["search"]["default_tags"] = "other"
     assert s.search("quarry").results.count() == 0 and s.search("quarry", tags="kept").results.count() == 1
+
+
+def test_images_of_books(spark, tmp_path):
+    png, gif = b"\x89PNG\r\n one", b"GIF89a two"
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "a.zip").write_bytes(zipped(**{"w__markdown.md": "before\n![x](images/p.png)\nafter", "w__images__p.png": png, "w__images__q.txt": "text"}))
+    (d / "b.md").write_text("see ![y](data:image/gif;base64," + base64.b64encode(gif).decode() + ") here"), (d / "c.md").write_text("none")
+    seen = []
+
+    def reader(raw):
+        return raw[-3:].decode()
+
+    s = Store(spark, str(tmp_path / "s"), reader=reader)
+    assert s.import_books(str(d), "shelf") == 3 and not seen
+    got = {r["title"]: r["content"] for r in s.table("book").select("title", "content").collect()}
+    md5 = hashlib.md5(gif).hexdigest()
+    assert got["a"] == "before\n![x](images/p.png)\n> 📝 OCR: one\nafter" and got["b"] == f"see ![y](images/{md5}) here\n> 📝 OCR: two" and got["c"] == "none"
+    assert sorted((r["suffix"], r["ocr_text"]) for r in s.table("image").collect()) == [(".gif", "two"), (".png", "one")]
+    assert run(spark, [s.path, "images"])[1]["unused"] == 0
+    s.remove(s.table("book").where("title = 'b'").select("guid"))
+    assert run(spark, [s.path, "images", "--yes"])[1]["unused"] == 1 and s.table("image").count() == 1
+    assert Store(spark, str(tmp_path / "t")).import_books(str(d), "shelf") == 3
