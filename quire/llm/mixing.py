@@ -66,8 +66,8 @@ def _thresholds(sized: DataFrame, want: DataFrame) -> DataFrame:
 
 
 def mix(sized: DataFrame, key: str, source: str, size: str, targets: DataFrame, total: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(chosen, report). chosen: `key`, source, size, copies. report: source, target_weight, target_share (after caps),
-    records, tokens, actual_share."""
+    """(chosen, report). chosen: `key`, source, size, copies. report: source, target_weight, target_share and budget in
+    tokens (after caps), records, tokens, actual_share."""
     spark = sized.sparkSession
     rows = [(r[0], float(r[1] or 0), int(r[2] or 0)) for r in bounded_rows(
         targets.where("source is not null").groupBy("source").agg(F.max("weight"), F.max("max_repeats")), MOST_TARGETS, "targets")]
@@ -89,8 +89,8 @@ def mix(sized: DataFrame, key: str, source: str, size: str, targets: DataFrame,
     cuts = _thresholds(one, want)
     chosen = one.join(F.broadcast(want.select("source", "full")), "source").join(F.broadcast(cuts), "source").select(
         key, "source", "size", (F.col("full") + (F.col("hash") < F.col("threshold")).cast("int")).alias("copies")).where("copies > 0")
-    share = spark.createDataFrame([(s, w / whole, plan.get(s, 0.0) / total if total else 0.0, r) for s, w, r in rows],
-                                  "source string, target_weight double, target_share double, max_repeats int")
+    share = spark.createDataFrame([(s, w / whole, plan.get(s, 0.0) / total if total else 0.0, float(plan.get(s, 0.0)), r) for s, w, r in rows],
+                                  "source string, target_weight double, target_share double, budget double, max_repeats int")
     got = chosen.groupBy("source").agg(F.count("*").alias("documents"), F.sum("copies").alias("records"), F.max("copies").alias("most_copies"),
                                        F.sum(F.col("size") * F.col("copies")).alias("tokens"))
     report = share.join(got, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
