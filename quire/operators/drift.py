@@ -237,7 +237,7 @@ _CANDIDATE = "at string, name string, field string, required boolean, objects bi
 
 def candidates(fused: DataFrame, nodes: dict[str, tuple[str, Shape]]) -> DataFrame:
     """Unknown names of the objects on the paths `nodes` that stand for a declared field: they never occur beside it, are of
-    its type and at its place in the order of keys. at, name, field: the best of each name."""
+    its type and at its place in the order of keys. at, name, field, required, share (of objects in which it is at that place)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -260,8 +260,7 @@ def candidates(fused: DataFrame, nodes: dict[str, tuple[str, Shape]]) -> DataFra
 
     got = fused.select("path", "signature", "objects").mapInPandas(run, _CANDIDATE).groupBy("at", "name", "field", "required").agg(
         *[F.sum(c).alias(c) for c in ("objects", "beside", "fits", "placed")])
-    ok = got.where("beside = 0 and fits >= 0.9 * objects and placed >= 0.5 * objects")
-    return ok.groupBy("at", "name").agg(F.min_by("field", F.struct(-F.col("placed") / F.col("objects"), ~F.col("required"), "field")).alias("field"))
+    return got.where("beside = 0 and fits >= 0.9 * objects and placed >= 0.5 * objects").select("at", "name", "field", "required", (F.col("placed") / F.col("objects")).alias("share"))
 
 
 def new_names(fused: DataFrame, shape: Shape) -> tuple[dict[str, dict[str, str]], dict[str, tuple[str, Shape]]]:
@@ -272,8 +271,9 @@ def new_names(fused: DataFrame, shape: Shape) -> tuple[dict[str, dict[str, str]]
     while level:
         nodes |= level
         aliases |= {at: {} for at, _ in level.values()}
-        for at, name, to in bounded_rows(candidates(fused, level), MOST_NAMES, "new names of fields"):
-            aliases[at][name] = to
+        # the best field of each name first
+        for at, name, to, _, _ in sorted(map(tuple, bounded_rows(candidates(fused, level), MOST_NAMES, "new names of fields")), key=lambda c: (c[0], c[1], -c[4], not c[3], c[2])):
+            aliases[at].setdefault(name, to)
         level = {_join(p, k) + ("[]" if any(t.startswith("list") for t in s.known[m]) else ""): (below(at, m, s), inner)
                  for p, (at, s) in level.items() for m, inner in s.sub.items() for k in (m, *(x for x, to in aliases[at].items() if to == m))}
     return aliases, nodes
@@ -301,7 +301,10 @@ def drift(df: DataFrame, key: str, raw: str, shape: Shape, depth: int = 3) -> tu
     """(changes, new names by object path): changes has `key`, field_path, change_kind, one row each. `depth`: how many
     levels below the root the shape has."""
     found = cut(shapes(df, key, raw, depth))
-    aliases, nodes = new_names(cut(fuse(found)), shape)
+    # read once for each level of the shape; what is lost of it is made again from the signatures
+    fused = fuse(found).persist()
+    aliases, nodes = new_names(fused, shape)
+    fused.unpersist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: dict[tuple[str, str], list[tuple[str, str]]] = {}
