@@ -61,7 +61,8 @@ def _thresholds(sized: DataFrame, want: DataFrame) -> DataFrame:
             "source", "part",
             F.coalesce("_next", F.when(F.col("_b").isNotNull(), F.col("_b") + 1), F.shiftleft("prefix", BITS)).alias("prefix"),
             F.coalesce("_upto", "below").alias("below"))
-        at = cut(at)
+        # as many rows as there are targets
+        at = sized.sparkSession.createDataFrame(bounded_rows(at, MOST_TARGETS, "targets"), "source string, part double, prefix bigint, below bigint")
     return at.select("source", F.col("prefix").alias("threshold"))
 
 

@@ -247,7 +247,7 @@ def running_lines(got: DataFrame, titles: DataFrame, least: int = 3) -> DataFram
     first = cut(lines.join(heads.unionByName(again).distinct(), ["book", "key"], "left_semi").select("table_name", "row_id", "line", "book", flag(MARGIN).alias("margin")))
     # the margin itself repeats: where it holds running lines on some pages, its lines on the others are such too
     there = lines.where(flag(MARGIN)).join(first.where("margin").select("book").distinct(), "book", "left_semi")
-    return cut(first.select("table_name", "row_id", "line").unionByName(there.select("table_name", "row_id", "line")).distinct())
+    return first.select("table_name", "row_id", "line").unionByName(there.select("table_name", "row_id", "line")).distinct()
 
 
 def page_numbers(got: DataFrame) -> DataFrame:
@@ -325,11 +325,10 @@ def _line_words(text: str, bad=None) -> set[tuple[int, str]]:
     return out | {(-1, w) for w in whole - {w for _, w in out}}
 
 
-def misread_rows(rows: DataFrame, wrong: DataFrame, running: DataFrame) -> DataFrame:
+def misread_rows(rows: DataFrame, wrong: DataFrame, sent: dict[str, str] | None, running: DataFrame) -> DataFrame:
     """table_name, row_id of texts with misread words outside of running lines, which are noise as a whole. The list goes to
-    every task if it is small, else the texts' words are joined with it."""
-    listed = wrong.select("word").limit(MOST_SENT + 1).collect()
-    bad = frozenset(r[0] for r in listed) if len(listed) <= MOST_SENT else None
+    every task if it is small enough to be `sent`, else the texts' words are joined with it."""
+    bad = None if sent is None else frozenset(sent)
     names = ["table_name", "row_id", "line", "word"]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,18 +355,27 @@ def row_words(rows: DataFrame, text: str, split: Callable[[str], list[str]]) ->
     return rows.select("table_name", "row_id", text).mapInArrow(words, "table_name string, row_id bigint, word string")
 
 
-def noise(rows: DataFrame, titles: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+def listed_words(vocab: DataFrame) -> tuple[DataFrame, dict[str, str] | None]:
+    """(misread words with what is meant; the same as a dict if they are few enough to be sent)."""
+    wrong = misread_words(vocab)
+    some = wrong.limit(MOST_SENT + 1).collect()
+    if len(some) > MOST_SENT:
+        return cut(wrong), None
+    return vocab.sparkSession.createDataFrame(some, "word string, meant string"), {r[0]: r[1] for r in some}
+
+
+def noise(rows: DataFrame, titles: DataFrame) -> tuple[DataFrame, dict]:
     """(cases: table_name, row_id, kind; parts by kind)."""
     got = cut(facts(rows))
     vocab = cut(vocabulary(got))
-    wrong = cut(misread_words(vocab))
+    wrong, sent = listed_words(vocab)
     running = running_lines(got, titles)
     parts = {
         "page_number": page_numbers(got),
         "running": running,
         "hyphen": cut_words(got, vocab),
-        "misread": misread_rows(rows, wrong, running),
-        "words": wrong,
+        "misread": misread_rows(rows, wrong, sent, running),
+        "words": wrong, "sent": sent,
     }
     out = None
     for kind in ("page_number", "running", "hyphen", "misread"):
@@ -423,8 +431,7 @@ def repair(rows: DataFrame, titles: DataFrame) -> DataFrame:
     _, parts = noise(rows, titles)
     drop = parts["page_number"].unionByName(parts["running"]).groupBy("table_name", "row_id").agg(F.collect_set("line").alias("drop"))
     join = parts["hyphen"].groupBy("table_name", "row_id").agg(F.collect_set("line").alias("join"))
-    listed = parts["words"].limit(MOST_SENT + 1).collect()
-    meant = {r[0]: r[1] for r in listed} if len(listed) <= MOST_SENT else {}
+    meant = parts["sent"] or {}
     schema, names = "table_name string, row_id bigint, text string, repaired string", ["table_name", "row_id", "text", "repaired"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,7 +446,7 @@ def repair(rows: DataFrame, titles: DataFrame) -> DataFrame:
 
     on = ["table_name", "row_id"]
     mended = rows.select(*on, "text").join(drop, on, "left").join(join, on, "left").mapInArrow(run, schema)
-    if len(listed) <= MOST_SENT:
+    if parts["sent"] is not None:
         return mended
     found = row_words(mended, "repaired", lambda t: [looks(w, True) for w in _PART.findall(t)]).join(parts["words"].select("word", "meant"), "word")
     own = found.groupBy(*on).agg(F.map_from_entries(F.collect_set(F.struct("word", "meant"))).alias("own"))
