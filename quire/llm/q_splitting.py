@@ -38,7 +38,7 @@ def p10_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p10_found": p10_found, "p10_pieces": p10_pieces, "p10_restored": p10_restored, "p10_violations": p10_violations}
 # Texts lie well away from the limit, so an estimate of their tokens tells them apart: a token for each Han character and
 # sign, and one for every four letters or part of them of each other word.
-_LONG = r"""SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND len(regexp_extract_all(text, '\p{Han}|\p{P}|\p{S}')) + list_sum(list_transform(regexp_extract_all(text, '[\p{Latin}\p{Cyrillic}\p{Greek}\p{N}]+'), lambda w: ceil(length(w) / 4.0))) > 1300"""
+_LONG = r"""SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND len(regexp_extract_all(text, '\p{Han}|\p{P}|\p{S}')) + coalesce(list_sum(list_transform(regexp_extract_all(text, '[\p{Latin}\p{Cyrillic}\p{Greek}\p{N}]+'), lambda w: ceil(length(w) / 4.0))), 0) > 1300"""
 SQL = {
     "p10_found": f"SELECT doc_id FROM ({_LONG})",
     "p10_restored": f"SELECT doc_id, md5(text) AS text_md5 FROM ({_LONG})",
