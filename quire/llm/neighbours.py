@@ -1,10 +1,11 @@
 """The k most similar vectors of every vector (or of stated queries), exactly, by cosine similarity.
 
-Block matrix join: vectors are hashed into blocks of bounded size, and each pair of blocks is one tile. Within a tile,
+Block matrix join: vectors are packed into blocks of bounded size, one row each, that are written to the shared folder once;
+each pair of blocks is one tile, and its task reads both there, so that no copies are shuffled or kept. Within a tile,
 products of int8 codes give each similarity with a bound on its quantisation error; only pairs whose upper bound
 reaches what is needed (`min_sim`, or the k-th best lower bound of the row so far) are computed again in float and kept
-in a heap of k per row. The heaps of all tiles are merged by rank. Pairs of blocks are few and large, so a vector is
-copied once per block of the collection and nothing is broadcast. The work is quadratic by nature; memory isn't.
+in a heap of k per row. A task merges the heaps of its tiles, and those of all tasks are merged by rank. Nothing is
+broadcast. The work is quadratic by nature; memory and disk aren't.
 
 Defined results: null, empty, all-zero vectors, those of another length or with NaN or infinite values take no part; of
 a key's copies the earliest counts (then the smallest vector); similarities are compared at 7 decimals and ties go to the smaller key, so a collection of nothing but copies has
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,23 +28,46 @@ from quire.session import cut
 #: rows of a block: two blocks are held by one task
 BLOCK = 32_768
 _ROWS, _COLS, _PAIRS = 512, 4_096, 65_536
+#: results that a task holds at least before it merges them
+HEAP = 1 << 20
 #: below every similarity
 NO_BOUND = -2.0
 
 
 def usable(df: DataFrame, key: str, vec: str, ts: str | None, dims: int) -> DataFrame:
-    """key, vec (packed float32, as it was): one row per key with a usable vector."""
+    """id, v: one row per key with a usable vector."""
     v = F.col(vec)
     ok = (F.size(v) == dims) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 3.0e38)) & F.exists(v, lambda x: x != 0)
     one = df.where(F.col(key).isNotNull() & v.isNotNull()).where(ok).select(F.col(key).cast("bigint").alias("id"), (F.col(ts) if ts else F.lit(0)).alias("ts"), v.alias("v"))
+    return one.groupBy("id").agg(F.min_by("v", F.struct("ts", "v")).alias("v"))
+
+
+def blocks(df: DataFrame, dims: int, size: int, parts: int) -> DataFrame:
+    """b, ids, vecs (packed int64 and float32): one row per block of about `size` of the rows id, v, in `parts` partitions at most.
+    A partition of `df` is cut into even blocks, so nothing is moved for it."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat = np.asarray(b.column(1).flatten(), dtype=np.float32).reshape(-1, dims)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in flat], pa.binary())], ["id", "vec"])
+        # numbers are unique, not dense; they are odd in every other partition
+        number, held, n = TaskContext.get().partitionId(), [], 0
+
+        def block(rows: int) -> pa.RecordBatch:
+            nonlocal number, held, n
+            ids, vecs = (np.concatenate(z) for z in zip(*held))
+            held, n = [(ids[rows:], vecs[rows:])], n - rows
+            number += 1 << 32
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids[:rows].tobytes()], pa.binary()), pa.array([vecs[:rows].tobytes()], pa.binary())], ["b", "ids", "vecs"])
+
+        for x in batches:
+            held.append((x.column(0).to_numpy(), np.asarray(x.column(1).flatten(), dtype=np.float32).reshape(-1, dims)))
+            n += x.num_rows
+            while n >= 2 * size:
+                yield block(size)
+        # a little over the size isn't worth another block
+        for left in range(1 + (n > 1.25 * size), 0, -1):
+            if n:
+                yield block(-(-n // left))
 
-    first = one.groupBy("id").agg(F.min_by("v", F.struct("ts", "v")).alias("v"))
-    return first.mapInArrow(pack, "id bigint, vec binary")
+    return df.coalesce(parts).mapInArrow(pack, "b bigint, ids binary, vecs binary")
 
 
 def _codes(x: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
@@ -134,39 +159,55 @@ def knn(df: DataFrame, key: str, vec: str, k: int = 10, dims: int = 64, ts: str
     """id, neighbour_id, cosine, rank. `queries`: a condition on column id; without it every vector is a query. With
     `min_sim` only neighbours of at least that similarity are listed."""
     spark = df.sparkSession
-    v = cut(usable(df, key, vec, ts, dims))
-    n = v.count()
+    n = df.count()
     cores = spark.sparkContext.defaultParallelism
     nb = max(1, math.ceil(n / block), min(math.ceil(math.sqrt(4 * cores)), n // 1024))
-    both = queries is None
-    b = F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int")
+    size = max(1, math.ceil(n / nb))
+    good = usable(df, key, vec, ts, dims)
+    right = cut(blocks(good, dims, size, nb))
+    if right.rdd.getNumPartitions() < min(nb, math.ceil(math.sqrt(4 * cores))):
+        # a small table, in fewer partitions than give every core a pair of them
+        right = right.repartition(nb)
+    left = right if queries is None else cut(blocks(good.where(queries), dims, size, nb))
+    # Without `min_sim` a tile has k results of each of its rows: then only the left block's are sought, as they are merged in the task
+    both = queries is None and min_sim is not None
+    pair = F.lit(True)
     if both:
-        # block x takes part in the tiles (i, x), i <= x, and (x, j), x <= j
-        tiles = F.transform(F.sequence(F.lit(0), F.lit(nb - 1)), lambda y: F.struct(F.least("b", y).alias("i"), F.greatest("b", y).alias("j")))
-        sides = v.withColumn("b", b).withColumn("t", F.explode(tiles)).select(F.col("t.i").alias("i"), F.col("t.j").alias("j"), (F.col("b") == F.col("t.i")).alias("left"), "id", "vec")
-    else:
-        nq = v.where(queries).count()
-        mb = max(1, math.ceil(nq / block))
-        q = F.pmod(F.xxhash64("id"), F.lit(mb)).cast("int")
-        left = v.where(queries).withColumn("i", q).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).select("i", "j", F.lit(True).alias("left"), "id", "vec")
-        right = v.withColumn("j", b).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(mb - 1)))).select("i", "j", F.lit(False).alias("left"), "id", "vec")
-        sides = left.unionByName(right)
-    kk, least, d = k, min_sim, dims
-
-    def run(key_: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        same = both and key_[0].as_py() == key_[1].as_py()
-        lft = np.asarray(t.column("left").combine_chunks().to_numpy(zero_copy_only=False), dtype=bool)
-        ids = t.column("id").combine_chunks().to_numpy()
-        x = np.frombuffer(b"".join(t.column("vec").to_pylist()), dtype=np.float32).reshape(-1, d)
-        if same:
-            got = tile(ids, x, ids, x, kk, least, False)
-        else:
-            got = tile(ids[lft], x[lft], ids[~lft], x[~lft], kk, least, both)
-        return pa.table({"id": got[0], "neighbour_id": got[1], "cosine": got[2]})
-
-    # as many tasks as tiles; AQE doesn't join them again, as they are heavy though small in bytes
-    n_tiles = nb * (nb + 1) // 2 if both else nb * mb
-    heaps = sides.repartition(max(1, n_tiles), "i", "j").groupBy("i", "j").applyInArrow(run, "id bigint, neighbour_id bigint, cosine double")
+        # one of (x, y) and (y, x), in such a way that every block has about as many tiles
+        pair = (F.col("r.b") == F.col("l.b")) | ((F.col("r.b") < F.col("l.b")) == ((F.col("r.b") + F.col("l.b")) % 2 != 0))
+    # a task has one partition of the left blocks, and of the others as many as leave 16 tasks for each core
+    runs = min(right.rdd.getNumPartitions(), math.ceil(16 * cores / max(1, left.rdd.getNumPartitions())))
+    sides = (right.coalesce(max(1, runs)).alias("r").hint("shuffle_replicate_nl").join(left.alias("l"), pair)
+             .select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in ("b", "ids", "vecs"))))
+    kk, least, d, most = k, min_sim, dims, max(HEAP, 4 * size * k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
+
+        def batch(got: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64())], ["id", "neighbour_id", "cosine"])
+
+        for t in batches:
+            for z in range(t.num_rows):
+                lb, li, lv, rb, ri, rv = (c[z].as_py() if c.type == pa.int64() else c[z].as_buffer() for c in t.columns)
+                li, ri = (np.frombuffer(x, dtype=np.int64) for x in (li, ri))
+                lv, rv = (np.frombuffer(x, dtype=np.float32).reshape(-1, d) for x in (lv, rv))
+                held.append(tile(li, lv, ri, rv, kk, least, both and lb != rb))
+                n += len(held[-1][0])
+                if n > most:
+                    row, other, sim = (np.concatenate(x) for x in zip(*held))
+                    i = _best(row, other, sim, kk)
+                    held, n = [(row[i], other[i], sim[i])], len(i)
+                    if n > most // 2:
+                        yield batch(held[0])
+                        held, n = [], 0
+        if held:
+            row, other, sim = (np.concatenate(x) for x in zip(*held))
+            i = _best(row, other, sim, kk)
+            yield batch((row[i], other[i], sim[i]))
+
+    heaps = sides.mapInArrow(run, "id bigint, neighbour_id bigint, cosine double")
     w = Window.partitionBy("id").orderBy(F.col("cosine").desc(), F.col("neighbour_id"))
     return heaps.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -1,5 +1,6 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -210,6 +211,28 @@ def test_groups_of_near_copies_in_every_mode(spark, copies, least):
     assert found(neighbours.knn(df, "id", "e", 10, 24, min_sim=least, block=40, queries=F.col("id") % 2 == 0)) == {i: v for i, v in want.items() if i % 2 == 0}
 
 
+def test_knn_keeps_no_copies_per_block(spark, tmp_path):
+    """What is shuffled and stored stays below five times the vectors, though they make 20 blocks, and no neighbour is lost."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 64)).astype(np.float32)
+    x[1000:] = x[:1000] + 0.05 * rng.normal(size=(1000, 64)).astype(np.float32)
+    spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "id bigint, e array<float>").write.parquet(str(tmp_path / "v"))
+    df, sc = spark.read.parquet(str(tmp_path / "v")), spark.sparkContext._jsc.sc()
+
+    def kept():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stored = sum(p.stat().st_size for p in Path(sc.getCheckpointDir().get().removeprefix("file:")).rglob("*") if p.is_file())
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite() + stored
+
+    want = {i: [(i + 1000) % 2000] for i in range(2000)}
+    for queries in (None, F.col("id") % 50 == 0):
+        before = kept()
+        got = neighbours.knn(df, "id", "e", 10, 64, min_sim=0.9, block=100, queries=queries).collect()
+        assert kept() - before < 5 * x.nbytes
+        assert {r["id"]: [r["neighbour_id"]] for r in got} == {i: v for i, v in want.items() if queries is None or i % 50 == 0}
+        assert len(got) == (2000 if queries is None else 40)
+
+
 def test_products_stay_exact_in_many_dimensions():
     x = np.ones((1, 2000))
     q, _ = neighbours._codes(x, 1 / 127)
