@@ -2,9 +2,9 @@
 
 Block matrix join: vectors are packed into blocks of bounded size, one row each, that are written to the shared folder once;
 each pair of blocks is one tile, and its task reads both there, so that no copies are shuffled or kept. Within a tile,
-products of int8 codes give each similarity with a bound on its quantisation error; only pairs whose upper bound
-reaches what is needed (`min_sim`, or the k-th best lower bound of the row so far) are computed again in float and kept
-in a heap of k per row. A task merges the heaps of its tiles, and those of all tasks are merged by rank. Nothing is
+products in a few dimensions bound each similarity from above where `min_sim` is given, else (or where that leaves many
+pairs) products of int8 codes give it with a bound on its quantisation error; only pairs whose upper bound reaches what is
+needed (`min_sim`, or the k-th best lower bound of the row so far) are computed again in float and kept in a heap of k per row. A task merges the heaps of its tiles, and those of all tasks are merged by rank. Nothing is
 broadcast. The work is quadratic by nature; memory and disk aren't.
 
 Defined results: null, empty, all-zero vectors, those of another length or with NaN or infinite values take no part; of
@@ -28,6 +28,8 @@ from quire.session import cut
 #: rows of a block: two blocks are held by one task
 BLOCK = 32_768
 _ROWS, _COLS, _PAIRS = 512, 4_096, 65_536
+#: the same for products in fewer dimensions; what the share of pairs that these leave costs, in dimensions (parts without any are passed fast)
+_SHORT_ROWS, _SHORT_COLS, _CHECK = 256, 1_024, 200_000
 #: results that a task holds at least before it merges them
 HEAP = 1 << 20
 #: below every similarity
@@ -55,7 +57,7 @@ def blocks(df: DataFrame, dims: int, size: int, parts: int) -> DataFrame:
             ids, vecs = (np.concatenate(z) for z in zip(*held))
             held, n = [(ids[rows:], vecs[rows:])], n - rows
             number += 1 << 32
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids[:rows].tobytes()], pa.binary()), pa.array([vecs[:rows].tobytes()], pa.binary())], ["b", "ids", "vecs"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x[:rows].tobytes()], pa.binary()) for x in (ids, vecs))], ["b", "ids", "vecs"])
 
         for x in batches:
             held.append((x.column(0).to_numpy(), np.asarray(x.column(1).flatten(), dtype=np.float32).reshape(-1, dims)))
@@ -78,6 +80,22 @@ def _codes(x: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
     return q.astype(np.float32 if 127 * 127 * x.shape[1] < 1 << 24 else np.float64), lost
 
 
+def _short(lv: np.ndarray, rv: np.ndarray, min_sim: float) -> tuple[np.ndarray, np.ndarray]:
+    """Both sides in fewer dimensions, so that no product is below that of the whole vectors of length 1 by more than rounding: the
+    first main axes of `lv`, and the length of the rest. As many as are cheapest for the first rows, by how many pairs they leave."""
+    axes = np.linalg.eigh(lv.T @ lv)[1][:, ::-1]
+    sides = [x @ axes for x in (lv, rv)]
+
+    def first(x: np.ndarray, m: int) -> np.ndarray:
+        return np.hstack([x[:, :m], np.linalg.norm(x[:, m:], axis=1, keepdims=True)]).astype(np.float32)
+
+    def cost(m: int) -> float:
+        return m + _CHECK * float(np.mean(first(sides[0][:_ROWS], m) @ first(sides[1][:_COLS], m).T >= min_sim))
+
+    m = min(range(min(8, lv.shape[1]), lv.shape[1] + 1, 8), key=cost)
+    return first(sides[0], m), first(sides[1], m)
+
+
 def _best(row: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k best of each row: greatest similarity, then smallest other."""
     order = np.lexsort((other, -sim, row))
@@ -111,10 +129,47 @@ def tile(li: np.ndarray, lv: np.ndarray, ri: np.ndarray, rv: np.ndarray, k: int,
     def many(rows: np.ndarray, n: int) -> np.ndarray:
         return np.flatnonzero(np.bincount(rows, minlength=n) > 4 * k)
 
-    for a in range(0, len(li), _ROWS):
-        sa = slice(a, min(a + _ROWS, len(li)))
-        for b in range(0, len(ri), _COLS):
-            sb = slice(b, min(b + _COLS, len(ri)))
+    def look(r: np.ndarray, c: np.ndarray) -> None:
+        """Pairs again in float64; the best are kept."""
+        for p in range(0, len(r), _PAIRS):
+            x, y = r[p : p + _PAIRS], c[p : p + _PAIRS]
+            sim = np.round(np.einsum("ij,ij->i", lv64[x], rv64[y]), 7)
+            go = sim >= (-np.inf if min_sim is None else min_sim)
+            x, y, sim = li[x[go]], ri[y[go]], sim[go]
+            i = _best(x, y, sim, k)
+            kept.append((x[i], y[i], sim[i]))
+            if both:
+                i = _best(y, x, sim, k)
+                kept.append((y[i], x[i], sim[i]))
+
+    def look_few() -> None:
+        r, c = (np.concatenate(z) for z in zip(*few))
+        go = li[r] != ri[c]
+        look(r[go], c[go])
+
+    # what the products in fewer dimensions leave, of many parts at a time
+    few: list[tuple[np.ndarray, np.ndarray]] = []
+    n_few = 0
+    short = min_sim is not None and len(li) > 0 and len(ri) > 0
+    rows, cols = (_SHORT_ROWS, _SHORT_COLS) if short else (_ROWS, _COLS)
+    if short:
+        sl, sr = _short(lv64, rv64, min_sim)
+    for a in range(0, len(li), rows):
+        sa = slice(a, min(a + rows, len(li)))
+        for b in range(0, len(ri), cols):
+            sb = slice(b, min(b + cols, len(ri)))
+            if short:
+                # 1e-5: the products are float32
+                at = np.flatnonzero((sl[sa] @ sr[sb].T).ravel() >= np.float32(min_sim - 1e-5))
+                if len(at) <= rows * cols // 64:
+                    r, c = np.divmod(at, sb.stop - b)
+                    few.append((r + a, c + b))
+                    n_few += len(r)
+                    if n_few > _PAIRS:
+                        look_few()
+                        few, n_few = [], 0
+                    continue
+                # so many near copies that bounds by the k-th best are worth the whole products
             s = ql[sa] @ qr[sb].T
             own = np.flatnonzero((self_at[sa] >= b) & (self_at[sa] < sb.stop))
             s[own, self_at[sa][own] - b] = -np.inf
@@ -136,16 +191,9 @@ def tile(li: np.ndarray, lv: np.ndarray, ri: np.ndarray, rv: np.ndarray, k: int,
                 raise_(kth_r, b, s.T, many(c[up >= kth_r[sb][c]], s.shape[1]), bound)
                 want |= up >= kth_r[sb][c]
             r, c = r[want] + a, c[want] + b
-            for p in range(0, len(r), _PAIRS):
-                x, y = r[p : p + _PAIRS], c[p : p + _PAIRS]
-                sim = np.round(np.einsum("ij,ij->i", lv64[x], rv64[y]), 7)
-                go = sim >= (-np.inf if min_sim is None else min_sim)
-                x, y, sim = li[x[go]], ri[y[go]], sim[go]
-                i = _best(x, y, sim, k)
-                kept.append((x[i], y[i], sim[i]))
-                if both:
-                    i = _best(y, x, sim, k)
-                    kept.append((y[i], x[i], sim[i]))
+            look(r, c)
+    if few:
+        look_few()
     if not kept:
         e = np.zeros(0, np.int64)
         return e, e, np.zeros(0)
@@ -154,6 +202,24 @@ def tile(li: np.ndarray, lv: np.ndarray, ri: np.ndarray, rv: np.ndarray, k: int,
     return row[i], other[i], sim[i]
 
 
+def _near(stored: DataFrame, dims: int, n: int, min_sim: float) -> float:
+    """About how many of all n rows reach `min_sim` with a row, from some 4,096 rows of the stored blocks."""
+    step = max(1, n // _COLS)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for v in t.column(0):
+                x = np.frombuffer(v.as_buffer(), dtype=np.float32).reshape(-1, dims)
+                yield pa.RecordBatch.from_arrays([pa.array([x[::step].tobytes()], pa.binary())], ["vecs"])
+
+    x = np.frombuffer(b"".join(r[0] for r in stored.select("vecs").mapInArrow(some, "vecs binary").collect()), dtype=np.float32).reshape(-1, dims).astype(np.float64)
+    if len(x) < 2:
+        return 0.0
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    pairs = sum(int((x[a : a + _ROWS] @ x.T >= min_sim).sum()) for a in range(0, len(x), _ROWS)) - len(x)
+    return pairs / (len(x) * (len(x) - 1)) * n
+
+
 def knn(df: DataFrame, key: str, vec: str, k: int = 10, dims: int = 64, ts: str | None = None, min_sim: float | None = None,
         queries: Column | None = None, block: int = BLOCK) -> DataFrame:
     """id, neighbour_id, cosine, rank. `queries`: a condition on column id; without it every vector is a query. With
@@ -165,19 +231,19 @@ def knn(df: DataFrame, key: str, vec: str, k: int = 10, dims: int = 64, ts: str
     size = max(1, math.ceil(n / nb))
     good = usable(df, key, vec, ts, dims)
     right = cut(blocks(good, dims, size, nb))
+    # One tile for both sides has results of the right rows too, which its task can't merge: only where they are few in all
+    both = queries is None and min_sim is not None and _near(right, dims, n, min_sim) <= 4 * k
     if right.rdd.getNumPartitions() < min(nb, math.ceil(math.sqrt(4 * cores))):
         # a small table, in fewer partitions than give every core a pair of them
         right = right.repartition(nb)
     left = right if queries is None else cut(blocks(good.where(queries), dims, size, nb))
-    # Without `min_sim` a tile has k results of each of its rows: then only the left block's are sought, as they are merged in the task
-    both = queries is None and min_sim is not None
     pair = F.lit(True)
     if both:
         # one of (x, y) and (y, x), in such a way that every block has about as many tiles
         pair = (F.col("r.b") == F.col("l.b")) | ((F.col("r.b") < F.col("l.b")) == ((F.col("r.b") + F.col("l.b")) % 2 != 0))
-    # a task has one partition of the left blocks, and of the others as many as leave 16 tasks for each core
-    runs = min(right.rdd.getNumPartitions(), math.ceil(16 * cores / max(1, left.rdd.getNumPartitions())))
-    sides = (right.coalesce(max(1, runs)).alias("r").hint("shuffle_replicate_nl").join(left.alias("l"), pair)
+    # a task has one partition of the left blocks, and of the others as many as leave 4 tasks for each core, or 8 of which half have nothing to do
+    runs = max(1, min(right.rdd.getNumPartitions(), math.ceil((8 if both else 4) * cores / max(1, left.rdd.getNumPartitions()))))
+    sides = (right.coalesce(runs).alias("r").hint("shuffle_replicate_nl").join(left.alias("l"), pair)
              .select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in ("b", "ids", "vecs"))))
     kk, least, d, most = k, min_sim, dims, max(HEAP, 4 * size * k)
 

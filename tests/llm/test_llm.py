@@ -233,6 +233,29 @@ def test_knn_keeps_no_copies_per_block(spark, tmp_path):
         assert len(got) == (2000 if queries is None else 40)
 
 
+def test_knn_of_a_crowd_of_near_copies(spark):
+    """More rows reach `min_sim` than can be listed: each row is sought by its own tasks, and results are those of brute force."""
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(3, 16))[rng.integers(0, 3, 400)] + 0.05 * rng.normal(size=(400, 16))).astype(np.float32)
+    ids = [int(i) for i in rng.permutation(1000)[:400]]
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in zip(ids, x)], "id bigint, e array<float>")
+    assert neighbours._near(neighbours.blocks(neighbours.usable(df, "id", "e", None, 16), 16, 40, 10), 16, 400, 0.9) > 4 * 3
+    got = {}
+    for r in neighbours.knn(df, "id", "e", 3, 16, min_sim=0.9, block=40).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbour_id"]))
+    assert {i: [j for _, j in sorted(v)] for i, v in got.items()} == brute(ids, x, 3, 0.9)
+
+
+@pytest.mark.parametrize("dims", [2, 8, 24, 64])
+def test_short_products_are_never_below(dims):
+    rng = np.random.default_rng(dims)
+    x = rng.normal(size=(700, dims)) * np.linspace(1, 0.1, dims)
+    x[350:] = x[:350] + 0.01 * rng.normal(size=(350, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = neighbours._short(x[:300], x[300:], 0.9)
+    assert a.shape[1] <= dims + 1 and (a @ b.T - x[:300] @ x[300:].T).min() > -5e-6
+
+
 def test_products_stay_exact_in_many_dimensions():
     x = np.ones((1, 2000))
     q, _ = neighbours._codes(x, 1 / 127)
