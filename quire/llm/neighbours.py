@@ -84,16 +84,16 @@ def _short(lv: np.ndarray, rv: np.ndarray, min_sim: float) -> tuple[np.ndarray,
     """Both sides in fewer dimensions, so that no product is below that of the whole vectors of length 1 by more than rounding: the
     first main axes of `lv`, and the length of the rest. As many as are cheapest for the first rows, by how many pairs they leave."""
     axes = np.linalg.eigh(lv.T @ lv)[1][:, ::-1]
-    sides = [x @ axes for x in (lv, rv)]
 
     def first(x: np.ndarray, m: int) -> np.ndarray:
-        return np.hstack([x[:, :m], np.linalg.norm(x[:, m:], axis=1, keepdims=True)]).astype(np.float32)
+        y = x @ axes
+        return np.hstack([y[:, :m], np.linalg.norm(y[:, m:], axis=1, keepdims=True)]).astype(np.float32)
 
     def cost(m: int) -> float:
-        return m + _CHECK * float(np.mean(first(sides[0][:_ROWS], m) @ first(sides[1][:_COLS], m).T >= min_sim))
+        return m + _CHECK * float(np.mean(first(lv[:_ROWS], m) @ first(rv[:_COLS], m).T >= min_sim))
 
     m = min(range(min(8, lv.shape[1]), lv.shape[1] + 1, 8), key=cost)
-    return first(sides[0], m), first(sides[1], m)
+    return first(lv, m), first(rv, m)
 
 
 def _best(row: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
@@ -110,8 +110,8 @@ def tile(li: np.ndarray, lv: np.ndarray, ri: np.ndarray, rv: np.ndarray, k: int,
     lv64, rv64 = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (lv.astype(np.float64), rv.astype(np.float64)))
     # one step for both sides, so the products compare as they are, without being scaled first
     scale = max(np.abs(lv64).max(initial=0), np.abs(rv64).max(initial=0)) / 127 or 1.0
-    (ql, el), (qr, er) = _codes(lv64, scale), _codes(rv64, scale)
     unit = scale * scale
+    codes: list[tuple[np.ndarray, np.ndarray]] = []
     kept: list[tuple[np.ndarray, ...]] = []
     kth_l = np.full(len(li), NO_BOUND if min_sim is None else min_sim, dtype=np.float32)
     kth_r = np.full(len(ri), NO_BOUND if min_sim is None else min_sim, dtype=np.float32)
@@ -170,6 +170,9 @@ def tile(li: np.ndarray, lv: np.ndarray, ri: np.ndarray, rv: np.ndarray, k: int,
                         few, n_few = [], 0
                     continue
                 # so many near copies that bounds by the k-th best are worth the whole products
+            if not codes:
+                codes += _codes(lv64, scale), _codes(rv64, scale)
+            (ql, el), (qr, er) = codes
             s = ql[sa] @ qr[sb].T
             own = np.flatnonzero((self_at[sa] >= b) & (self_at[sa] < sb.stop))
             s[own, self_at[sa][own] - b] = -np.inf
@@ -273,7 +276,14 @@ def knn(df: DataFrame, key: str, vec: str, k: int = 10, dims: int = 64, ts: str
             i = _best(row, other, sim, kk)
             yield batch((row[i], other[i], sim[i]))
 
-    heaps = sides.mapInArrow(run, "id bigint, neighbour_id bigint, cosine double")
+    # a row is two blocks, so one row a batch; what the session says holds again afterwards, therefore the tiles are computed here
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    said = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        heaps = cut(sides.mapInArrow(run, "id bigint, neighbour_id bigint, cosine double"))
+    finally:
+        spark.conf.set(name, said)
     w = Window.partitionBy("id").orderBy(F.col("cosine").desc(), F.col("neighbour_id"))
     return heaps.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
